@@ -1,8 +1,8 @@
 """Mixing sources to target weights by soft membership, DataFrame functions only.
 
-A naive Bayes model over hashed tokens, learned from a labelled table, gives every document posterior
+A naive Bayes model over the presence of hashed tokens, learned from a labelled table, gives every document posterior
 probabilities p of the domains; only buckets whose share in a domain differs from the pooled share by a
-log-ratio of at least ``min_ratio``, and by ``min_sigma`` standard errors, count. Nonnegative document rates r then minimise the weighted least
+log-ratio of at least ``min_ratio`` count. Nonnegative document rates r then minimise the weighted least
 squares distance between the expected domain token totals, sum of r * n_tokens * p, and the targets.
 The minimisation is projected gradient descent from r = 1: every step sums the totals over all documents,
 solves against the domains' Gram matrix (weight and step in one; domains squared numbers), moves each
@@ -30,6 +30,10 @@ def tokens(col: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), r"([^\p{L}\s]+)", " $1 ")), r"\s+")
 
 
+def filled(col: Column) -> Column:
+    return F.filter(tokens(col), lambda x: x != "")
+
+
 def bucket(word: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
@@ -39,7 +43,7 @@ def constant(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
-def train(docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int = 8192, max_train: int = 20000, min_ratio: float = 0.7, min_sigma: float = 4.0) -> tuple[list[list[float]], list[float]]:
+def train(docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int = 8192, max_train: int = 20000, min_ratio: float = 1.0) -> tuple[list[list[float]], list[float]]:
     """Log-likelihood ratios to the pooled shares [domain][bucket], and log-priors, from at most about ``max_train`` labelled rows.
 
     ``labelled`` has doc_id and domain. The sample is taken by a hash of doc_id, so it is bounded and is
@@ -49,7 +53,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int
     sizes = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     known = known.filter(hash_share(F.col("doc_id"), 4, bounded_fraction(sum(sizes.values()), max_train)))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    counted = rows.select("domain", F.explode(tokens(F.col("text"))).alias("w")).filter("w <> ''").groupBy("domain", bucket(F.col("w"), buckets).alias("b")).agg(F.count("*").alias("n")).collect()
+    counted = rows.select("domain", F.explode(F.array_distinct(F.transform(filled(F.col("text")), lambda w: bucket(w, buckets)))).alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n")).collect()
     counts = {d: [0.0] * buckets for d in domains}
     for r in counted:
         counts[r["domain"]][r["b"]] = float(r["n"])
@@ -60,10 +64,8 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int
         # Smoothed towards the pooled shares; weights under min_ratio are composition, not evidence.
         pull = 0.1 * buckets
         scale = whole / (sum(counts[d]) + pull)
-        size = sum(counts[d])
-        sure = [abs(c - size * a / whole) >= min_sigma * math.sqrt(size * a / whole + 1) for c, a in zip(counts[d], pooled, strict=True)]
         logs = [math.log((c + pull * a / whole) * scale / a) for c, a in zip(counts[d], pooled, strict=True)]
-        weights.append([round(x, 6) if ok and abs(x) >= min_ratio else 0.0 for x, ok in zip(logs, sure, strict=True)])
+        weights.append([round(x, 6) if abs(x) >= min_ratio else 0.0 for x in logs])
     seen = sum(sizes.values())
     priors = [math.log((sizes.get(d, 0) + 1) / (seen + len(domains))) for d in domains]
     return weights, priors
@@ -81,8 +83,7 @@ def posteriors(docs: DataFrame, ratios: list[list[float]], priors: list[float],
         sums = [F.lit(p) + likelihood(b, w) for w, p in zip(weights, priors, strict=True)]
         return let(F.array(*sums), lambda x: let(F.transform(x, lambda v: F.exp(v - F.array_max(x))), lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, v: s + v), lambda n: F.transform(e, lambda v: v / n))))
 
-    filled = F.filter(tokens(F.col("text")), lambda x: x != "")
-    members = let(F.transform(filled, lambda x: bucket(x, buckets)), lambda b: F.struct(F.size(b).cast("long").alias("n_tokens"), scores(b).alias("p")))
+    members = let(F.transform(filled(F.col("text")), lambda x: bucket(x, buckets)), lambda b: F.struct(F.size(b).cast("long").alias("n_tokens"), let(F.array_distinct(b), scores).alias("p")))
     return docs.select(*keep, members.alias("__m")).select(*keep, "__m.n_tokens", "__m.p")
 
 
