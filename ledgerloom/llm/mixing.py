@@ -43,7 +43,7 @@ def constant(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
-def train(docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int = 8192, max_train: int = 20000, min_ratio: float = 1.0) -> tuple[list[list[float]], list[float]]:
+def train(docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int = 8192, max_train: int = 20000, min_ratio: float = 1.0, faith: float = 5.0) -> tuple[list[list[float]], list[float]]:
     """Log-likelihood ratios to the pooled shares [domain][bucket], and log-priors, from at most about ``max_train`` labelled rows.
 
     ``labelled`` has doc_id and domain. The sample is taken by a hash of doc_id, so it is bounded and is
@@ -65,7 +65,9 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int
         pull = 0.1 * buckets
         scale = whole / (sum(counts[d]) + pull)
         logs = [math.log((c + pull * a / whole) * scale / a) for c, a in zip(counts[d], pooled, strict=True)]
-        weights.append([round(x, 6) if abs(x) >= min_ratio else 0.0 for x in logs])
+        # Shrunk where the domain is too small to expect ``faith`` rows with the bucket.
+        size = sum(counts[d]) / whole
+        weights.append([round(x * size * a / (size * a + faith), 6) if abs(x) >= min_ratio else 0.0 for x, a in zip(logs, pooled, strict=True)])
     seen = sum(sizes.values())
     priors = [math.log((sizes.get(d, 0) + 1) / (seen + len(domains))) for d in domains]
     return weights, priors

@@ -13,6 +13,10 @@ is not paired: its members are linked through their midpoints instead (each emit
 one-bit changes; two fingerprints share one exactly if they differ in at most two bits), which is linear
 and exact.
 
+``near_duplicates`` links by the three-word shingles' fingerprint alone. ``similar_groups`` and
+``keep_one``, for a pipeline that must catch copies with a few changed words, add links by several
+fingerprints of the distinct words.
+
 Defined cases: null and empty texts have the fingerprint zero, linked like any other; texts under three
 words have one shingle, the whole sequence; repeated rows share their doc_id's component; rows without
 doc_id get the smallest non-null doc_id of their group, null if there is none; extra columns are ignored.
@@ -61,18 +65,40 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > values.size, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with fp the signed 64-bit form."""
+def word_fingerprints(text: str | None, count: int) -> list[int]:
+    """``count`` independent SimHashes of the text's distinct words, every word weighing the same.
+
+    A few changed words move these less than the shingles' fingerprint, so several of them find texts
+    that share at least four fifths of their five-word shingles far more often.
+    """
+    words = sorted(set((text or "").encode("utf-8", "surrogatepass").lower().split()))
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+    out = []
+    for k in range(count):
+        g = h ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        g = (g ^ (g >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        g = (g ^ (g >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        g ^= g >> np.uint64(31)
+        ones = np.unpackbits(g.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > g.size, bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def _signed(fp: int) -> int:
+    return fp - (1 << 64) if fp >> 63 else fp
+
+
+def fingerprints(docs: DataFrame, word_prints: int = 0) -> DataFrame:
+    """(doc_id, fp), and prints, the array of word fingerprints; all in signed 64-bit form."""
 
     def make():
         def step(cols):
             for doc_id, text in zip(*cols, strict=True):
-                fp = fingerprint(text)
-                yield doc_id, fp - (1 << 64) if fp >> 63 else fp
+                yield doc_id, _signed(fingerprint(text)), [_signed(x) for x in word_fingerprints(text, word_prints)]
 
         return step
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, fp long", make, 2000)
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, fp long, prints array<long>", make, 2000)
 
 
 # ---------------------------------------------------------------- Golay code
@@ -131,7 +157,7 @@ def fuzzy_keys(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, hot: int = 32) -> DataFrame:
     """Edges (a, b) over distinct fingerprints whose components are those of all pairs within two bits."""
-    keys = cut(fuzzy_keys(fps))
+    keys = fuzzy_keys(fps)
     homes = keys.filter("home").select("key", "fp")
     crowded = homes.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key")
     crowded = cut(crowded)
@@ -154,7 +180,7 @@ def links(fps: DataFrame, hot: int = 32) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, hot: int = 32) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that can be reached) for every row."""
-    prints = cut(fingerprints(docs))
+    prints = cut(fingerprints(docs).select("doc_id", "fp"))
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     parts = connected_components(links(groups.select("fp"), hot))
     joined = groups.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -164,15 +190,39 @@ def near_duplicates(docs: DataFrame, hot: int = 32) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, hot: int = 32, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """The rows of ``docs`` with one document of each group: the one with the smallest doc_id.
+def similar_groups(docs: DataFrame, word_prints: int = 6, hot: int = 32) -> DataFrame:
+    """(doc_id, group_id): components over the links of the shingles' fingerprint and of each word fingerprint.
+
+    Every fingerprint is linked within two bits, exactly and without pairs inside crowded keys. Documents
+    with all fingerprints equal are one node; group_id is the smallest doc_id that can be reached.
+    """
+    prints = cut(fingerprints(docs, word_prints).select("doc_id", F.concat(F.array("fp"), "prints").alias("p")).select("doc_id", F.xxhash64("p").alias("node"), "p"))
+    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("p").alias("p")))
+    edges = None
+    for k in range(word_prints + 1):
+        of = nodes.select("node", F.col("p")[k].alias("fp"))
+        heads = of.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n"))
+        same = of.join(heads.filter("n > 1"), "fp").select(F.col("node").alias("a"), F.col("head").alias("b")).filter("a <> b")
+        near = links(heads.select("fp"), hot)
+        near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")).filter("a <> b")
+        found = cut(same.union(near).distinct())
+        edges = found if edges is None else edges.union(found)
+    parts = connected_components(edges)
+    joined = nodes.select("node", "least").join(parts, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    of_root = joined.groupBy("root").agg(F.min("least").alias("group_id"))
+    named = joined.filter("root <> node").join(of_root, "root").select("node", "group_id").union(of_root.select(F.col("root").alias("node"), "group_id"))
+    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "group_id")
+
+
+def keep_one(docs: DataFrame, word_prints: int = 6, hot: int = 32, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` with one document of each of ``similar_groups``: the one with the smallest doc_id.
 
     Rows to drop are found by id. Up to ``broadcast_rows`` ids (counted) are broadcast, so texts are not
     shuffled; more take a shuffled anti-join. Rows that repeat a kept doc_id are merged to one.
     """
-    found = cut(near_duplicates(docs, hot))
-    drop = found.filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    again = cut(found.filter("doc_id = component_id or component_id is null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    found = cut(similar_groups(docs, word_prints, hot))
+    drop = found.filter("doc_id <> group_id or (doc_id is null and group_id is not null)").select("doc_id").distinct()
+    again = cut(found.filter("doc_id = group_id or group_id is null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     drop = cut(drop)
     small = drop.count() <= broadcast_rows
     side = (drop if not small else F.broadcast(drop)).withColumnRenamed("doc_id", "__drop")
