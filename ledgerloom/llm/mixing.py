@@ -116,7 +116,7 @@ def rate(steps: list[list[float]]) -> Column:
     return F.aggregate(plan, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with("p", s, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
 
 
-def fit_rates(members: DataFrame, targets: list[float], tolerance: float = 1e-4, max_steps: int = 60) -> list[list[float]]:
+def fit_rates(members: DataFrame, targets: list[float], tolerance: float = 1e-4, max_steps: int = 150) -> list[list[float]]:
     """Steps of projected gradient descent until every domain's total is within ``tolerance`` of the whole."""
     k = len(targets)
     row = members.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)], F.sum("n_tokens").alias("n")).first()
@@ -136,7 +136,7 @@ def fit_rates(members: DataFrame, targets: list[float], tolerance: float = 1e-4,
     return steps
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], buckets: int = 8192, max_train: int = 20000, tolerance: float = 1e-4, max_steps: int = 60, keep: list[str] = ("doc_id",)) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], buckets: int = 8192, max_train: int = 20000, tolerance: float = 1e-4, max_steps: int = 150, keep: list[str] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with n_tokens, a posterior column p_<domain> for each target, and rate."""
     domains = sorted(targets)
     members = cut(posteriors(docs, *train(docs, labelled, domains, buckets, max_train), keep=keep))
