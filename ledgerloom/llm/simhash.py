@@ -13,9 +13,9 @@ is not paired: its members are linked through their midpoints instead (each emit
 one-bit changes; two fingerprints share one exactly if they differ in at most two bits), which is linear
 and exact.
 
-``near_duplicates`` links by the three-word shingles' fingerprint alone. ``similar_groups`` and
-``keep_one``, for a pipeline that must catch copies with a few changed words, add links by several
-fingerprints of the distinct words.
+``near_duplicates`` links by the three-word shingles' fingerprint alone. ``similar_groups``, for corpora
+where copies with a few changed words must be caught, adds links by several fingerprints of the distinct
+words, each at the cost of the first.
 
 Defined cases: null and empty texts have the fingerprint zero, linked like any other; texts under three
 words have one shingle, the whole sequence; repeated rows share their doc_id's component; rows without
@@ -214,13 +214,18 @@ def similar_groups(docs: DataFrame, word_prints: int = 6, hot: int = 32) -> Data
     return prints.select("doc_id", "node").join(named, "node").select("doc_id", "group_id")
 
 
-def keep_one(docs: DataFrame, word_prints: int = 6, hot: int = 32, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """The rows of ``docs`` with one document of each of ``similar_groups``: the one with the smallest doc_id.
+def keep_one(docs: DataFrame, word_prints: int = 0, hot: int = 32, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` with one document of each group: the one with the smallest doc_id.
+
+    Groups are those of ``near_duplicates``, or of ``similar_groups`` with ``word_prints`` of them.
 
     Rows to drop are found by id. Up to ``broadcast_rows`` ids (counted) are broadcast, so texts are not
     shuffled; more take a shuffled anti-join. Rows that repeat a kept doc_id are merged to one.
     """
-    found = cut(similar_groups(docs, word_prints, hot))
+    if word_prints:
+        found = cut(similar_groups(docs, word_prints, hot))
+    else:
+        found = cut(near_duplicates(docs, hot).select("doc_id", F.col("component_id").alias("group_id")))
     drop = found.filter("doc_id <> group_id or (doc_id is null and group_id is not null)").select("doc_id").distinct()
     again = cut(found.filter("doc_id = group_id or group_id is null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     drop = cut(drop)

@@ -328,9 +328,9 @@ def test_keep_one_finds_changed_copies(spark):
     rng = np.random.default_rng(5)
     base = [" ".join(f"w{rng.integers(10**6)}" for _ in range(300)) for _ in range(20)]
     near = [" ".join("zz" if k in (50, 200) else w for k, w in enumerate(t.split())) for t in base]
-    kept = {r["doc_id"] for r in simhash.keep_one(frame(spark, base + near)).collect()}
+    kept = {r["doc_id"] for r in simhash.keep_one(frame(spark, base + near), word_prints=6).collect()}
     assert set(range(1, 21)) <= kept and len(kept) <= 22
-    assert {r["doc_id"] for r in simhash.keep_one(frame(spark, base + near), broadcast_rows=0).collect()} == kept
+    assert {r["doc_id"] for r in simhash.keep_one(frame(spark, base + near), word_prints=6, broadcast_rows=0).collect()} == kept
 
 
 # ---------------------------------------------------------------- 8
