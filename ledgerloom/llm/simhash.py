@@ -8,10 +8,12 @@ distance 3; its keys are the codewords within distance 4 (one, or six where the
 If two segments differ in one bit, the home of either is among the keys of the other. Homes are joined
 with keys and the pairs verified by their Hamming distance.
 
-Equal fingerprints are merged before the join. A key that more than ``hot`` distinct fingerprints share
-is not paired: its members are linked through their midpoints instead (each emits itself and its 64
-one-bit changes; two fingerprints share one exactly if they differ in at most two bits), which is linear
-and exact.
+Equal fingerprints are merged before the join. Fingerprints are dealt out by their exact segments, three
+rows each, and the Golay keys are made and joined inside these spots, so keys are not shuffled. Spots of
+more than ``SPOT`` fingerprints (counted), or with a home that more than ``hot`` of them share, go to a
+distributed join of the keys. There a key with more than ``hot`` homes is not paired: its members are
+linked through their midpoints instead (each emits itself and its 64 one-bit changes; two fingerprints
+share one exactly if they differ in at most two bits), which is linear and exact.
 
 ``near_duplicates`` links by the three-word shingles' fingerprint alone. ``similar_groups``, for corpora
 where copies with a few changed words must be caught, adds links by several fingerprints of the distinct
@@ -41,6 +43,8 @@ GENERATOR = 0xC75
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: (exact, fuzzy) segments of the three keys.
 KEYS = ((0, 1), (1, 2), (2, 0))
+#: Distinct fingerprints with the same exact segment that one task matches; fuller spots are joined over tasks.
+SPOT = 16384
 
 
 def fingerprint(text: str | None) -> int:
@@ -137,47 +141,136 @@ def golay_keys(segment: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tu
 
 
 def fuzzy_keys(fps: DataFrame) -> DataFrame:
-    """(key, fp, home): for each fingerprint its three home keys and the keys it can be found by."""
+    """(key, part, fp, home): for each fingerprint its three home keys and the keys it can be found by."""
 
     def run(batches):
         tables = golay_tables()
         for batch in batches:
             for at in range(0, batch.num_rows, 20000):
-                fp = batch.column(0).slice(at, 20000).to_numpy(zero_copy_only=False).astype(np.int64)
-                u = fp.view(np.uint64)
-                seg = [(u >> np.uint64(lo) & np.uint64((1 << w) - 1)).astype(np.int64) for lo, w in SEGMENTS]
+                part = batch.column(0).slice(at, 20000).to_numpy(zero_copy_only=False).astype(np.int64)
+                fp = batch.column(1).slice(at, 20000).to_numpy(zero_copy_only=False).astype(np.int64)
+                seg = segments(fp)
                 for k, (exact, fuzzy) in enumerate(KEYS):
                     home, rows, codes = golay_keys(seg[fuzzy], tables)
                     for is_home, r, c in ((True, np.arange(fp.size), home), (False, rows, codes)):
-                        key = (seg[exact][r] << 14) | (c << 2) | k
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[r]), pa.array(np.full(r.size, is_home))], names=["key", "fp", "home"])
+                        key = (part[r] << 40) | (seg[exact][r] << 14) | (c << 2) | k
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[r]), pa.array(fp[r]), pa.array(np.full(r.size, is_home))], names=["key", "part", "fp", "home"])
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long, home boolean")
+    return fps.select(F.col("part").cast("long"), "fp").mapInArrow(run, "key long, part long, fp long, home boolean")
 
 
-def links(fps: DataFrame, hot: int = 32) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints whose components are those of all pairs within two bits."""
+def segments(fp: np.ndarray) -> list[np.ndarray]:
+    u = fp.view(np.uint64)
+    return [(u >> np.uint64(lo) & np.uint64((1 << w) - 1)).astype(np.int64) for lo, w in SEGMENTS]
+
+
+def match_spots(spot: np.ndarray, fp: np.ndarray, hot: int, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of the same spot within two bits, by home and keys; and the rows of spots with a hot home.
+
+    ``spot`` is sorted. Pairs are two arrays of row numbers; rows of hot spots are in no pair.
+    """
+    _, number, count = np.unique(spot, return_inverse=True, return_counts=True)
+    live = np.nonzero(count[number] > 1)[0]
+    none = np.empty(0, np.int64)
+    if not live.size:
+        return none, none, none
+    seg, slot = segments(fp[live]), spot[live] & 3
+    fuzzy = np.choose(slot, [seg[f] for _, f in KEYS])
+    home, rows, codes = golay_keys(fuzzy, tables)
+    homes = number[live] << 12 | home
+    shared, many = np.unique(homes, return_counts=True)
+    crowded = np.isin(number[live], shared[many > hot] >> 12)
+    order = np.argsort(homes[~crowded], kind="stable")
+    member, ordered = live[~crowded][order], homes[~crowded][order]
+    keep = ~crowded[rows]
+    keyed, wanted = live[rows[keep]], number[live][rows[keep]] << 12 | codes[keep]
+    left, right = [none], [none]
+    for at in range(0, keyed.size, 20000):
+        low, high = (np.searchsorted(ordered, wanted[at : at + 20000], side) for side in ("left", "right"))
+        n = high - low
+        b = np.repeat(keyed[at : at + 20000], n)
+        a = member[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        near = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= 2
+        near &= fp[a] < fp[b]
+        left.append(a[near])
+        right.append(b[near])
+    return np.concatenate(left), np.concatenate(right), live[crowded]
+
+
+def spot_links(spots: DataFrame, hot: int) -> DataFrame:
+    """(part, a, b) within the spots; b is null where fingerprint a lies in a spot with a hot home."""
+
+    def run(batches):
+        tables = golay_tables()
+        names = ["part", "a", "b"]
+
+        def out(spot, fp):
+            a, b, crowded = match_spots(spot, fp, hot, tables)
+            yield pa.RecordBatch.from_arrays([pa.array(spot[a] >> 40), pa.array(fp[a]), pa.array(fp[b])], names=names)
+            if crowded.size:
+                yield pa.RecordBatch.from_arrays([pa.array(spot[crowded] >> 40), pa.array(fp[crowded]), pa.nulls(crowded.size, pa.int64())], names=names)
+
+        spot, fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            spot = np.concatenate([spot, batch.column(0).to_numpy(zero_copy_only=False)])
+            fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False)])
+            if not spot.size:
+                continue
+            end = int(np.searchsorted(spot, spot[-1]))  # the last spot may go on in the next batch
+            if end:
+                yield from out(spot[:end], fp[:end])
+                spot, fp = spot[end:], fp[end:]
+        if spot.size:
+            yield from out(spot, fp)
+
+    return spots.select("spot", "fp").repartition("spot").sortWithinPartitions("spot").mapInArrow(run, "part long, a long, b long")
+
+
+def crowded_links(fps: DataFrame, hot: int) -> DataFrame:
+    """(part, a, b) of few or many fingerprints whose spots are too full for one task."""
     keys = fuzzy_keys(fps)
-    homes = keys.filter("home").select("key", "fp")
-    crowded = homes.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key")
-    crowded = cut(crowded)
+    homes = keys.filter("home").select("key", "part", "fp")
+    crowded = cut(homes.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key"))
     if crowded.isEmpty():
         plain, dense = keys, None
     else:
         plain = keys.join(crowded, "key", "left_anti")
-        dense = keys.join(crowded, "key", "left_semi").select("fp").distinct()
-    left = plain.filter("home").select("key", F.col("fp").alias("a"))
+        dense = keys.join(crowded, "key", "left_semi").select("part", "fp").distinct()
+    left = plain.filter("home").select("key", "part", F.col("fp").alias("a"))
     right = plain.filter("not home").select("key", F.col("fp").alias("b"))
-    out = left.join(right, "key").filter("a < b and bit_count(a ^ b) <= 2").select("a", "b")
+    out = left.join(right, "key").filter("a < b and bit_count(a ^ b) <= 2").select("part", "a", "b")
     if dense is not None:
         one = F.lit(1).cast("long")
         flip = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", one, i)))
-        spots = dense.select("fp", F.explode(F.array_append(flip, F.col("fp"))).alias("mid"))
-        low = spots.groupBy("mid").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").select("mid", "a")
-        out = out.union(spots.join(low, "mid").filter("a <> fp").select("a", F.col("fp").alias("b")))
+        spots = dense.select("part", "fp", F.explode(F.array_append(flip, F.col("fp"))).alias("mid"))
+        low = spots.groupBy("part", "mid").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").select("part", "mid", "a")
+        out = out.union(spots.join(low, ["part", "mid"]).filter("a <> fp").select("part", "a", F.col("fp").alias("b")))
     return out
 
 
+def links(fps: DataFrame, hot: int = 32, spot_size: int = SPOT) -> DataFrame:
+    """Edges (a, b) over distinct fingerprints whose components are those of all pairs within two bits.
+
+    With a column part, fingerprints are linked within each part (numbered from 0), and edges have it too.
+    """
+    parted = "part" in fps.columns
+    fps = fps.select((F.col("part") if parted else F.lit(0)).cast("long").alias("part"), "fp")
+    spot = [F.shiftleft("part", 40).bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", SEGMENTS[e][0]).bitwiseAND(F.lit((1 << SEGMENTS[e][1]) - 1)), 2)).bitwiseOR(F.lit(k)) for k, (e, _) in enumerate(KEYS)]
+    spots = fps.select(F.explode(F.array(*spot)).alias("spot"), "fp")
+    full = cut(spots.groupBy("spot").agg(F.count("*").alias("n")).filter(F.col("n") > spot_size).select("spot"))
+    referred = None
+    if not full.isEmpty():
+        referred = spots.join(full, "spot", "left_semi").select(F.shiftright("spot", 40).alias("part"), "fp")
+        spots = spots.join(full, "spot", "left_anti")
+    found = cut(spot_links(spots, hot))
+    hot_rows = found.filter("b is null").select("part", F.col("a").alias("fp"))
+    referred = hot_rows if referred is None else referred.union(hot_rows)
+    out = found.filter("b is not null")
+    if not referred.isEmpty():
+        out = out.union(crowded_links(cut(referred.distinct()), hot))
+    return out if parted else out.select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, hot: int = 32) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that can be reached) for every row."""
     prints = cut(fingerprints(docs).select("doc_id", "fp"))
@@ -190,23 +283,24 @@ def near_duplicates(docs: DataFrame, hot: int = 32) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, word_prints: int = 6, hot: int = 32) -> DataFrame:
-    """(doc_id, group_id): components over the links of the shingles' fingerprint and of each word fingerprint.
+def similar_groups(docs: DataFrame, word_prints: int = 4, hot: int = 32, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(doc_id, group_id): components over the links of each word fingerprint.
 
     Every fingerprint is linked within two bits, exactly and without pairs inside crowded keys. Documents
-    with all fingerprints equal are one node; group_id is the smallest doc_id that can be reached.
+    with all fingerprints, the shingles' one too, equal are one node; group_id is the smallest doc_id that
+    can be reached. Up to ``broadcast_rows`` links (counted) are broadcast.
     """
-    prints = cut(fingerprints(docs, word_prints).select("doc_id", F.concat(F.array("fp"), "prints").alias("p")).select("doc_id", F.xxhash64("p").alias("node"), "p"))
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("p").alias("p")))
-    edges = None
-    for k in range(word_prints + 1):
-        of = nodes.select("node", F.col("p")[k].alias("fp"))
-        heads = of.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n"))
-        same = of.join(heads.filter("n > 1"), "fp").select(F.col("node").alias("a"), F.col("head").alias("b")).filter("a <> b")
-        near = links(heads.select("fp"), hot)
-        near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")).filter("a <> b")
-        found = cut(same.union(near).distinct())
-        edges = found if edges is None else edges.union(found)
+    prints = cut(fingerprints(docs, word_prints).select("doc_id", F.xxhash64(F.concat(F.array("fp"), "prints")).alias("node"), "prints"))
+    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("prints").alias("prints")))
+    heads = cut(nodes.select("node", F.posexplode("prints").alias("part", "fp")).groupBy("part", "fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
+    same = nodes.select("node", F.posexplode("prints").alias("part", "fp")).join(heads.filter("n > 1").drop("n"), ["part", "fp"]).select(F.col("node").alias("a"), F.col("head").alias("b")).filter("a <> b")
+    near = cut(links(heads.select("part", "fp"), hot).distinct())
+    small = near.count() <= broadcast_rows
+    side = lambda df: F.broadcast(df) if small else df
+    of_a = heads.select("part", F.col("fp").alias("a"), F.col("head").alias("ha")).join(side(near), ["part", "a"])
+    of_b = heads.select("part", F.col("fp").alias("b"), F.col("head").alias("hb")).join(side(near), ["part", "b"])
+    near = of_a.join(side(of_b), ["part", "a", "b"]).select(F.col("ha").alias("a"), F.col("hb").alias("b")).filter("a <> b")
+    edges = same.union(near).distinct()
     parts = connected_components(edges)
     joined = nodes.select("node", "least").join(parts, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of_root = joined.groupBy("root").agg(F.min("least").alias("group_id"))

@@ -302,6 +302,28 @@ def test_links_keep_every_chain(spark, hot):
     assert groups(lambda i: got.get(ids[i], ids[i])) == groups(lambda i: want[i])
 
 
+@pytest.mark.parametrize(("hot", "spot_size"), [(32, 100_000), (2, 100_000), (32, 3), (2, 0)])
+def test_links_by_part_are_the_pairs_within_two_bits(spark, hot, spot_size):
+    rng = np.random.default_rng(11)
+    base = [int(x) for x in rng.integers(-(2**63), 2**63, 6)]
+    near = [(b ^ sum(1 << int(k) for k in rng.choice(62, n, replace=False))) for b in base for n in (1, 1, 2, 2, 2, 3, 4)]
+    rows = {(k, f) for k in range(3) for f in base + near if (f + k) % 3}
+    got = simhash.links(spark.createDataFrame(sorted(rows), "part int, fp long"), hot, spot_size).select("part", F.struct("part", "a").alias("a"), F.struct("part", "b").alias("b"))
+    pairs = {((r["a"]["part"], r["a"]["a"]), (r["b"]["part"], r["b"]["b"])) for r in got.collect()}
+    want = {(x, y) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and ((x[1] ^ y[1]) % 2**64).bit_count() <= 2}
+
+    def groups(edges):
+        root = {x: x for x in rows}
+        for _ in rows:
+            for x, y in edges:
+                root[x] = root[y] = min(root[x], root[y])
+        return root
+
+    assert groups(pairs) == groups(want)
+    if hot == 32 and spot_size > 3:
+        assert pairs == want
+
+
 def test_golay_keys_share_the_home_within_one_bit():
     tables = simhash.golay_tables()
     v = np.random.default_rng(2).integers(0, 1 << 23, 500)
