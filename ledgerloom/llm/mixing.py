@@ -139,9 +139,10 @@ def fit_rates(members: DataFrame, targets: list[float], tolerance: float = 1e-4,
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], buckets: int = 8192, max_train: int = 20000, tolerance: float = 1e-4, max_steps: int = 60, keep: list[str] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with n_tokens, a posterior column p_<domain> for each target, and rate."""
     domains = sorted(targets)
-    members = cut(posteriors(docs, *train(docs, labelled, domains, buckets, max_train), keep=keep))
-    steps = fit_rates(members, [targets[d] for d in domains], tolerance, max_steps)
-    return members.select(*keep, "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], rate(steps).alias("rate"))
+    model = train(docs, labelled, domains, buckets, max_train)
+    # The steps read tokens and posteriors alone; texts are never stored, but their posteriors made again.
+    steps = fit_rates(cut(posteriors(docs, *model, keep=[])), [targets[d] for d in domains], tolerance, max_steps)
+    return posteriors(docs, *model, keep=keep).select(*keep, "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], rate(steps).alias("rate"))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
