@@ -86,7 +86,8 @@ def posteriors(docs: DataFrame, ratios: list[list[float]], priors: list[float],
         return let(F.array(*sums), lambda x: let(F.transform(x, lambda v: F.exp(v - F.array_max(x))), lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, v: s + v), lambda n: F.transform(e, lambda v: v / n))))
 
     members = let(F.transform(filled(F.col("text")), lambda x: bucket(x, buckets)), lambda b: F.struct(F.size(b).cast("long").alias("n_tokens"), let(F.array_distinct(b), scores).alias("p")))
-    return docs.select(*keep, members.alias("__m")).select(*keep, "__m.n_tokens", "__m.p")
+    # A generator of one row: filters on what is made of p would else be moved below and make p again.
+    return docs.select(*keep, F.inline(F.array(members)))
 
 
 def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
