@@ -16,8 +16,12 @@ linked through their midpoints instead (each emits itself and its 64 one-bit cha
 share one exactly if they differ in at most two bits), which is linear and exact.
 
 ``near_duplicates`` links by the three-word shingles' fingerprint alone. ``similar_groups``, for corpora
-where copies with a few changed words must be caught, adds links by several fingerprints of the distinct
-words, each at the cost of the first.
+where copies with a few changed words must be caught, links texts whose sets of five-word shingles have a
+Jaccard similarity of at least 0.8, every link verified on the sets. Candidates come from fingerprints of
+the distinct words by Golay keys, and from a prefix join that misses no pair: two such texts share one of
+the first n - ceil(0.8 n) + 1 shingles of either in any fixed order. Shingles in many prefixes are ordered
+last; where a text still has such ones in its prefix, it meets one text for each of up to ``STARS`` of
+them instead of all, so a large group of mutual copies takes a linear number of candidates.
 
 Defined cases: null and empty texts have the fingerprint zero, linked like any other; texts under three
 words have one shingle, the whole sequence; repeated rows share their doc_id's component; rows without
@@ -45,6 +49,17 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 KEYS = ((0, 1), (1, 2), (2, 0))
 #: Distinct fingerprints with the same exact segment that one task matches; fuller spots are joined over tasks.
 SPOT = 16384
+#: Words of a shingle in ``similar_groups``, and the links' least Jaccard similarity as a fraction.
+SHINGLE, SIMILAR = 5, (4, 5)
+#: Texts with one prefix shingle that are paired with each other; the shingles of more are common, and
+#: a text meets one other text for each of so many common ones.
+CROWD, STARS = 64, 8
+#: Common shingles, the most frequent first, that are ordered last.
+COMMON = 500_000
+#: Differing bits of two 64-bit sketches beyond which a pair is not verified. A bit differs with probability
+#: (1 - J) / 2, so at J = 0.8 more than 25 of 64 differ once in 10**9 pairs.
+APART = 25
+_SALTS = np.array([(2 * k + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF for k in range(64)], np.uint64)
 
 
 def fingerprint(text: str | None) -> int:
@@ -88,6 +103,46 @@ def word_fingerprints(text: str | None, count: int) -> list[int]:
     return out
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the text's five-word shingles; fewer words make one shingle, no words none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+    width = min(SHINGLE, h.size)
+    if not width:
+        return h
+    out = np.full(h.size - width + 1, width, np.uint64)
+    for k in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + out.size]
+        out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(31)
+    return np.unique(out)
+
+
+def sketch(shingles: np.ndarray) -> int:
+    """64 bits, each the parity of one min-hash of the set."""
+    if not shingles.size:
+        return 0
+    least = np.full(64, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, shingles.size, 4096):
+        g = shingles[None, at : at + 4096] ^ _SALTS[:, None]
+        g *= np.uint64(0xBF58476D1CE4E5B9)
+        g ^= g >> np.uint64(32)
+        g *= np.uint64(0x94D049BB133111EB)
+        np.minimum(least, g.min(axis=1), out=least)
+    least ^= least >> np.uint64(29)
+    return int(np.packbits((np.bitwise_count(least) & 1).astype(bool), bitorder="little").view(np.uint64)[0])
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 shingles by hash, those in ``common`` (sorted) last."""
+    n = shingles.size
+    if common is not None and common.size and n:
+        late = common[np.minimum(np.searchsorted(common, shingles), common.size - 1)] == shingles
+        shingles = np.concatenate([shingles[~late], shingles[late]])
+    up, down = SIMILAR
+    return shingles[: n - -(-up * n // down) + 1] if n else shingles
+
+
 def _signed(fp: int) -> int:
     return fp - (1 << 64) if fp >> 63 else fp
 
@@ -283,15 +338,100 @@ def near_duplicates(docs: DataFrame, hot: int = 32) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, word_prints: int = 4, hot: int = 32, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(doc_id, group_id): components over the links of each word fingerprint.
+def shingle_rows(docs: DataFrame, word_prints: int) -> DataFrame:
+    """(doc_id, node, size, sketch, prints, prefix): node names the text's shingle set and size counts it."""
 
-    Every fingerprint is linked within two bits, exactly and without pairs inside crowded keys. Documents
-    with all fingerprints, the shingles' one too, equal are one node; group_id is the smallest doc_id that
-    can be reached. Up to ``broadcast_rows`` links (counted) are broadcast.
-    """
-    prints = cut(fingerprints(docs, word_prints).select("doc_id", F.xxhash64(F.concat(F.array("fp"), "prints")).alias("node"), "prints"))
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("prints").alias("prints")))
+    def make():
+        def step(cols):
+            for doc_id, text in zip(*cols, strict=True):
+                s = shingle_set(text)
+                yield doc_id, _signed(xxhash.xxh64_intdigest(s.tobytes(), 42)), s.size, _signed(sketch(s)), [_signed(x) for x in word_fingerprints(text, word_prints)], prefix(s).view(np.int64).tolist()
+
+        return step
+
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, node long, size long, sketch long, prints array<long>, prefix array<long>", make, 1000)
+
+
+def _of_texts(docs: DataFrame, ids: DataFrame, pick, small: bool) -> DataFrame:
+    """(node, s) for the documents whose id is in ``ids``, s what ``pick`` takes of the shingle set; one row a node."""
+
+    def make():
+        def step(cols):
+            for (text,) in zip(*cols, strict=True):
+                s = shingle_set(text)
+                yield _signed(xxhash.xxh64_intdigest(s.tobytes(), 42)), pick(s).view(np.int64).tolist()
+
+        return step
+
+    ids = ids.select(F.col("least").alias("__id")).distinct()
+    texts = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi").select("text")
+    return map_rows(texts, "node long, s array<long>", make, 1000).groupBy("node").agg(F.first("s").alias("s"))
+
+
+def shingle_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b) of texts that share a prefix shingle and whose sizes and sketches allow the similarity; rows are (h, node, size, sketch)."""
+    up, down = SIMILAR
+
+    def run(batches):
+        def out(h, node, size, bits):
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            n = np.repeat(np.diff(np.append(first, h.size)), np.diff(np.append(first, h.size)))
+            place = np.arange(h.size) - np.repeat(first, np.diff(np.append(first, h.size)))
+            left, right = [], []
+            for d in range(1, int(n.max())):
+                i = np.flatnonzero(place + d < n)
+                j = i + d
+                near = (down * np.minimum(size[i], size[j]) >= up * np.maximum(size[i], size[j])) & (node[i] != node[j])
+                near &= np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)) <= APART
+                left.append(np.minimum(node[i], node[j])[near])
+                right.append(np.maximum(node[i], node[j])[near])
+            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0) if left else np.empty((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        held = [np.empty(0, np.int64)] * 4
+        for batch in batches:
+            held = [np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate(held)]
+            if not held[0].size:
+                continue
+            end = int(np.searchsorted(held[0], held[0][-1]))  # the last shingle may go on in the next batch
+            if end:
+                yield out(*[x[:end] for x in held])
+                held = [x[end:] for x in held]
+        if held[0].size:
+            yield out(*held)
+
+    return rows.select("h", "node", "size", "sketch").repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long").distinct()
+
+
+def prefix_candidates(docs: DataFrame, nodes: DataFrame, broadcast_rows: int, crowd: int) -> DataFrame:
+    """(a, b) of nodes that may be similar, by shared prefix shingles."""
+    explode = lambda df: df.select("node", "size", "sketch", "least", F.posexplode("prefix").alias("pos", "h"))
+    crowded = lambda df: cut(df.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > crowd))
+    rows = explode(nodes)
+    common = crowded(rows)
+    if not common.isEmpty():
+        got = np.sort(common.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()["h"].to_numpy().view(np.uint64))
+        shared = docs.sparkSession.sparkContext.broadcast(got)
+        hit = cut(rows.join(F.broadcast(common.orderBy(F.desc("n"), "h").limit(COMMON).select("h")), "h", "left_semi").select("node", "least").distinct())
+        again = _of_texts(docs, hit, lambda s: prefix(s, shared.value), hit.count() <= broadcast_rows)
+        nodes = cut(nodes.select("node", "size", "sketch", "least", "prefix").join(again, "node", "left").select("node", "size", "sketch", "least", F.coalesce("s", "prefix").alias("prefix")))
+        rows = explode(nodes)
+        common = crowded(rows)
+    if common.isEmpty():
+        return shingle_pairs(rows)
+    side = common.select("h") if common.count() > broadcast_rows else F.broadcast(common.select("h"))
+    many = cut(rows.join(side, "h", "left_semi").select("h", "node", "size", "sketch", "pos"))
+    heads = many.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", "h"), F.col("node"), F.col("size"), F.col("sketch"))).alias("m")).select("h", F.col("m.node").alias("head"), F.col("m.size").alias("head_size"), F.col("m.sketch").alias("head_sketch"))
+    heads = heads if common.count() > broadcast_rows else F.broadcast(heads)
+    few = many.groupBy("node", "size", "sketch").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "h"))), 1, STARS).alias("f")).select("node", "size", "sketch", F.explode("f.h").alias("h"))
+    up, down = SIMILAR
+    stars = few.join(heads, "h").filter(F.col("node") != F.col("head")).filter(down * F.least("size", "head_size") >= up * F.greatest("size", "head_size")).filter(F.bit_count(F.col("sketch").bitwiseXOR(F.col("head_sketch"))) <= APART)
+    stars = stars.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+    return shingle_pairs(rows.join(side, "h", "left_anti")).union(stars)
+
+
+def print_candidates(nodes: DataFrame, hot: int, broadcast_rows: int) -> DataFrame:
+    """(a, b) of nodes by the word fingerprints: equal ones and those within two bits."""
     heads = cut(nodes.select("node", F.posexplode("prints").alias("part", "fp")).groupBy("part", "fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
     same = nodes.select("node", F.posexplode("prints").alias("part", "fp")).join(heads.filter("n > 1").drop("n"), ["part", "fp"]).select(F.col("node").alias("a"), F.col("head").alias("b")).filter("a <> b")
     near = cut(links(heads.select("part", "fp"), hot).distinct())
@@ -300,8 +440,35 @@ def similar_groups(docs: DataFrame, word_prints: int = 4, hot: int = 32, broadca
     of_a = heads.select("part", F.col("fp").alias("a"), F.col("head").alias("ha")).join(side(near), ["part", "a"])
     of_b = heads.select("part", F.col("fp").alias("b"), F.col("head").alias("hb")).join(side(near), ["part", "b"])
     near = of_a.join(side(of_b), ["part", "a", "b"]).select(F.col("ha").alias("a"), F.col("hb").alias("b")).filter("a <> b")
-    edges = same.union(near).distinct()
-    parts = connected_components(edges)
+    pairs = same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for x in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
+    up, down = SIMILAR
+    return pairs.filter(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= APART).filter(down * F.least("na", "nb") >= up * F.greatest("na", "nb")).select("a", "b")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The (a, b) whose shingle sets have a Jaccard similarity of at least 0.8, by exact sets."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = cut(nodes.select("node", "least").join(wanted, "node"))
+    sets = cut(_of_texts(docs, ids, lambda s: s, ids.count() <= broadcast_rows).join(wanted, "node", "left_semi"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    up, down = SIMILAR
+    # up/down <= shared / (|a| + |b| - shared), in whole numbers
+    return both.filter((up + down) * F.size(F.array_intersect("sa", "sb")) >= up * (F.size("sa") + F.size("sb"))).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, word_prints: int = 4, hot: int = 32, broadcast_rows: int = 1_000_000, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, group_id): components over the pairs whose five-word shingle sets are at least 0.8 similar.
+
+    Documents with equal sets are one node; group_id is the smallest doc_id that can be reached. Candidates
+    come from the word fingerprints (within two bits, exactly and without pairs inside crowded keys) and
+    the prefix join; only verified ones link. Up to ``broadcast_rows`` rows (counted) are broadcast.
+    """
+    prints = cut(shingle_rows(docs, word_prints))
+    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("prints").alias("prints"), F.first("prefix").alias("prefix")))
+    pairs = cut(print_candidates(nodes, hot, broadcast_rows).union(prefix_candidates(docs, nodes, broadcast_rows, crowd)).distinct())
+    parts = connected_components(verified(docs, nodes, pairs, broadcast_rows))
     joined = nodes.select("node", "least").join(parts, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of_root = joined.groupBy("root").agg(F.min("least").alias("group_id"))
     named = joined.filter("root <> node").join(of_root, "root").select("node", "group_id").union(of_root.select(F.col("root").alias("node"), "group_id"))

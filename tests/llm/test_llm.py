@@ -355,6 +355,34 @@ def test_keep_one_finds_changed_copies(spark):
     assert {r["doc_id"] for r in simhash.keep_one(frame(spark, base + near), word_prints=6, broadcast_rows=0).collect()} == kept
 
 
+def word_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize(("crowd", "bound"), [(64, 1_000_000), (3, 1_000_000), (64, 0)])
+def test_similar_groups_are_the_pairs_of_similar_shingle_sets(spark, crowd, bound):
+    rng = np.random.default_rng(8)
+    texts = []
+    for size in (12, 40, 90, 200, 203, 400):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, size)]
+        for share in (0.0, 0.004, 0.01, 0.02, 0.03, 0.06, 0.3):
+            texts.append(" ".join(f"z{rng.integers(10**6)}" if rng.random() < share else w for w in base))
+    words = [f"v{k}" for k in range(120)]
+    texts += [" ".join(rng.permutation(words)) for _ in range(4)]  # the same words, no shingle in common
+    sets = [word_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                root[i] = root[j] = min(root[i], root[j])
+    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(frame(spark, texts), broadcast_rows=bound, crowd=crowd).collect()}
+    if crowd == 64:
+        assert got == {i + 1: r + 1 for i, r in enumerate(root)}
+    else:  # common shingles are not paired out: no false link
+        assert all(root[i - 1] == root[g - 1] for i, g in got.items())
+
+
 # ---------------------------------------------------------------- 8
 def slow_tokens(text):
     return [*(re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")), None]
