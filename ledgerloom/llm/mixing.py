@@ -6,8 +6,9 @@ log-ratio of at least ``min_ratio`` count. Nonnegative document rates r then min
 squares distance between the expected domain token totals, sum of r * n_tokens * p, and the targets.
 The minimisation is projected gradient descent from r = 1: every step sums the totals over all documents,
 solves against the domains' Gram matrix (weight and step in one; domains squared numbers), moves each
-rate by -p * step, and cuts it at zero. A document's rate is a fold over the steps taken so far, so the
-state on the cluster is one small row per document and the lineage does not grow.
+rate by -p * step, and cuts it at zero. A document's rate is a fold over the steps taken; during the
+fit it is stored every ``HOLD`` steps, so a step costs the same throughout and the lineage does not grow.
+Targets still missed after the last step are logged as a warning with the remaining gap.
 
 Defined cases: null and empty texts have no tokens and get the labelled table's domain shares as
 posteriors; null domains are not learned; without labelled rows all named domains are equally likely;
@@ -17,6 +18,7 @@ repeated rows are separate documents; a domain without mass keeps its total; ext
 from __future__ import annotations
 
 import json
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_fraction, cut, hash_share, let
 
+#: Steps after which the fit stores rates.
+HOLD = 10
+
 
 def tokens(col: Column) -> Column:
     """Lower-case words and runs of other marks."""
@@ -109,16 +114,20 @@ def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [m[i][n] / m[i][i] if abs(m[i][i]) >= 1e-300 else 0.0 for i in range(n)]
 
 
-def rate(steps: list[list[float]]) -> Column:
-    """The rate after projected steps: a fold of max(0, r - p . step) from 1."""
+def rate(steps: list[list[float]], start: Column | None = None) -> Column:
+    """The rate after projected steps: a fold of max(0, r - p . step) from ``start``, 1 by default."""
+    start = F.lit(1.0) if start is None else start
     if not steps:
-        return F.lit(1.0)
+        return start
     plan = constant(steps, "array<array<double>>")
-    return F.aggregate(plan, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with("p", s, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
+    return F.aggregate(plan, start, lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with("p", s, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
+
 
+def fit_rates(members: DataFrame, targets: list[float], tolerance: float = 1e-4, max_steps: int = 150) -> list[list[float]]:
+    """Steps of projected gradient descent until every domain's total is within ``tolerance`` of the whole.
 
-def fit_rates(members: DataFrame, targets: list[float], tolerance: float = 1e-4, max_steps: int = 60) -> list[list[float]]:
-    """Steps of projected gradient descent until every domain's total is within ``tolerance`` of the whole."""
+    After ``max_steps`` the gap that is left, as a share of all tokens, is logged as a warning.
+    """
     k = len(targets)
     row = members.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)], F.sum("n_tokens").alias("n")).first()
     total = float(row["n"] or 0)
@@ -128,16 +137,23 @@ def fit_rates(members: DataFrame, targets: list[float], tolerance: float = 1e-4,
     whole = sum(targets)
     goal = [total * t / whole for t in targets]
     steps: list[list[float]] = []
-    for _ in range(max_steps):
-        now = members.select((F.col("n_tokens") * rate(steps)).alias("m"), "p").agg(*[F.sum(F.col("m") * F.col("p")[i]).alias(f"t{i}") for i in range(k)]).first()
+    held = members.select("n_tokens", "p", F.lit(1.0).alias("r"))
+    while True:
+        if steps and len(steps) % HOLD == 0:
+            held = cut(held.select("n_tokens", "p", rate(steps[-HOLD:], F.col("r")).alias("r")))
+        fresh = steps[len(steps) // HOLD * HOLD :]
+        now = held.select((F.col("n_tokens") * rate(fresh, F.col("r"))).alias("m"), "p").agg(*[F.sum(F.col("m") * F.col("p")[i]).alias(f"t{i}") for i in range(k)]).first()
         gap = [float(now[f"t{i}"]) - goal[i] for i in range(k)]
         if max(map(abs, gap)) <= tolerance * total:
             break
+        if len(steps) >= max_steps:
+            logging.getLogger(__name__).warning("mixing: after %d steps a domain's total is %.4g of all tokens off its target", len(steps), max(map(abs, gap)) / total)
+            break
         steps.append([round(x, 12) for x in solve(gram, gap)])
     return steps
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], buckets: int = 8192, max_train: int = 20000, tolerance: float = 1e-4, max_steps: int = 60, keep: list[str] = ("doc_id",)) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], buckets: int = 8192, max_train: int = 20000, tolerance: float = 1e-4, max_steps: int = 150, keep: list[str] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with n_tokens, a posterior column p_<domain> for each target, and rate."""
     domains = sorted(targets)
     model = train(docs, labelled, domains, buckets, max_train)

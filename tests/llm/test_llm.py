@@ -186,6 +186,17 @@ def test_mixing_matches_a_plain_solver(spark):
     assert np.allclose(a @ got, goal, rtol=1e-6) and np.allclose(got, r, atol=1e-4)
 
 
+def test_mixing_goes_on_until_the_targets_hold_or_says_what_is_left(spark, caplog):
+    rng = np.random.default_rng(3)
+    n, p = rng.integers(1, 500, 40), rng.dirichlet([0.3, 0.3, 0.3], 40)
+    df = spark.createDataFrame([(i, int(n[i]), [float(x) for x in p[i]]) for i in range(40)], "doc_id long, n_tokens long, p array<double>")
+    steps = mixing.fit_rates(df, [0.7, 0.2, 0.1], 1e-9)
+    got = np.array([r["r"] for r in df.select("doc_id", mixing.rate(steps).alias("r")).orderBy("doc_id").collect()])
+    assert len(steps) > 60 and abs((n * got) @ p / n.sum() - [0.7, 0.2, 0.1]).max() <= 1.1e-9 and not caplog.records
+    mixing.fit_rates(spark.createDataFrame([(9, [0.5, 0.5])], "n_tokens long, p array<double>"), [0.9, 0.1], max_steps=3)
+    assert "after 3 steps a domain's total is 0.4 of all tokens off" in caplog.text
+
+
 def test_mixing_edges(spark, odd):
     none = spark.createDataFrame([], "doc_id long, domain string")
     got = mixing.mix(odd, none, {"a": 0.5, "b": 0.5}).toPandas()
