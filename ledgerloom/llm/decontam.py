@@ -9,6 +9,8 @@ than an item needs are pruned. Candidates are verified by exact shingle containm
 
 Items under five words have no shingle and are never found. Null and empty texts contain nothing.
 Repeated rows of a doc_id count by the best of them. Rows without doc_id are reported with a null id.
+Rows of one item_id are one item with the shingles of all; a row without item_id is an item of its own,
+reported with a null id.
 Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -38,20 +40,27 @@ def _shingle_hashes(words: Column, width: int) -> Column:
     return let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))).otherwise(none))
 
 
+def _item_sets(items: DataFrame, of_text: Column) -> DataFrame:
+    """(key, item_id, s): the distinct elements of ``of_text`` over the rows of each item; key tells items without id apart."""
+    key = F.when(F.col("item_id").isNull(), F.concat(F.lit("t"), F.sha2(F.coalesce("text", F.lit("")), 256))).otherwise(F.concat(F.lit("i"), F.col("item_id").cast("string")))
+    rows = items.select(key.alias("key"), "item_id", of_text.alias("s"))
+    return rows.groupBy("key", "item_id").agg(F.array_distinct(F.flatten(F.collect_set("s"))).alias("s"))
+
+
 def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(item_id, n_item, shingle) rows, one per distinct shingle of an item."""
-    sets = items.select("item_id", _shingles(_words(F.col("text")), width).alias("s"))
-    return sets.select("item_id", F.size("s").cast("long").alias("n_item"), F.explode("s").alias("shingle"))
+    """(key, item_id, n_item, shingle) rows, one per distinct shingle of an item."""
+    sets = _item_sets(items, _shingles(_words(F.col("text")), width))
+    return sets.select("key", "item_id", F.size("s").cast("long").alias("n_item"), F.explode("s").alias("shingle"))
 
 
 def sketches(items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """(h, item_id, need): the bottom-m MinHash values of every item, m by size class."""
-    sets = items.select("item_id", F.array_sort(F.array_distinct(_shingle_hashes(_words(F.col("text")), width))).alias("s")).filter("size(s) > 0")
+    """(h, key, need): the bottom-m MinHash values of every item, m by size class."""
+    sets = _item_sets(items, _shingle_hashes(_words(F.col("text")), width)).select("key", F.array_sort("s").alias("s")).filter("size(s) > 0")
     n = F.size("s")
     largest = F.pow(F.lit(2), F.floor(F.log2(n.cast("double"))) + 1) - 1
     m = F.least(n, (largest - F.ceil(largest * threshold - 1e-9) + 1).cast("int"))
     need = F.ceil(n * F.lit(threshold) - 1e-9).cast("long")
-    return sets.select("item_id", need.alias("need"), F.explode(F.slice("s", F.lit(1), m)).alias("h"))
+    return sets.select("key", need.alias("need"), F.explode(F.slice("s", F.lit(1), m)).alias("h"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -68,7 +77,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshol
     # A struct keeps the array and its size together, so the generator reads one value computed once.
     hashed = docs.select("doc_id", F.explode(F.transform(F.array(_shingle_hashes(_words(F.col("text")), width)), lambda s: F.struct(F.size(s).alias("n_doc"), s.alias("s")))).alias("d"))
     hits = hashed.select("doc_id", F.col("d.n_doc").alias("n_doc"), F.explode("d.s").alias("h")).join(marks, "h").filter("n_doc >= need")
-    pairs = cut(hits.select("doc_id", "item_id").distinct())
+    pairs = cut(hits.select("doc_id", "key").distinct())
     # Exact check, on the texts of candidates only.
     found = pairs.select(F.col("doc_id").alias("c_doc")).distinct()
     if pairs.count() <= broadcast_rows:
@@ -76,9 +85,9 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshol
     texts = docs.join(found, F.col("doc_id").eqNullSafe(F.col("c_doc")), "left_semi").withColumn("row", F.monotonically_increasing_id())
     words = texts.select("doc_id", "row", F.explode(_shingles(_words(F.col("text")), width)).alias("shingle"))
     wanted = item_shingles(items, width)
-    shared = words.join(wanted, "shingle").groupBy("doc_id", "row", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
-    best = shared.groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
-    best = best.join(pairs.select(F.col("doc_id").alias("c_doc"), F.col("item_id").alias("c_item")), F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("item_id") == F.col("c_item")), "left_semi")
+    shared = words.join(wanted, "shingle").groupBy("doc_id", "row", "key", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
+    best = shared.groupBy("doc_id", "key", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
+    best = best.join(pairs.select(F.col("doc_id").alias("c_doc"), F.col("key").alias("c_key")), F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("key") == F.col("c_key")), "left_semi")
     # Whole-number comparison, so that 4 of 5 counts as 0.8.
     return best.filter(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold) - 1e-9)).select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 

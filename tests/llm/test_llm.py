@@ -159,6 +159,17 @@ def test_decontamination_edges(spark, odd):
     assert decontam.contaminated(odd, items.limit(0)).count() == 0 and decontam.contaminated(odd.limit(0), items).count() == 0
 
 
+def test_decontamination_with_repeated_and_null_items(spark):
+    w = [f"w{k}" for k in range(24)]
+    item, other = " ".join(w), " ".join(f"x{k}" for k in range(24))
+    texts = [" ".join(w[:12]), item, other, "nothing of either " * 5]  # 8 of the item's 20 shingles; all; all of a null item
+    items = spark.createDataFrame([(1, item), (1, item), (None, other), (None, "y " * 30), (2, " ".join(w[:14])), (2, " ".join(w[10:]))], "item_id long, text string")
+    for bound in (2_000_000, 0):
+        got = sorted((r["doc_id"], r["item_id"] or 0, r["n_shared"], r["n_item"], r["containment"]) for r in decontam.contaminated(frame(spark, texts), items, broadcast_rows=bound).collect())
+        assert got == [(2, 1, 20, 20, 1.0), (2, 2, 20, 20, 1.0), (3, 0, 20, 20, 1.0)]
+    assert {r["doc_id"] for r in decontam.remove_contaminated(frame(spark, texts), items).collect()} == {1, 4}
+
+
 # ---------------------------------------------------------------- 4
 def test_mixing_meets_its_targets(spark):
     sf = SF.replace("sf0.001", "sf0.01")
