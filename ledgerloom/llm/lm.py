@@ -4,9 +4,9 @@ Counting covers every training document: workers hash tokens (XXH64) and token p
 block of texts, and one shuffle adds up exact counts. The filter stores, for an n-gram of count c, the
 levels 1 ... q, q = 1 + floor(log2 c); a count is read back by probing level after level until one is
 missing, so it can only be overestimated, and with a probability that falls by the false-positive rate
-for each level. The filter has a fixed size (2**``log2_bits`` bits, 32 MB by default) and is broadcast;
-pairs seen once are not stored, and rarer n-grams are left out until the stored levels fit
-``capacity``. It is split into shards by hash prefix, each built in one small group.
+for each level. The filter has 2**``log2_bits`` bits (32 MB by default), or more where the counted levels
+need it, so the same n-grams are kept at every size; it is broadcast. Pairs seen once are not stored. It
+is split into shards by hash prefix, each built in one group.
 
 score: sum over tokens of log10 of  max(c(v w) - D, 0)/c(v) + (1 - M) * (c(w)+1)/(N+V+1), counts from the
 filter, v the token before (the end token at the start), D = 0.75 the discount, and M the share of all
@@ -137,16 +137,11 @@ class LogFrequencyBloom:
         return self.typical(self.probe(values))[back]
 
 
-def build_filter(counts: DataFrame, log2_bits: int = 28, hashes: int = 3, shard_bits: int = 8) -> tuple[LogFrequencyBloom, int]:
-    """The filter and the least count it stores. Shards are built on the executors and gathered; their number and size are fixed."""
+def build_filter(counts: DataFrame, log2_bits: int = 28, hashes: int = 3, shard_bits: int = 8) -> LogFrequencyBloom:
+    """The filter of all counts, of 2**log2_bits bits or the power of two that gives each level twice ``hashes`` bits. Shards are built on the executors and gathered."""
     levels = F.floor(F.log2(F.col("n").cast("double"))) + 1
-    top = 1000
-    sizes = counts.groupBy(F.least(F.col("n"), F.lit(top)).alias("n")).agg(F.sum(levels).alias("levels")).collect()
-    capacity, stored, least = (1 << log2_bits) // (2 * hashes), 0, top
-    for r in sorted(sizes, key=lambda r: -r["n"]):
-        if stored + r["levels"] > capacity and r["n"] < top:
-            break
-        stored, least = stored + r["levels"], r["n"]
+    stored = int(counts.agg(F.sum(levels).alias("levels")).first()["levels"] or 0)
+    log2_bits = max(log2_bits, (2 * hashes * stored - 1).bit_length())
     bits = log2_bits - shard_bits
 
     def build(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
@@ -159,12 +154,12 @@ def build_filter(counts: DataFrame, log2_bits: int = 28, hashes: int = 3, shard_
             shard = LogFrequencyBloom.shard(h, shard_bits).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0), b.column(1)], names=["shard", "h", "n"])
 
-    entries = counts.filter(F.col("n") >= least).select("h", "n").mapInArrow(add_shard, "shard long, h long, n long")
+    entries = counts.select("h", "n").mapInArrow(add_shard, "shard long, h long, n long")
     data = np.zeros(1 << log2_bits >> 3, np.uint8)
     width = 1 << bits >> 3
     for r in entries.groupBy("shard").applyInArrow(build, "shard long, data binary").toLocalIterator():
         data[r["shard"] * width : (r["shard"] + 1) * width] = np.frombuffer(r["data"], np.uint8)
-    return LogFrequencyBloom(log2_bits, hashes, shard_bits, data), least
+    return LogFrequencyBloom(log2_bits, hashes, shard_bits, data)
 
 
 def common_tokens(counts: DataFrame, common: int, least_count: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -195,8 +190,8 @@ def score_documents(docs: DataFrame, held: int = 2, modulus: int = 7, discount:
     n_all, vocabulary = int(row["n"] or 0), int(row["v"])
     whole = float(n_all + vocabulary + 1)
     spark = docs.sparkSession
-    bloom, least = build_filter(counts, log2_bits)
-    pairs = counts.filter((F.col("kind") == BIGRAM) & (F.col("n") >= least)).agg(F.sum(F.col("n") - discount).alias("m")).first()["m"]
+    bloom = build_filter(counts, log2_bits)
+    pairs = counts.filter(F.col("kind") == BIGRAM).agg(F.sum(F.col("n") - discount).alias("m")).first()["m"]
     rest = 1.0 - min(0.99, float(pairs or 0.0) / max(1, n_all))
     shared = spark.sparkContext.broadcast((*common_tokens(counts, common), bloom))
 

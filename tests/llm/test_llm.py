@@ -437,6 +437,14 @@ def test_log_frequency_bloom_never_undercounts():
     assert (bloom.probe(rng.integers(0, 2**63, 3000).astype(np.uint64)) == 0).mean() > 0.9
 
 
+def test_lm_filter_keeps_every_counted_gram(docs):
+    counts = lm.gram_counts(docs).cache()
+    bloom = lm.build_filter(counts, 12)
+    got = counts.toPandas()
+    assert (bloom.probe(got["h"].to_numpy().view(np.uint64)) >= lm.LogFrequencyBloom.levels(got["n"].to_numpy())).all()
+    assert bloom.log2_bits > 12 and (bloom.probe(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)) > 0).mean() < 0.1
+
+
 def test_lm_edges(odd):
     got = lm.score_documents(odd, log2_bits=20).collect()
     assert len(got) == 12 and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
