@@ -27,22 +27,33 @@ from .common import map_rows, whole_text
 # Base phrases and their labels.
 BASE = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Openings of public licence texts (label, text, mandatory key phrases).
+# Openings, conditions and standard notices of public licences (label, text, mandatory key phrases).
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ["permission is hereby granted free of charge", "to deal in the software without restriction"]),
     ("mit", "released under the mit license", ["the mit license"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["permission to use copy modify and or distribute this software"]),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ["the apache license version 2"]),
     ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", ["redistribution and use in source and binary forms", "neither the name of"]),
+    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["redistribution and use in source and binary forms", "neither the name of"]),
     ("bsd-2", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
     ("gpl-2", "this program is licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
     ("lgpl-3", "this library is licensed under the gnu lesser general public license version 3", ["gnu lesser general public license version 3"]),
     ("agpl-3", "this work is licensed under the gnu affero general public license version 3", ["gnu affero general public license version 3"]),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu general public license as published by the free software foundation either version 3 of the license"]),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3", ["gnu general public license as published by the free software foundation version 3"]),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ["gnu general public license as published by the free software foundation either version 2 of the license"]),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2", ["gnu general public license as published by the free software foundation version 2"]),
+    ("lgpl-3", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu lesser general public license as published by the free software foundation either version 3 of the license"]),
+    ("lgpl-3", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation version 3", ["gnu lesser general public license as published by the free software foundation version 3"]),
+    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu affero general public license as published by the free software foundation either version 3 of the license"]),
+    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation version 3", ["gnu affero general public license as published by the free software foundation version 3"]),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ["mozilla public license v 2 0"]),
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc-by", "licensed under the creative commons attribution 4 0 international license", ["creative commons attribution 4 0 international"]),
+    ("cc-by-nc", "licensed under the creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial 4 0 international"]),
+    ("cc-by-sa", "licensed under the creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike 4 0 international"]),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work cc0 1 0 universal", ["cc0 1 0 universal"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"]),
 ]

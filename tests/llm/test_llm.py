@@ -237,6 +237,39 @@ def test_licenses(spark, odd):
     assert licenses.scan_licenses(odd.limit(0)).count() == 0
 
 
+FSF = "/* %s\n * This {0} is free software: you can redistribute it and/or modify\n * it under the terms of the GNU {1}General Public License as published by\n * the Free Software Foundation{2} either version {3} of the License, or\n * (at your option) any later version.\n */" % ("pre " * 30)
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+REAL = [
+    ("bsd-3", BSD + "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-3", BSD + "\n3. Neither the name of the <organization> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd-2", BSD),
+    ("gpl-3", FSF.format("program", "", ",", 3)),
+    ("gpl-2", FSF.format("program", "", ";", 2)),
+    ("gpl-2", "modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2."),
+    ("lgpl-3", FSF.format("library", "Lesser ", ",", 3)),
+    ("agpl-3", FSF.format("program", "Affero ", ",", 3)),
+    ("apache-2", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+]
+
+
+def test_licenses_on_real_texts(spark):
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(frame(spark, ["some text " * 50 + t for _, t in REAL])).collect()}
+    for i, (label, _) in enumerate(REAL, 1):
+        assert got[i] == ([label] if label != "bsd-3" else ["bsd-2", "bsd-3"]), (label, got[i])
+    assert {label for label, _ in REAL} == {label for label, *_ in licenses.TEMPLATES}
+
+
 # ---------------------------------------------------------------- 6
 def test_language_accuracy(docs):
     got = langid.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
