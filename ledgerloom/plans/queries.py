@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,14 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder, all of them: later filters do not move below."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loom-checkpoint-"))
+    return df.checkpoint()
+
+
 # ---------------------------------------------------------------- scoring
 _F1_SQL = r"""
 WITH pred AS (SELECT 'full' AS system, doc_id, text AS o FROM documents UNION ALL SELECT 'no_vowels', doc_id, regexp_replace(text, '[aeiouAEIOU]', '', 'g') FROM documents),
@@ -259,9 +268,9 @@ def knn_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def topk_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The two best chunks of each document whose id is divisible by 20, for its own first words."""
-    d = read(spark, sf, "documents").filter("doc_id % 20 = 0").select("doc_id", "text")
-    q = d.select("doc_id", F.array_join(F.slice(S.words("text"), 1, 8), " ").alias("query"))
-    return retrieval.retrieve(retrieval.build_index(d, 400), q, 2).select("doc_id", "chunk_id", "rank")
+    d = read(spark, sf, "documents").select("doc_id", "text")
+    q = d.filter("doc_id % 20 = 0").select("doc_id", F.array_join(F.slice(S.words("text"), 1, 8), " ").alias("query"))
+    return retrieval.retrieve(stored(retrieval.build_index(d, 400)), q, 2).select("doc_id", "chunk_id", "rank")
 
 
 @query("SELECT doc_id, contains(lower(text), 'licensed') AS grounded FROM documents")

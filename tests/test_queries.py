@@ -51,3 +51,20 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry_module.entry(spark).count() == 2
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_topk_chunks_indexes_every_document(spark, monkeypatch):
+    from ledgerloom.operators import retrieval
+
+    seen, plain_retrieve = {}, retrieval.retrieve
+
+    def spy(index, queries, k):
+        seen["index"], seen["queries"] = index, queries
+        return plain_retrieve(index, queries, k)
+
+    monkeypatch.setattr(retrieval, "retrieve", spy)
+    out = QUERIES["topk_chunks"](spark, DIR)
+    with_text = spark.read.parquet(f"{DIR}/documents.parquet").filter("trim(text) <> ''").count()
+    assert seen["index"].select("doc_id").distinct().count() == with_text
+    assert seen["queries"].filter("doc_id % 20 <> 0").count() == 0 and out.filter("doc_id % 20 <> 0").count() == 0 and out.count() > 0
+    assert "Scan ExistingRDD" in out._jdf.queryExecution().toString()
