@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import extraction, fields, metrics, recovery, retrieval, spans, tokens
-from ..session import ship
+from ..session import checkpoint_dir, ship
 from ..streaming import rate_limit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,9 +33,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows written to the checkpoint folder, all of them: later filters do not move below."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loom-checkpoint-"))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -11,12 +12,27 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the session names in spark.checkpoint.dir.
+
+    Where none is set, a temporary folder under a local master, which has no other machines; an error on a cluster.
+    """
+    ship(spark)
+    jsc = spark.sparkContext._jsc.sc()
+    if not jsc.getCheckpointDir().isDefined():
+        conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not conf and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(conf or tempfile.mkdtemp(prefix="loom-checkpoint-"))
+    return jsc.getCheckpointDir().get()
+
+
 def session(app: str = "ledgerloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library expects: UTC, adaptive plans, Arrow."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.ui.showConsoleProgress": "false"}
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.ui.showConsoleProgress": "false", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
     return builder.config(map=settings | conf).getOrCreate()
 
 
