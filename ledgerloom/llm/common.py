@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import checkpoint_dir, ship
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,23 +35,33 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names in spark.checkpoint.dir; a temporary one only where none is set."""
-    ship(spark)
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get()
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    spark.sparkContext.setCheckpointDir(conf or tempfile.mkdtemp(prefix="loom-checkpoint-"))
-    return jsc.getCheckpointDir().get()
-
-
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint, which lost executors cannot take away."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Cut the lineage through a reliable checkpoint, which lost executors cannot take away.
+
+    Spark removes the files once nothing refers to them (spark.cleaner.referenceTracking.cleanCheckpoints).
+    """
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet to the checkpoint folder and read again, so that later readers can prune columns; removed when the application ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    file_system(spark, path).deleteOnExit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path."""
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    file_system(spark, path).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 def map_rows(
     df: DataFrame,
     schema: T.StructType | str,

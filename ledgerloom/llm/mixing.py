@@ -1,18 +1,24 @@
 """Mixing sources to target weights by soft membership, DataFrame functions only.
 
-A naive Bayes model over the presence of hashed tokens, learned from a labelled table, gives every document posterior
-probabilities p of the domains; only buckets whose share in a domain differs from the pooled share by a
-log-ratio of at least ``min_ratio`` count. Nonnegative document rates r then minimise the weighted least
-squares distance between the expected domain token totals, sum of r * n_tokens * p, and the targets.
-The minimisation is projected gradient descent from r = 1: every step sums the totals over all documents,
-solves against the domains' Gram matrix (weight and step in one; domains squared numbers), moves each
-rate by -p * step, and cuts it at zero. A document's rate is a fold over the steps taken; during the
-fit it is stored every ``HOLD`` steps, so a step costs the same throughout and the lineage does not grow.
-Targets still missed after the last step are logged as a warning with the remaining gap.
+A Bernoulli naive Bayes model, learned from a labelled table, gives every document posterior probabilities p of
+the domains. Its features are hashed tokens and three shapes of the text (the share of tokens that are marks, of
+tokens that repeat the one before, and of distinct lines, in tenths or eighths); only features whose presence in
+a domain differs from the rest by at least ``min_z`` standard deviations count. Posteriors are whole multiples
+of 1 / ``grain`` that add up to 1.
+
+Nonnegative document rates r then minimise the squared distance between the expected domain token totals, sum of
+r * n_tokens * p, and the targets, plus a ridge of 1e-9 towards r = 1 that makes them unique. The minimisation is
+projected gradient descent: steps along the gradient, each scaled by the Gram matrix of the documents whose rate
+is not at zero and shortened until the objective falls, add up to one weight for each domain, and a rate is
+1 - p . weights, cut at zero. Documents with equal posteriors have equal rates, so a step runs over the distinct
+posteriors with their token counts, at most (grain + 1) to the power of the domains less 1 whatever the corpus
+holds; sums are exact decimals, so the rates don't depend on the partitioning. The descent ends when the
+gradient vanishes and raises if it doesn't; where no rates reach the targets, the gap of the best ones is logged.
 
 Defined cases: null and empty texts have no tokens and get the labelled table's domain shares as
 posteriors; null domains are not learned; without labelled rows all named domains are equally likely;
-repeated rows are separate documents; a domain without mass keeps its total; extra columns are ignored.
+repeated rows are separate documents; a domain without mass keeps its total; without tokens all rates are 1;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,14 +26,15 @@ from __future__ import annotations
 import json
 import logging
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_fraction, cut, hash_share, let
+from .common import bounded_fraction, cut, hash_share, let, stored
 
-#: Steps after which the fit stores rates.
-HOLD = 10
+#: Features of a text's shape, after the token buckets: from these offsets on.
+MARKS, REPEATS, LINES, SHAPES = 0, 16, 32, 48
 
 
 def tokens(col: Column) -> Column:
@@ -39,8 +46,19 @@ def filled(col: Column) -> Column:
     return F.filter(tokens(col), lambda x: x != "")
 
 
-def bucket(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+def features(text: Column, buckets: int) -> Column:
+    """STRUCT(n, f): the number of tokens and the features, token buckets with repeats first; none for an empty text."""
+
+    def shapes(w: Column, b: Column) -> Column:
+        n = F.size(w)
+        marks = F.size(F.filter(w, lambda x: (F.ascii(x) < 97) | F.ascii(x).between(123, 191)))
+        again = F.size(F.filter(b, lambda x, i: (i > 0) & (x == F.get(b, i - 1))))
+        lines = F.filter(F.split(text, "\n"), lambda x: x != "")
+        share = lambda part, whole, steps: F.ceil(part * F.lit(float(steps)) / F.greatest(whole, F.lit(1))).cast("int")
+        found = F.array(F.lit(buckets + MARKS) + share(marks, n, 10), F.lit(buckets + REPEATS) + share(again, n, 10), F.lit(buckets + LINES) + let(lines, lambda x: share(F.size(F.array_distinct(x)), F.size(x), 8)))
+        return F.struct(n.cast("long").alias("n"), F.when(n > 0, F.concat(b, found)).otherwise(b).alias("f"))
+
+    return let(filled(text), lambda w: let(F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int")), lambda b: shapes(w, b)))
 
 
 def constant(values: list, kind: str) -> Column:
@@ -48,8 +66,8 @@ def constant(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
-def train(docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int = 8192, max_train: int = 20000, min_ratio: float = 1.0, faith: float = 5.0) -> tuple[list[list[float]], list[float]]:
-    """Log-likelihood ratios to the pooled shares [domain][bucket], and log-priors, from at most about ``max_train`` labelled rows.
+def train(docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int = 32768, max_train: int = 20000, min_z: float = 8.0) -> tuple[list[int], list[list[float]], list[float], list[float]]:
+    """(place of each feature among the chosen, 0 for none; their log-odds [domain][place]; log-odds of having none of them; log-priors), from at most about ``max_train`` labelled rows.
 
     ``labelled`` has doc_id and domain. The sample is taken by a hash of doc_id, so it is bounded and is
     broadcast; buckets times domains counts come back to the driver.
@@ -58,108 +76,146 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int
     sizes = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     known = known.filter(hash_share(F.col("doc_id"), 4, bounded_fraction(sum(sizes.values()), max_train)))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    counted = rows.select("domain", F.explode(F.array_distinct(F.transform(filled(F.col("text")), lambda w: bucket(w, buckets)))).alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n")).collect()
-    counts = {d: [0.0] * buckets for d in domains}
+    present = F.array_distinct(features(F.coalesce("text", F.lit("")), buckets)["f"])
+    # Feature -1 counts the rows.
+    counted = rows.select("domain", F.explode(F.array_append(present, F.lit(-1))).alias("f")).groupBy("domain", "f").agg(F.count("*").alias("n")).collect()
+    counts = {d: [0] * (buckets + SHAPES) for d in domains}
+    held = dict.fromkeys(domains, 0)
     for r in counted:
-        counts[r["domain"]][r["b"]] = float(r["n"])
-    pooled = [sum(c) + 1.0 for c in zip(*counts.values(), strict=True)]
-    whole = sum(pooled)
-    weights = []
-    for d in domains:
-        # Smoothed towards the pooled shares; weights under min_ratio are composition, not evidence.
-        pull = 0.1 * buckets
-        scale = whole / (sum(counts[d]) + pull)
-        logs = [math.log((c + pull * a / whole) * scale / a) for c, a in zip(counts[d], pooled, strict=True)]
-        # Shrunk where the domain is too small to expect ``faith`` rows with the bucket.
-        size = sum(counts[d]) / whole
-        weights.append([round(x * size * a / (size * a + faith), 6) if abs(x) >= min_ratio else 0.0 for x, a in zip(logs, pooled, strict=True)])
+        if r["f"] < 0:
+            held[r["domain"]] = r["n"]
+        else:
+            counts[r["domain"]][r["f"]] = r["n"]
+    n_rows = sum(held.values())
+    place, odds, none = [0] * (buckets + SHAPES), [[0.0] for _ in domains], [0.0] * len(domains)
+    for f, of in enumerate(zip(*counts.values(), strict=True)):
+        n = sum(of)
+        if not 0 < n < n_rows:
+            continue
+        share = n / n_rows
+        spread = [(c - m * share) / math.sqrt(max(1e-9, m * share * (1 - share) * (1 - m / n_rows))) for c, m in zip(of, held.values(), strict=True) if m]
+        if max(map(abs, spread)) < min_z:
+            continue
+        place[f] = len(odds[0])
+        for k, (c, m) in enumerate(zip(of, held.values(), strict=True)):
+            p = min(1 - 1e-6, max(1e-6, (c + share) / (m + 1)))
+            odds[k].append(round(math.log(p / (1 - p)), 6))
+            none[k] += math.log(1 - p)
     seen = sum(sizes.values())
     priors = [math.log((sizes.get(d, 0) + 1) / (seen + len(domains))) for d in domains]
-    return weights, priors
+    return place, odds, none, priors
+
 
+def posteriors(docs: DataFrame, model: tuple, grain: int, keep: list[str] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns with n_tokens and q, an array of the domains' posteriors times ``grain``. Row by row, no shuffle."""
+    place, odds, none, priors = model
+    where = constant(place, "array<int>")
+    weights = [constant(row, "array<double>") for row in odds]
 
-def posteriors(docs: DataFrame, ratios: list[list[float]], priors: list[float], keep: list[str] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns with n_tokens and p, an array of the domains' posteriors. Row by row, no shuffle."""
-    buckets = len(ratios[0])
-    weights = [constant(row, "array<double>") for row in ratios]
+    def whole(p: Column) -> Column:
+        """Rounded down to whole numbers, the rest for the likeliest domain."""
+        low = F.transform(p, lambda v: F.floor(v * F.lit(float(grain))).cast("int"))
+        return let(low, lambda q: let(F.lit(grain) - F.aggregate(q, F.lit(0), lambda a, x: a + x), lambda rest: let(F.array_position(p, F.array_max(p)) - 1, lambda top: F.transform(q, lambda x, i: x + F.when(i == top, rest).otherwise(0)))))
 
-    def likelihood(b: Column, w: Column) -> Column:
-        return F.aggregate(b, F.lit(0.0), lambda a, i: a + F.get(w, i))
+    def shares(x: Column) -> Column:
+        return let(F.transform(x, lambda v: F.exp(v - F.array_max(x))), lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, v: s + v), lambda n: let(F.transform(e, lambda v: v / n), whole)))
 
-    def scores(b: Column) -> Column:
-        sums = [F.lit(p) + likelihood(b, w) for w, p in zip(weights, priors, strict=True)]
-        return let(F.array(*sums), lambda x: let(F.transform(x, lambda v: F.exp(v - F.array_max(x))), lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, v: s + v), lambda n: F.transform(e, lambda v: v / n))))
+    def scores(found: Column, n: Column) -> Column:
+        evidence = lambda w, z: F.aggregate(found, F.lit(z), lambda a, i: a + F.get(w, i))
+        sums = [F.lit(prior) + F.when(n > 0, evidence(w, z)).otherwise(0.0) for w, z, prior in zip(weights, none, priors, strict=True)]
+        return let(F.array(*sums), shares)
 
-    members = let(F.transform(filled(F.col("text")), lambda x: bucket(x, buckets)), lambda b: F.struct(F.size(b).cast("long").alias("n_tokens"), let(F.array_distinct(b), scores).alias("p")))
-    # A generator of one row: filters on what is made of p would else be moved below and make p again.
+    chosen = lambda f: F.array_distinct(F.filter(F.transform(f, lambda x: F.get(where, x)), lambda i: i > 0))
+    members = let(features(F.coalesce(F.col("text"), F.lit("")), len(place) - SHAPES), lambda x: F.struct(x["n"].alias("n_tokens"), let(chosen(x["f"]), lambda c: scores(c, x["n"])).alias("q")))
+    # A generator of one row: filters on what is made of q would else be moved below and make q again.
     return docs.select(*keep, F.inline(F.array(members)))
 
 
 def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
-    """Gauss-Jordan with pivoting for a domains-by-domains system; rows without mass give 0."""
+    """Gauss-Jordan with pivoting for a positive definite system of the size of the domains."""
     n = len(right)
-    ridge = 1e-9 * max(1e-300, max(matrix[i][i] for i in range(n)))
     m = [[*row, b] for row, b in zip(matrix, right, strict=True)]
-    for i in range(n):
-        m[i][i] += ridge
     for i in range(n):
         top = max(range(i, n), key=lambda k: abs(m[k][i]))
         m[i], m[top] = m[top], m[i]
-        if abs(m[i][i]) < 1e-300:
-            continue
         for k in range(n):
             if k != i:
                 f = m[k][i] / m[i][i]
                 m[k] = [a - f * b for a, b in zip(m[k], m[i], strict=True)]
-    return [m[i][n] / m[i][i] if abs(m[i][i]) >= 1e-300 else 0.0 for i in range(n)]
+    return [m[i][n] / m[i][i] for i in range(n)]
 
 
-def rate(steps: list[list[float]], start: Column | None = None) -> Column:
-    """The rate after projected steps: a fold of max(0, r - p . step) from ``start``, 1 by default."""
-    start = F.lit(1.0) if start is None else start
-    if not steps:
-        return start
-    plan = constant(steps, "array<array<double>>")
-    return F.aggregate(plan, start, lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with("p", s, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
+def rate(weights: list[float], grain: int) -> Column:
+    """1 - p . weights, cut at zero, from the column q."""
+    if not any(weights):
+        return F.lit(1.0)
+    moved = F.lit(0.0)
+    for i, w in enumerate(weights):
+        moved = moved + F.col("q")[i] * F.lit(w / grain)
+    return F.greatest(F.lit(0.0), F.lit(1.0) - moved)
 
 
-def fit_rates(members: DataFrame, targets: list[float], tolerance: float = 1e-4, max_steps: int = 150) -> list[list[float]]:
-    """Steps of projected gradient descent until every domain's total is within ``tolerance`` of the whole.
+def fit_weights(cells: DataFrame, targets: list[float], grain: int, tolerance: float = 1e-4, ridge: float = 1e-9, max_steps: int = 400) -> list[float]:
+    """The domains' weights whose rates are the best, from (q, n_tokens) rows.
 
-    After ``max_steps`` the gap that is left, as a share of all tokens, is logged as a warning.
+    The objective, over N tokens and targets t as shares, is sum n r^2 / 2N + t . w + ridge w^2 / 2: the dual
+    of the ridged least squares, whose gradient is the gap between targets and totals plus ridge times w.
+    Raises where the gradient isn't under a thousandth of ``tolerance`` after ``max_steps``; logs the gap of the
+    best rates where it is over ``tolerance`` of all tokens.
     """
-    k = len(targets)
-    row = members.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)], F.sum("n_tokens").alias("n")).first()
-    total = float(row["n"] or 0)
-    if total == 0:
-        return []
-    gram = [[float(row[f"g{min(i, j)}_{max(i, j)}"]) for j in range(k)] for i in range(k)]
-    whole = sum(targets)
-    goal = [total * t / whole for t in targets]
-    steps: list[list[float]] = []
-    held = members.select("n_tokens", "p", F.lit(1.0).alias("r"))
-    while True:
-        if steps and len(steps) % HOLD == 0:
-            held = cut(held.select("n_tokens", "p", rate(steps[-HOLD:], F.col("r")).alias("r")))
-        fresh = steps[len(steps) // HOLD * HOLD :]
-        now = held.select((F.col("n_tokens") * rate(fresh, F.col("r"))).alias("m"), "p").agg(*[F.sum(F.col("m") * F.col("p")[i]).alias(f"t{i}") for i in range(k)]).first()
-        gap = [float(now[f"t{i}"]) - goal[i] for i in range(k)]
-        if max(map(abs, gap)) <= tolerance * total:
+    k, log = len(targets), logging.getLogger(__name__)
+    total = int(cells.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0)
+    if not total:
+        return [0.0] * k
+    goal = [t / sum(targets) for t in targets]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def look(w: list[float]) -> tuple[float, list[float], list[list[float]], list[float]]:
+        exact = lambda c: F.sum(c.cast("decimal(38,6)"))
+        n, r = F.col("n_tokens"), F.col("r")
+        live = F.when(r > 0, n.cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
+        row = cells.select("n_tokens", "q", rate(w, grain).alias("r")).agg(exact(n * r * r).alias("s"), *[exact(n * r * F.col("q")[i] / grain).alias(f"t{i}") for i in range(k)], *[F.sum(live * (F.col("q")[i] * F.col("q")[j])).alias(f"g{i}_{j}") for i, j in pairs]).first()
+        gap = [float(row[f"t{i}"] / total) - goal[i] for i in range(k)]
+        value = float(row["s"] / total) / 2 + sum(g * x for g, x in zip(goal, w, strict=True)) + ridge * sum(x * x for x in w) / 2
+        gram = [[float(row[f"g{min(i, j)}_{max(i, j)}"] / total / Decimal(grain * grain)) + (ridge if i == j else 0.0) for j in range(k)] for i in range(k)]
+        return value, [ridge * x - g for x, g in zip(w, gap, strict=True)], gram, gap
+
+    weights = [0.0] * k
+    value, slope, gram, gap = look(weights)
+    for _ in range(max_steps):
+        if max(map(abs, slope)) <= tolerance / 1000:
             break
-        if len(steps) >= max_steps:
-            logging.getLogger(__name__).warning("mixing: after %d steps a domain's total is %.4g of all tokens off its target", len(steps), max(map(abs, gap)) / total)
+        step = solve(gram, [-x for x in slope])
+        fall = sum(a * b for a, b in zip(step, slope, strict=True))
+        size = 1.0
+        while True:
+            tried = [x + size * d for x, d in zip(weights, step, strict=True)]
+            seen = look(tried)
+            if seen[0] <= value + 1e-4 * size * fall or size < 1e-12:
+                break
+            size /= 2 if size > 0.2 else 8
+        if seen[0] >= value and max(map(abs, seen[1])) >= max(map(abs, slope)):
             break
-        steps.append([round(x, 12) for x in solve(gram, gap)])
-    return steps
+        weights, (value, slope, gram, gap) = tried, seen
+    # Sums are kept to a millionth of a token, and weights of a ridged, unreachable target are large.
+    if max(map(abs, slope)) > tolerance:
+        raise RuntimeError(f"mixing: the gradient is {max(map(abs, slope)):.3g} after {max_steps} steps")
+    if max(map(abs, gap)) > tolerance:
+        log.warning("mixing: no rates reach the targets; with the best ones a domain's total is %.4g of all tokens off", max(map(abs, gap)))
+    return weights
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], buckets: int = 8192, max_train: int = 20000, tolerance: float = 1e-4, max_steps: int = 150, keep: list[str] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns with n_tokens, a posterior column p_<domain> for each target, and rate."""
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], buckets: int = 32768, max_train: int = 20000, tolerance: float = 1e-4, grain: int = 1000, keep: list[str] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns with n_tokens, a posterior column p_<domain> for each target, and rate.
+
+    The kept columns and posteriors are written once to the checkpoint folder; steps read the posteriors alone.
+    """
     domains = sorted(targets)
     model = train(docs, labelled, domains, buckets, max_train)
-    # The steps read tokens and posteriors alone; texts are never stored, but their posteriors made again.
-    steps = fit_rates(cut(posteriors(docs, *model, keep=[])), [targets[d] for d in domains], tolerance, max_steps)
-    return posteriors(docs, *model, keep=keep).select(*keep, "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], rate(steps).alias("rate"))
+    members = stored(posteriors(docs, model, grain, keep=keep))
+    cells = cut(members.groupBy("q").agg(F.sum("n_tokens").alias("n_tokens")))
+    weights = fit_weights(cells, [targets[d] for d in domains], grain, tolerance)
+    return members.select(*keep, "n_tokens", *[(F.col("q")[i] / F.lit(float(grain))).alias(f"p_{d}") for i, d in enumerate(domains)], rate(weights, grain).alias("rate"))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
