@@ -18,10 +18,13 @@ share one exactly if they differ in at most two bits), which is linear and exact
 ``near_duplicates`` links by the three-word shingles' fingerprint alone. ``similar_groups``, for corpora
 where copies with a few changed words must be caught, links texts whose sets of five-word shingles have a
 Jaccard similarity of at least 0.8, every link verified on the sets. Candidates come from fingerprints of
-the distinct words by Golay keys, and from a prefix join that misses no pair: two such texts share one of
-the first n - ceil(0.8 n) + 1 shingles of either in any fixed order. Shingles in many prefixes are ordered
-last; where a text still has such ones in its prefix, it meets one text for each of up to ``STARS`` of
-them instead of all, so a large group of mutual copies takes a linear number of candidates.
+the distinct words by Golay keys, and from the ``MINS`` smallest shingle hashes of each text: each of the
+smallest of both texts together is shared with probability 0.8 or more, so a pair without a common one is
+missed once in (1 / 0.2) ** 12, over 10**8, pairs. Texts meet the least node under each of their smallest
+hashes first; then, where their components still differ, all others under hashes of up to ``CROWD`` texts.
+Under fuller ones they meet one more text for each hash, and again others in further turns as long as turns
+find links, ``TURNS`` at most: a linear number of candidates, by which a text can miss its group only if it is
+like a small part of a large group alone.
 
 Defined cases: null and empty texts have the fingerprint zero, linked like any other; texts under three
 words have one shingle, the whole sequence; repeated rows share their doc_id's component; rows without
@@ -35,7 +38,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_rows
@@ -51,11 +54,13 @@ KEYS = ((0, 1), (1, 2), (2, 0))
 SPOT = 16384
 #: Words of a shingle in ``similar_groups``, and the links' least Jaccard similarity as a fraction.
 SHINGLE, SIMILAR = 5, (4, 5)
-#: Texts with one prefix shingle that are paired with each other; the shingles of more are common, and
-#: a text meets one other text for each of so many common ones.
-CROWD, STARS = 64, 8
-#: Common shingles, the most frequent first, that are ordered last.
-COMMON = 500_000
+#: Smallest shingle hashes of a text by which it is found, and texts with the same one that are all paired.
+MINS, CROWD = 12, 64
+#: Turns in which texts of full hashes meet others, at most; nodes that a hash picks for a turn, and those of
+#: all its picks that a text is compared with, the nearest by sketch.
+TURNS, PICKS, NEAREST = 4, 16, 3
+#: Sets compared with one in one group; more are dealt over several, with a copy of that one in each.
+FAN = 256
 #: Differing bits of two 64-bit sketches beyond which a pair is not verified. A bit differs with probability
 #: (1 - J) / 2, so at J = 0.8 more than 25 of 64 differ once in 10**9 pairs.
 APART = 25
@@ -133,16 +138,6 @@ def sketch(shingles: np.ndarray) -> int:
     return int(np.packbits((np.bitwise_count(least) & 1).astype(bool), bitorder="little").view(np.uint64)[0])
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 shingles by hash, those in ``common`` (sorted) last."""
-    n = shingles.size
-    if common is not None and common.size and n:
-        late = common[np.minimum(np.searchsorted(common, shingles), common.size - 1)] == shingles
-        shingles = np.concatenate([shingles[~late], shingles[late]])
-    up, down = SIMILAR
-    return shingles[: n - -(-up * n // down) + 1] if n else shingles
-
-
 def _signed(fp: int) -> int:
     return fp - (1 << 64) if fp >> 63 else fp
 
@@ -339,98 +334,85 @@ def near_duplicates(docs: DataFrame, hot: int = 32) -> DataFrame:
 
 
 def shingle_rows(docs: DataFrame, word_prints: int) -> DataFrame:
-    """(doc_id, node, size, sketch, prints, prefix): node names the text's shingle set and size counts it."""
+    """(doc_id, node, size, sketch, prints, mins): node names the text's shingle set and size counts it."""
 
     def make():
         def step(cols):
             for doc_id, text in zip(*cols, strict=True):
                 s = shingle_set(text)
-                yield doc_id, _signed(xxhash.xxh64_intdigest(s.tobytes(), 42)), s.size, _signed(sketch(s)), [_signed(x) for x in word_fingerprints(text, word_prints)], prefix(s).view(np.int64).tolist()
+                yield doc_id, _node(s), s.size, _signed(sketch(s)), [_signed(x) for x in word_fingerprints(text, word_prints)], s[:MINS].view(np.int64).tolist()
 
         return step
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, node long, size long, sketch long, prints array<long>, prefix array<long>", make, 1000)
-
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, node long, size long, sketch long, prints array<long>, mins array<long>", make, 1000)
 
-def _of_texts(docs: DataFrame, ids: DataFrame, pick, small: bool) -> DataFrame:
-    """(node, s) for the documents whose id is in ``ids``, s what ``pick`` takes of the shingle set; one row a node."""
 
-    def make():
-        def step(cols):
-            for (text,) in zip(*cols, strict=True):
-                s = shingle_set(text)
-                yield _signed(xxhash.xxh64_intdigest(s.tobytes(), 42)), pick(s).view(np.int64).tolist()
+def _node(shingles: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), 42))
 
-        return step
 
-    ids = ids.select(F.col("least").alias("__id")).distinct()
-    texts = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi").select("text")
-    return map_rows(texts, "node long, s array<long>", make, 1000).groupBy("node").agg(F.first("s").alias("s"))
+def may_be_similar(size_a, bits_a, size_b, bits_b) -> Column:
+    """Whether sizes and sketches allow the similarity."""
+    up, down = SIMILAR
+    return (F.bit_count(bits_a.bitwiseXOR(bits_b)) <= APART) & (down * F.least(size_a, size_b) >= up * F.greatest(size_a, size_b))
 
 
-def shingle_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b) of texts that share a prefix shingle and whose sizes and sketches allow the similarity; rows are (h, node, size, sketch)."""
+def crowd_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b) of nodes under one hash, of different components, whose sizes and sketches allow the similarity; rows are (h, node, size, sketch, part)."""
     up, down = SIMILAR
 
     def run(batches):
-        def out(h, node, size, bits):
+        def out(h, node, size, bits, part):
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            n = np.repeat(np.diff(np.append(first, h.size)), np.diff(np.append(first, h.size)))
-            place = np.arange(h.size) - np.repeat(first, np.diff(np.append(first, h.size)))
-            left, right = [], []
+            many = np.diff(np.append(first, h.size))
+            n, place = np.repeat(many, many), np.arange(h.size) - np.repeat(first, many)
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for d in range(1, int(n.max())):
                 i = np.flatnonzero(place + d < n)
                 j = i + d
-                near = (down * np.minimum(size[i], size[j]) >= up * np.maximum(size[i], size[j])) & (node[i] != node[j])
+                near = (down * np.minimum(size[i], size[j]) >= up * np.maximum(size[i], size[j])) & (part[i] != part[j])
                 near &= np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)) <= APART
                 left.append(np.minimum(node[i], node[j])[near])
                 right.append(np.maximum(node[i], node[j])[near])
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0) if left else np.empty((0, 2), np.int64)
+            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-        held = [np.empty(0, np.int64)] * 4
+        held = [np.empty(0, np.int64)] * 5
         for batch in batches:
             held = [np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate(held)]
             if not held[0].size:
                 continue
-            end = int(np.searchsorted(held[0], held[0][-1]))  # the last shingle may go on in the next batch
+            end = int(np.searchsorted(held[0], held[0][-1]))  # the last hash may go on in the next batch
             if end:
                 yield out(*[x[:end] for x in held])
                 held = [x[end:] for x in held]
         if held[0].size:
             yield out(*held)
 
-    return rows.select("h", "node", "size", "sketch").repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long").distinct()
-
-
-def prefix_candidates(docs: DataFrame, nodes: DataFrame, broadcast_rows: int, crowd: int) -> DataFrame:
-    """(a, b) of nodes that may be similar, by shared prefix shingles."""
-    explode = lambda df: df.select("node", "size", "sketch", "least", F.posexplode("prefix").alias("pos", "h"))
-    crowded = lambda df: cut(df.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > crowd))
-    rows = explode(nodes)
-    common = crowded(rows)
-    if not common.isEmpty():
-        got = np.sort(common.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()["h"].to_numpy().view(np.uint64))
-        shared = docs.sparkSession.sparkContext.broadcast(got)
-        hit = cut(rows.join(F.broadcast(common.orderBy(F.desc("n"), "h").limit(COMMON).select("h")), "h", "left_semi").select("node", "least").distinct())
-        again = _of_texts(docs, hit, lambda s: prefix(s, shared.value), hit.count() <= broadcast_rows)
-        nodes = cut(nodes.select("node", "size", "sketch", "least", "prefix").join(again, "node", "left").select("node", "size", "sketch", "least", F.coalesce("s", "prefix").alias("prefix")))
-        rows = explode(nodes)
-        common = crowded(rows)
-    if common.isEmpty():
-        return shingle_pairs(rows)
-    side = common.select("h") if common.count() > broadcast_rows else F.broadcast(common.select("h"))
-    many = cut(rows.join(side, "h", "left_semi").select("h", "node", "size", "sketch", "pos"))
-    heads = many.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", "h"), F.col("node"), F.col("size"), F.col("sketch"))).alias("m")).select("h", F.col("m.node").alias("head"), F.col("m.size").alias("head_size"), F.col("m.sketch").alias("head_sketch"))
-    heads = heads if common.count() > broadcast_rows else F.broadcast(heads)
-    few = many.groupBy("node", "size", "sketch").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "h"))), 1, STARS).alias("f")).select("node", "size", "sketch", F.explode("f.h").alias("h"))
-    up, down = SIMILAR
-    stars = few.join(heads, "h").filter(F.col("node") != F.col("head")).filter(down * F.least("size", "head_size") >= up * F.greatest("size", "head_size")).filter(F.bit_count(F.col("sketch").bitwiseXOR(F.col("head_sketch"))) <= APART)
-    stars = stars.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-    return shingle_pairs(rows.join(side, "h", "left_anti")).union(stars)
+    return rows.select("h", "node", "size", "sketch", "part").repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long").distinct()
+
+
+def least_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) of each node and the least node under each of its hashes; rows are (h, node, size, sketch)."""
+    heads = rows.groupBy("h").agg(F.min(F.struct("node", "size", "sketch")).alias("m"), F.count("*").alias("n")).filter("n > 1").select("h", "m")
+    met = rows.join(heads, "h").filter(F.col("node") != F.col("m.node")).filter(may_be_similar(F.col("size"), F.col("sketch"), F.col("m.size"), F.col("m.sketch")))
+    return met.select(F.col("m.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def other_pairs(rows: DataFrame, parts: DataFrame, crowd: int, turn: int) -> DataFrame:
+    """(a, b) of different components under hashes of more than ``crowd`` nodes: each node with the ``NEAREST`` nodes by sketch among ``PICKS`` that each hash picks in this turn; in turn 0 all under other hashes too."""
+    rows = rows.join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    pick = lambda k: F.min(F.struct(F.xxhash64("node", "h", F.lit(turn * PICKS + k)), F.col("node"), F.col("size"), F.col("sketch"), F.col("part")))
+    counted = cut(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.array_distinct(F.array(*map(pick, range(PICKS)))).alias("m")).filter("n > 1 and low <> high").select("h", "n", "m"))
+    met = rows.join(counted.filter(F.col("n") > crowd).select("h", "m"), "h")
+    fit = F.filter("m", lambda x: (x["part"] != F.col("part")) & may_be_similar(F.col("size"), F.col("sketch"), x["size"], x["sketch"]))
+    near = F.transform(fit, lambda x: F.struct(F.bit_count(F.col("sketch").bitwiseXOR(x["sketch"])).alias("d"), x["node"].alias("node")))
+    met = met.select("node", F.array_min(near).alias("x")).filter("x is not null").groupBy("node").agg(F.slice(F.array_sort(F.collect_set("x")), 1, NEAREST).alias("x")).select("node", F.explode("x.node").alias("m"))
+    out = met.select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
+    return out if turn else out.union(crowd_pairs(rows.join(counted.filter(F.col("n") <= crowd).select("h"), "h", "left_semi"))).distinct()
 
 
-def print_candidates(nodes: DataFrame, hot: int, broadcast_rows: int) -> DataFrame:
+def print_pairs(nodes: DataFrame, hot: int, broadcast_rows: int) -> DataFrame:
     """(a, b) of nodes by the word fingerprints: equal ones and those within two bits."""
     heads = cut(nodes.select("node", F.posexplode("prints").alias("part", "fp")).groupBy("part", "fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
     same = nodes.select("node", F.posexplode("prints").alias("part", "fp")).join(heads.filter("n > 1").drop("n"), ["part", "fp"]).select(F.col("node").alias("a"), F.col("head").alias("b")).filter("a <> b")
@@ -443,19 +425,65 @@ def print_candidates(nodes: DataFrame, hot: int, broadcast_rows: int) -> DataFra
     pairs = same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for x in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
-    up, down = SIMILAR
-    return pairs.filter(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= APART).filter(down * F.least("na", "nb") >= up * F.greatest("na", "nb")).select("a", "b")
+    return pairs.filter(may_be_similar(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"))).select("a", "b")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
-    """The (a, b) whose shingle sets have a Jaccard similarity of at least 0.8, by exact sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = cut(nodes.select("node", "least").join(wanted, "node"))
-    sets = cut(_of_texts(docs, ids, lambda s: s, ids.count() <= broadcast_rows).join(wanted, "node", "left_semi"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    """The (a, b) whose shingle sets have a Jaccard similarity of at least 0.8, by exact sets.
+
+    The set of b goes to a group named by a, once for each pair; a's set goes to each of its groups, one for
+    about ``FAN`` pairs. Sets are made where the texts lie: node's documents are found by their least id.
+    """
     up, down = SIMILAR
-    # up/down <= shared / (|a| + |b| - shared), in whole numbers
-    return both.filter((up + down) * F.size(F.array_intersect("sa", "sb")) >= up * (F.size("sa") + F.size("sb"))).select("a", "b")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(FAN)).cast("long").alias("fan"))
+    salt = F.pmod(F.xxhash64("b"), F.col("fan"))
+    spots = pairs.join(many, "a").select(F.col("b").alias("node"), F.struct("a", salt.alias("salt"), F.lit(1).alias("side")).alias("spot"))
+    spots = spots.union(many.select(F.col("a").alias("node"), F.explode(F.transform(F.sequence(F.lit(0), F.col("fan") - 1), lambda i: F.struct(F.col("a"), i.cast("long").alias("salt"), F.lit(0).alias("side")))).alias("spot")))
+    # A row holds 64 of a head's groups at most; a member has few heads.
+    dealt = spots.groupBy("node", F.when(F.col("spot.side") == 0, F.floor(F.col("spot.salt") / 64)).otherwise(0).alias("deal")).agg(F.collect_set("spot").alias("spots"))
+    wanted = cut(dealt.join(nodes.select("node", "least"), "node").select("node", F.col("least").alias("__id"), "spots"))
+    side = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+    rows = docs.select("doc_id", "text").join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).select("text", "node", "spots")
+
+    def make():
+        def step(cols):
+            for text, node, spots in zip(*cols, strict=True):
+                s = shingle_set(text)
+                if _node(s) == node:  # else another text of the same id
+                    data = s.tobytes()
+                    for x in spots:
+                        yield x["a"], x["salt"], x["side"], node, data
+
+        return step
+
+    sets = map_rows(rows, "a long, salt long, side int, node long, data binary", make, 200)
+
+    def compare(batches):
+        key, one = None, None
+        for batch in batches:
+            a, b = [], []
+            for k, z, side, node, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if not side:
+                    key, one = (k, z), np.frombuffer(data, np.uint64)
+                elif key == (k, z):
+                    two = np.frombuffer(data, np.uint64)
+                    shared = np.intersect1d(one, two, assume_unique=True).size
+                    if (up + down) * shared >= up * (one.size + two.size):  # up / down <= shared / union
+                        a.append(k)
+                        b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return sets.repartition("a", "salt").sortWithinPartitions("a", "salt", "side").mapInArrow(compare, "a long, b long").distinct()
+
+
+def merged(parts: DataFrame, links_: DataFrame) -> DataFrame:
+    """(node, root) of the components when links are added; the links' components are found between roots."""
+    rooted = links_
+    for x in ("a", "b"):
+        rooted = rooted.join(parts.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
+    moved = cut(connected_components(rooted.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+    nodes = parts.union(links_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(parts, "node", "left_anti").select("node", F.col("node").alias("root")))
+    return nodes.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
 
 
 def similar_groups(docs: DataFrame, word_prints: int = 4, hot: int = 32, broadcast_rows: int = 1_000_000, crowd: int = CROWD) -> DataFrame:
@@ -463,12 +491,23 @@ def similar_groups(docs: DataFrame, word_prints: int = 4, hot: int = 32, broadca
 
     Documents with equal sets are one node; group_id is the smallest doc_id that can be reached. Candidates
     come from the word fingerprints (within two bits, exactly and without pairs inside crowded keys) and
-    the prefix join; only verified ones link. Up to ``broadcast_rows`` rows (counted) are broadcast.
+    the smallest shingle hashes; only verified ones link. Up to ``broadcast_rows`` rows (counted) are broadcast.
     """
     prints = cut(shingle_rows(docs, word_prints))
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("prints").alias("prints"), F.first("prefix").alias("prefix")))
-    pairs = cut(print_candidates(nodes, hot, broadcast_rows).union(prefix_candidates(docs, nodes, broadcast_rows, crowd)).distinct())
-    parts = connected_components(verified(docs, nodes, pairs, broadcast_rows))
+    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("size", "sketch", "prints", "mins")]))
+    rows = nodes.select("node", "size", "sketch", F.explode("mins").alias("h"))
+    first = cut(print_pairs(nodes, hot, broadcast_rows).union(least_pairs(rows)).distinct())
+    found = cut(verified(docs, nodes, first, broadcast_rows))
+    parts = cut(connected_components(found))
+    for turn in range(TURNS):
+        pairs = cut(other_pairs(rows, parts, crowd, turn).join(first, ["a", "b"], "left_anti"))
+        new = None if pairs.isEmpty() else cut(verified(docs, nodes, pairs, broadcast_rows))
+        if new is None or new.isEmpty():
+            break
+        first, parts = first.union(pairs), cut(merged(parts, new))
+        if not turn:
+            full = cut(rows.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("h"))
+            rows = cut(rows.join(full, "h", "left_semi"))
     joined = nodes.select("node", "least").join(parts, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of_root = joined.groupBy("root").agg(F.min("least").alias("group_id"))
     named = joined.filter("root <> node").join(of_root, "root").select("node", "group_id").union(of_root.select(F.col("root").alias("node"), "group_id"))

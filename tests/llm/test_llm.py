@@ -159,6 +159,29 @@ def test_decontamination_edges(spark, odd):
     assert decontam.contaminated(odd, items.limit(0)).count() == 0 and decontam.contaminated(odd.limit(0), items).count() == 0
 
 
+def test_decontamination_of_short_items_and_rows_without_id(spark):
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "Gamma, delta; EPSILON"), (3, "zeta"), (4, "..."), (5, "one two three four five six")], "item_id long, text string")
+    texts = ["x alpha beta y", "alpha x beta", "gamma delta epsilon", "the zetas", "zeta", "", None, "one two three four five six", "gamma delta"]
+    got = {(r["doc_id"], r["item_id"], r["containment"]) for r in decontam.contaminated(frame(spark, texts), items).collect()}
+    assert got == {(1, 1, 1.0), (3, 2, 1.0), (5, 3, 1.0), (8, 5, 1.0)}
+    rows = frame(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") < 3, F.lit(None).cast("long")).when(F.col("doc_id") < 5, 77).otherwise(F.col("doc_id")))
+    for bound in (2_000_000, 0):
+        kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in decontam.remove_contaminated(rows, items, broadcast_rows=bound).collect())
+        assert kept == [(0, "alpha x beta"), (6, ""), (7, ""), (9, "gamma delta"), (77, "the zetas")]
+
+
+def test_decontamination_sql_says_the_same(spark, docs):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as from '{SF}/documents.parquet'")
+    con.execute(f"create view benchmark as select * from '{SF}/benchmark.parquet' union all select 9001, 'of the' union all select 9002, 'on'")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").union(spark.createDataFrame([(9001, "of the"), (9002, "on")], "item_id long, text string"))
+    want = con.execute(decontam.ORACLE_SQL).fetchall()
+    got = [tuple(r) for r in decontam.contaminated(docs, items).collect()]
+    assert sorted(got) == sorted(want) and len({r[1] for r in want} & {9001, 9002}) >= 1
+
+
 def test_decontamination_with_repeated_and_null_items(spark):
     w = [f"w{k}" for k in range(24)]
     item, other = " ".join(w), " ".join(f"x{k}" for k in range(24))
