@@ -58,13 +58,16 @@ SHINGLE, SIMILAR = 5, (4, 5)
 MINS, CROWD = 12, 64
 #: Turns in which texts of full hashes meet others, at most; nodes that a hash picks for a turn, and those of
 #: all its picks that a text is compared with, the nearest by sketch.
-TURNS, PICKS, NEAREST = 4, 16, 3
+TURNS, PICKS, NEAREST = 3, 16, 3
 #: Sets compared with one in one group; more are dealt over several, with a copy of that one in each.
 FAN = 256
-#: Differing bits of two 64-bit sketches beyond which a pair is not verified. A bit differs with probability
+#: Differing bits of two 64-bit sketches beyond which a pair is not considered. A bit differs with probability
 #: (1 - J) / 2, so at J = 0.8 more than 25 of 64 differ once in 10**9 pairs.
 APART = 25
-_SALTS = np.array([(2 * k + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF for k in range(64)], np.uint64)
+#: Min-hashes whose last 4 bits are kept for a closer look at a pair, and differing ones beyond which its sets are
+#: not compared. One differs with probability (1 - J) * 15 / 16, so at J = 0.8 more than 50 do once in 10**8 pairs.
+FINE, FINE_APART = 128, 50
+_SALTS = np.array([(2 * k + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF for k in range(FINE)], np.uint64)
 
 
 def fingerprint(text: str | None) -> int:
@@ -123,11 +126,11 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
-def sketch(shingles: np.ndarray) -> int:
-    """64 bits, each the parity of one min-hash of the set."""
+def sketches(shingles: np.ndarray) -> tuple[int, list[int]]:
+    """64 bits, each the parity of one min-hash of the set, and the last 4 bits of ``FINE`` min-hashes in 64-bit words."""
     if not shingles.size:
-        return 0
-    least = np.full(64, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        return 0, [0] * (FINE // 16)
+    least = np.full(FINE, 0xFFFFFFFFFFFFFFFF, np.uint64)
     for at in range(0, shingles.size, 4096):
         g = shingles[None, at : at + 4096] ^ _SALTS[:, None]
         g *= np.uint64(0xBF58476D1CE4E5B9)
@@ -135,7 +138,8 @@ def sketch(shingles: np.ndarray) -> int:
         g *= np.uint64(0x94D049BB133111EB)
         np.minimum(least, g.min(axis=1), out=least)
     least ^= least >> np.uint64(29)
-    return int(np.packbits((np.bitwise_count(least) & 1).astype(bool), bitorder="little").view(np.uint64)[0])
+    fine = ((least & np.uint64(15)).reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return int(np.packbits((np.bitwise_count(least[:64]) & 1).astype(bool), bitorder="little").view(np.uint64)[0]), [int(x) for x in fine.view(np.int64)]
 
 
 def _signed(fp: int) -> int:
@@ -334,17 +338,18 @@ def near_duplicates(docs: DataFrame, hot: int = 32) -> DataFrame:
 
 
 def shingle_rows(docs: DataFrame, word_prints: int) -> DataFrame:
-    """(doc_id, node, size, sketch, prints, mins): node names the text's shingle set and size counts it."""
+    """(doc_id, node, size, sketch, fine, prints, mins): node names the text's shingle set and size counts it."""
 
     def make():
         def step(cols):
             for doc_id, text in zip(*cols, strict=True):
                 s = shingle_set(text)
-                yield doc_id, _node(s), s.size, _signed(sketch(s)), [_signed(x) for x in word_fingerprints(text, word_prints)], s[:MINS].view(np.int64).tolist()
+                bits, fine = sketches(s)
+                yield doc_id, _node(s), s.size, _signed(bits), fine, [_signed(x) for x in word_fingerprints(text, word_prints)], s[:MINS].view(np.int64).tolist()
 
         return step
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, node long, size long, sketch long, prints array<long>, mins array<long>", make, 1000)
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, node long, size long, sketch long, fine array<long>, prints array<long>, mins array<long>", make, 1000)
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -393,8 +398,8 @@ def crowd_pairs(rows: DataFrame) -> DataFrame:
 
 
 def least_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) of each node and the least node under each of its hashes; rows are (h, node, size, sketch)."""
-    heads = rows.groupBy("h").agg(F.min(F.struct("node", "size", "sketch")).alias("m"), F.count("*").alias("n")).filter("n > 1").select("h", "m")
+    """(a, b) of each node and the least node under each of its hashes; rows are (h, n, node, size, sketch)."""
+    heads = rows.groupBy("h").agg(F.min(F.struct("node", "size", "sketch")).alias("m"))
     met = rows.join(heads, "h").filter(F.col("node") != F.col("m.node")).filter(may_be_similar(F.col("size"), F.col("sketch"), F.col("m.size"), F.col("m.sketch")))
     return met.select(F.col("m.node").alias("a"), F.col("node").alias("b")).distinct()
 
@@ -402,14 +407,30 @@ def least_pairs(rows: DataFrame) -> DataFrame:
 def other_pairs(rows: DataFrame, parts: DataFrame, crowd: int, turn: int) -> DataFrame:
     """(a, b) of different components under hashes of more than ``crowd`` nodes: each node with the ``NEAREST`` nodes by sketch among ``PICKS`` that each hash picks in this turn; in turn 0 all under other hashes too."""
     rows = rows.join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    mixed = rows.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("h")
+    rows = cut(rows.join(mixed, "h", "left_semi"))
+    full = rows.filter(F.col("n") > crowd)
     pick = lambda k: F.min(F.struct(F.xxhash64("node", "h", F.lit(turn * PICKS + k)), F.col("node"), F.col("size"), F.col("sketch"), F.col("part")))
-    counted = cut(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.array_distinct(F.array(*map(pick, range(PICKS)))).alias("m")).filter("n > 1 and low <> high").select("h", "n", "m"))
-    met = rows.join(counted.filter(F.col("n") > crowd).select("h", "m"), "h")
+    picks = full.groupBy("h").agg(F.array_distinct(F.array(*map(pick, range(PICKS)))).alias("m"))
     fit = F.filter("m", lambda x: (x["part"] != F.col("part")) & may_be_similar(F.col("size"), F.col("sketch"), x["size"], x["sketch"]))
     near = F.transform(fit, lambda x: F.struct(F.bit_count(F.col("sketch").bitwiseXOR(x["sketch"])).alias("d"), x["node"].alias("node")))
-    met = met.select("node", F.array_min(near).alias("x")).filter("x is not null").groupBy("node").agg(F.slice(F.array_sort(F.collect_set("x")), 1, NEAREST).alias("x")).select("node", F.explode("x.node").alias("m"))
+    met = full.join(picks, "h").select("node", F.array_min(near).alias("x")).filter("x is not null").groupBy("node").agg(F.slice(F.array_sort(F.collect_set("x")), 1, NEAREST).alias("x")).select("node", F.explode("x.node").alias("m"))
     out = met.select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
-    return out if turn else out.union(crowd_pairs(rows.join(counted.filter(F.col("n") <= crowd).select("h"), "h", "left_semi"))).distinct()
+    return out if turn else out.union(crowd_pairs(rows.filter(F.col("n") <= crowd))).distinct()
+
+
+def worth_comparing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The (a, b) whose finer sketches allow the similarity."""
+    for x in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("fine").alias(f"f{x}")), x)
+
+    def differing(x: Column, y: Column) -> Column:
+        # Any set bit of a group of 4 falls onto its lowest.
+        one = x.bitwiseXOR(y)
+        two = one.bitwiseOR(F.shiftrightunsigned(one, 1))
+        return F.bit_count(two.bitwiseOR(F.shiftrightunsigned(two, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    return pairs.filter(F.aggregate(F.zip_with("fa", "fb", differing), F.lit(0), lambda s, v: s + v) <= FINE_APART).select("a", "b")
 
 
 def print_pairs(nodes: DataFrame, hot: int, broadcast_rows: int) -> DataFrame:
@@ -494,20 +515,19 @@ def similar_groups(docs: DataFrame, word_prints: int = 4, hot: int = 32, broadca
     the smallest shingle hashes; only verified ones link. Up to ``broadcast_rows`` rows (counted) are broadcast.
     """
     prints = cut(shingle_rows(docs, word_prints))
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("size", "sketch", "prints", "mins")]))
+    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("size", "sketch", "fine", "prints", "mins")]))
     rows = nodes.select("node", "size", "sketch", F.explode("mins").alias("h"))
-    first = cut(print_pairs(nodes, hot, broadcast_rows).union(least_pairs(rows)).distinct())
-    found = cut(verified(docs, nodes, first, broadcast_rows))
-    parts = cut(connected_components(found))
+    rows = cut(rows.join(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h").select("h", "n", "node", "size", "sketch"))
+    first = cut(worth_comparing(print_pairs(nodes, hot, broadcast_rows).union(least_pairs(rows)).distinct(), nodes))
+    parts = cut(connected_components(verified(docs, nodes, first, broadcast_rows)))
     for turn in range(TURNS):
-        pairs = cut(other_pairs(rows, parts, crowd, turn).join(first, ["a", "b"], "left_anti"))
+        pairs = cut(worth_comparing(other_pairs(rows, parts, crowd, turn).join(first, ["a", "b"], "left_anti"), nodes))
         new = None if pairs.isEmpty() else cut(verified(docs, nodes, pairs, broadcast_rows))
         if new is None or new.isEmpty():
             break
         first, parts = first.union(pairs), cut(merged(parts, new))
         if not turn:
-            full = cut(rows.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("h"))
-            rows = cut(rows.join(full, "h", "left_semi"))
+            rows = rows.filter(F.col("n") > crowd)
     joined = nodes.select("node", "least").join(parts, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of_root = joined.groupBy("root").agg(F.min("least").alias("group_id"))
     named = joined.filter("root <> node").join(of_root, "root").select("node", "group_id").union(of_root.select(F.col("root").alias("node"), "group_id"))
