@@ -514,45 +514,110 @@ def slow_tokens(text):
     return [*(re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")), None]
 
 
-@pytest.mark.parametrize("common", [3_000_000, 50, 0])
-def test_lm_base_is_exact(docs, common):
-    got = {r["doc_id"]: r for r in lm.score_documents(docs, common=common, log2_bits=22).collect()}
-    rows = {r["doc_id"]: slow_tokens(r["text"]) for r in docs.collect()}
+def slow_model(texts, discount=0.75):
+    """c, pairs by first token, T, N and Z of the module's formula, from exact counts by level."""
+    mid = lambda n: 1.5 * 2 ** (n.bit_length() - 1) - 0.5
+    one, two = Counter(), {}
+    for t in texts:
+        ts = slow_tokens(t)
+        one.update(ts)
+        for v, w in zip([None, *ts[:-1]], ts, strict=True):
+            two.setdefault(v, Counter())[w] += 1
+    one = {w: mid(n) for w, n in one.items()}
+    two = {v: {w: mid(n) for w, n in c.items()} for v, c in two.items()}
+    z = sum(one.values()) + len(one) + 1
+
+    def p(v, w):
+        rest = (one.get(w, 0) + 1) / z
+        if v not in two:
+            return rest
+        t = sum(two[v].values())
+        return max(two[v].get(w, 0) - discount, 0) / t + discount * len(two[v]) / t * rest
+
+    return p, list(one)
+
+
+@pytest.mark.parametrize(("common", "size", "each"), [(3_000_000, 1 << 28, 400), (3_000_000, 0, 400), (0, 1 << 28, 8), (3_000_000, 1 << 28, 8)])
+def test_lm_scores(docs, common, size, each):
+    """Exact with a filter that has next to no false positives; with the usual one, off by what these add."""
+    got = {r["doc_id"]: r for r in lm.score_documents(docs, common=common, broadcast_bytes=size, each=each).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = {i: slow_tokens(t) for i, t in texts.items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in rows}
     counts = Counter(t for i, ts in rows.items() if not held[i] for t in ts)
     n, v = sum(counts.values()), len(counts)
+    p, _ = slow_model([t for i, t in texts.items() if not held[i]])
+    off, tokens_ = 0.0, 0
     for i, ts in rows.items():
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ts), sum(t in counts for t in ts), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in ts))
-        assert r["score"] < 0
+        want = sum(math.log10(p(a, b)) for a, b in zip([None, *ts[:-1]], ts, strict=True))
+        if each > 8:
+            assert r["score"] == pytest.approx(want, rel=1e-5) and r["score"] < 0
+        off, tokens_ = off + abs(r["score"] - want), tokens_ + len(ts)
+    assert off / tokens_ < 0.1
     out = [got[i] for i in rows if held[i]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_log_frequency_bloom_never_undercounts():
-    rng = np.random.default_rng(4)
-    h, n = rng.integers(0, 2**63, 3000).astype(np.uint64), rng.geometric(0.05, 3000)
-    bits, shards = 18, 3
-    data = np.concatenate([lm.LogFrequencyBloom.build_shard(h[s == k], n[s == k], 3, bits - shards) for s in [lm.LogFrequencyBloom.shard(h, shards)] for k in range(1 << shards)])
-    bloom = lm.LogFrequencyBloom(bits, 3, shards, data)
-    found, want = bloom.probe(h), np.floor(np.log2(n)).astype(int) + 1
-    assert (found >= want).all() and (found == want).mean() > 0.9
-    assert (bloom.probe(rng.integers(0, 2**63, 3000).astype(np.uint64)) == 0).mean() > 0.9
+def test_lm_probabilities_add_up_to_one(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(25)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 12)), p=np.arange(1, 26) / 325)) for _ in range(80)] + ["a b"] * 700 + ["c d c e", "f g"]
+    p, vocabulary = slow_model(texts)
+    train = frame(spark, texts)
+    counted, hot, bits = lm.train(train, 2, 400)
+    rows = counted.collect()
+    bloom = lm.LogFrequencyBloom(bits, hot, [(r["h"], r["data"]) for r in rows if r["what"] == lm.SHARD])
+    h = {w: lm.token_hashes([w])[0][0] if w else np.uint64(lm.END) for w in [*vocabulary, "unseen"]}
+    context = {}
+    for r in rows:
+        if r["what"] == lm.CONTEXT:
+            n, t = context.get(r["h"], (0, 0.0))
+            context[r["h"]] = n + r["n"], t + r["total"]
+    exact = sorted((int(h_), r["n"], *context[int(lm.context(np.array([h_]))[0])][::-1]) for r in rows if r["what"] == lm.WORD and r["n"] >= 3 for h_ in [np.uint64(r["h"] % 2**64)])
+    table = tuple(np.array(c, k) for c, k in zip(zip(*exact, strict=True), (np.uint64, np.int64, float, float), strict=True))
+    z = sum(1.5 * 2 ** (r["n"].bit_length() - 1) + 0.5 for r in rows if r["what"] == lm.WORD) + 1
+    model = lm.Model(table, bloom, z, 0.75)
+    for v in [*vocabulary, "unseen"]:
+        assert abs(sum(p(v, w) for w in [*vocabulary, "unseen"]) - 1) < 1e-9
+        mine = [10 ** model.logs(np.array([h[v], h[w]]))[1] for w in [*vocabulary, "unseen"]]
+        assert sum(mine) == pytest.approx(1) and mine == pytest.approx([p(v, w) for w in [*vocabulary, "unseen"]])
+    scores = {r["doc_id"]: r["score"] for r in lm.score_documents(frame(spark, ["a b"] * 700)).collect()}
+    assert max(scores.values()) < 0
 
 
-def test_lm_filter_keeps_every_counted_gram(docs):
-    counts = lm.gram_counts(docs).cache()
-    bloom = lm.build_filter(counts, 12)
-    got = counts.toPandas()
-    assert (bloom.probe(got["h"].to_numpy().view(np.uint64)) >= lm.LogFrequencyBloom.levels(got["n"].to_numpy())).all()
-    assert bloom.log2_bits > 12 and (bloom.probe(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)) > 0).mean() < 0.1
+def test_log_frequency_bloom_never_undercounts():
+    rng = np.random.default_rng(4)
+    h, n = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64)), rng.geometric(0.05, 3000)
+    hot, shard_bits = np.array([1, 2], np.uint64), 3
+    for kind in (lm.UNIGRAM, lm.BIGRAM):
+        shard = lm.shard_of(h, kind, hot, shard_bits)
+        bloom = lm.LogFrequencyBloom(shard_bits, hot, [(k, lm.build([(lm.keys(h[shard == k], kind), lm.levels(n[shard == k]))]).tobytes()) for k in range(8)])
+        found, want = bloom.levels(h, kind), np.floor(np.log2(n)).astype(int) + 1
+        assert (found >= want).all() and (found == want).mean() > 0.9
+        assert (bloom.levels(rng.integers(0, 2**63, 3000).astype(np.uint64), kind) == 0).mean() > 0.9
+
+
+def test_lm_counts_every_gram(docs):
+    texts = [r["text"] for r in docs.collect()]
+    counted, hot, bits = lm.train(docs)
+    rows = counted.collect()
+    bloom = lm.LogFrequencyBloom(bits, hot, [(r["h"], r["data"]) for r in rows if r["what"] == lm.SHARD])
+    tokens_, _ = lm.token_hashes(texts)
+    for kind, h in ((lm.UNIGRAM, tokens_), (lm.BIGRAM, lm.pair_hashes(lm.before(tokens_), tokens_))):
+        values, n = np.unique(h, return_counts=True)
+        assert (bloom.levels(values, kind) >= lm.levels(n)).all()
+        if kind == lm.UNIGRAM:
+            assert {(r["h"], r["n"]) for r in rows if r["what"] == lm.WORD} == set(zip(values.view(np.int64).tolist(), n.tolist(), strict=True))
 
 
 def test_lm_edges(odd):
-    got = lm.score_documents(odd, log2_bits=20).collect()
-    assert len(got) == 12 and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
-    assert lm.score_documents(odd.limit(0), log2_bits=20).count() == 0
+    for size in (1 << 28, 0):
+        got = lm.score_documents(odd, broadcast_bytes=size).collect()
+        assert len(got) == 12 and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2)} == {1} and all(r["score"] <= 0 for r in got)
+        assert lm.score_documents(odd.limit(0), broadcast_bytes=size).count() == 0
 
 
 # ---------------------------------------------------------------- 9
