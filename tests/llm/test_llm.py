@@ -334,11 +334,41 @@ REAL = [
 ]
 
 
+REAL += [
+    ("lgpl-2.1", FSF.format("library", "Lesser ", ";", "2.1")),
+    ("lgpl-2.1", "/* SPDX-License-Identifier: LGPL-2.1-or-later */"),
+    ("bsd-3", "# SPDX-License-Identifier: BSD-3-Clause"),
+    ("bsd-3", "Copyright (c) A B C\n" + BSD + "\n3. Neither the name of The Very Long Name Of Some Organization With Many Words In It nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS"),
+]
+
+
 def test_licenses_on_real_texts(spark):
-    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(frame(spark, ["some text " * 50 + t for _, t in REAL])).collect()}
-    for i, (label, _) in enumerate(REAL, 1):
-        assert got[i] == ([label] if label != "bsd-3" else ["bsd-2", "bsd-3"]), (label, got[i])
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(frame(spark, ["some text " * 50 + t for _, t in REAL])).collect()}
+    assert got == {i: label for i, (label, _) in enumerate(REAL, 1)}
     assert {label for label, _ in REAL} == {label for label, *_ in licenses.TEMPLATES}
+    far = " ".join(f"w{k}" for k in range(500))
+    both = licenses.scan_licenses(frame(spark, [f"{REAL[0][1]} {far} {BSD}", f"{BSD} {far} {BSD} {far}"])).collect()
+    assert {r["doc_id"]: r["labels"] for r in both} == {1: "bsd-2,bsd-3", 2: "bsd-2"}
+
+
+def test_licenses_find_every_verbatim_template(spark, docs):
+    """Brute force: every template written out anywhere in a text is found, and no label without its key phrases."""
+    rng = np.random.default_rng(13)
+    filler = [w for r in docs.limit(20).collect() for w in (r["text"] or "").split()][:4000]
+    texts = []
+    for _, body, _ in licenses.TEMPLATES:
+        w = [str(x) for x in rng.choice(filler, 300)]
+        k = int(rng.integers(0, 300))
+        texts.append(" ".join(w[:k] + [body] + w[k:]))
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(frame(spark, texts).union(docs.selectExpr("doc_id + 1000 as doc_id", "text", "lang", "source", "0L n_chars", "1L h", "2L n", "3L key", "4L fp", "5D rate", "6D score"))).collect()}
+    whole = {i: t for i, t in enumerate(texts, 1)} | {r["doc_id"] + 1000: r["text"] for r in docs.collect()}
+    for i, t in whole.items():
+        line = f" {' '.join(re.findall('[a-z0-9]+|[^\\x00-\\x7F]+', (t or '').lower()))} "
+        has = [(label, body) for label, body, keys in licenses.TEMPLATES if all(f" {k} " in line for k in keys)]
+        verbatim = [(label, body) for label, body in has if f" {body} " in line]
+        inner = {label for label, body in verbatim if any(body in b and body != b and label != x for x, b in verbatim)}
+        labels = set(filter(None, rows[i]["labels"].split(",")))
+        assert {label for label, _ in verbatim} - inner <= labels <= {label for label, _ in has} | set(filter(None, rows[i]["base_labels"].split(",")))
 
 
 # ---------------------------------------------------------------- 6
