@@ -7,11 +7,14 @@ up to four tags that repeat, become repeated groups. Two wrappers align like a w
 host's pages are folded where they lie, and the partial wrappers are merged in two salted levels; no task
 gathers a host's pages.
 
-The wrapper names the host's content region: its article elements, else a main element, else a container
-whose class or id says content, else the smallest group that holds most of the variable text. A page's
-main text is the text of that region without navigation, headers, footers, asides, forms, scripts, styles,
-and containers whose class, id or role marks adverts, notices, menus, sidebars, sharing or comments;
-outside explicit article markup, texts that are constant over a host's pages are left out too.
+The wrapper names the host's content region: from the root, the child container that holds ``SHARE`` of the
+variable text outside links, menus and forms, down to an article or main element or to where no child holds so
+much; headings beside the last one belong to it. A page's region is found along the wrapper's path. Its text is
+the region's without headers, footers, asides, forms, scripts, styles and containers named as adverts, notices,
+menus, sidebars, sharing or comments (whole class or id names), and without blocks whose texts the wrapper shows to
+be the same, four words or more, on at least three pages and half of the host's, unless the region has no rarer text at all. A page
+without the region, or of a host seen once, is read by the wrapper of its own. A wrapper has at most ``MEMBERS``
+members in a list and ``NODES`` in all; rarer alternatives are merged into a slot.
 
 Defined cases: null html gives the empty text; a null or broken url counts as the host "" ; unclosed and
 stray tags are repaired as browsers do for blocks, list items and table cells; nesting beyond 100 levels
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import html as htmllib
 import json
+import operator
 import re
 from urllib.parse import urlsplit
 
@@ -30,15 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows
+from .common import cut, map_rows, ship
 
+# Runs are bounded, so that broken markup costs time in proportion to its length.
+_ATTRS = r"(?:[^>\"']{1,256}|\"[^\"]{0,4096}\"|'[^']{0,4096}'){0,64}+"
 _LEX = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?P<body>.*?)(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]{{0,65536}}>|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg)\b{_ATTRS}>(?P<body>.*?)(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]{{0,64}})(?P<attrs>{_ATTRS})>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]{{0,64}})[^>]{{0,65536}}>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 # HTML element classes.
@@ -48,13 +54,20 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 DROPPED = frozenset("nav footer aside form button select menu dialog script style textarea title noscript template iframe svg head object canvas audio video".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Words of class and id that mark what is not the article.
+TEXTUAL = HEADINGS | frozenset("p li dt dd pre tr td th blockquote".split())
+CONTAINERS = frozenset("article main body div section td center form html".split())
+# Words of class and id that mark what is not the article, and words that may stand beside them in a name.
 SIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead comment comments disqus share sharing social related newsletter subscribe signup login popup modal overlay search pagination pager widget toolbar copyright legal form reply replies respond".split()
 )
+NEUTRAL = frozenset("area bar block body bottom box button buttons container content group header heading icons inner item items left link links list main module outer panel post posts primary right row secondary section site slot title top unit wrap wrapper".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert menu menubar dialog".split())
-CONTENT_WORDS = frozenset("content article post entry story main".split())
 DEPTH = 100
+#: Share of a node's variable text by which its child is the content; members of a wrapper's list and nodes in all.
+SHARE, MEMBERS, NODES = 0.6, 48, 3000
+#: Values that are counted for a text, and words from which a block that is the same on many pages is a notice;
+#: shorter ones can be equal by chance.
+BAG, NOTICE = 32, 4
 
 
 def host_of(url: str | None) -> str:
@@ -71,23 +84,28 @@ class Element:
         self.tag, self.sig, self.side, self.children = tag, sig, side, []
 
 
+def _side_name(name: str) -> bool:
+    """Whether a class or id says that a container is not the article: one of the words, alone or with neutral ones."""
+    words = _NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+    return any(w in SIDE_WORDS for w in words) and all(w in SIDE_WORDS or w in NEUTRAL for w in words)
+
+
 def _open(tag: str, attrs: str) -> Element:
-    if not attrs:
-        return Element(tag, tag, tag in DROPPED)
-    names, side, role_main = [], tag in DROPPED, False
-    for name, value in _ATTR.findall(attrs):
+    side, main, classes = tag in DROPPED, False, []
+    for name, value in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            words = [w.lower() for w in _WORD.findall(value)]
-            names += words
-            side = side or any(w in SIDE_WORDS for w in words)
+            names = value.split()
+            if name == "class":
+                classes += [w for n in names if (w := re.sub(r"[^a-zA-Z_-]", "", n).lower())]
+            side = side or tag not in INLINE and tag not in TEXTUAL and any(map(_side_name, names))
         elif name == "role":
-            side, role_main = side or value.lower() in SIDE_ROLES, value.lower() == "main"
+            side, main = side or value.lower() in SIDE_ROLES, value.lower() == "main"
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             side = True
     if tag in ("html", "body", "article", "main"):
         side = False
-    return Element("main" if role_main and tag in ("div", "section") else tag, ".".join([tag, *names]), side)
+    return Element("main" if main and tag in ("div", "section") else tag, ".".join([tag, *classes]), side)
 
 
 def parse(page: str | None) -> Element:
@@ -145,26 +163,38 @@ def parse(page: str | None) -> Element:
 
 
 # ---------------------------------------------------------------- wrappers
-# A wrapper is a list [sig, optional, repeated, text, chars, children]: text is the hash of a constant
-# text, or 0 for a slot; a repeated group of several tags has the sig "()".
-SIG, OPT, REP, TEXT, CHARS, KIDS = range(6)
+# A wrapper is a list [sig, flags, texts, chars, seen, children]: flags are 1 optional, 2 repeated, 4 not the article;
+# texts has the hashes of a text's values with the pages of each, the commonest and at ties the least ``BAG`` of
+# them; chars adds up the lengths and seen the merged places. A text with one value is constant, others are slots.
+# A repeated group of several tags has the sig "()", a slot of rare alternatives "*".
+SIG, FLAGS, TEXTS, CHARS, SEEN, KIDS = range(6)
+OPT, REP, SIDE = 1, 2, 4
 
 
 def _key(node: list) -> str:
     return node[SIG] if node[SIG] != "()" else "(" + " ".join(_key(k) for k in node[KIDS]) + ")"
 
 
-def wrapper_of(node: Element) -> list:
+def _hash(words: str) -> int:
+    return xxhash.xxh64_intdigest(words.encode("utf-8", "surrogatepass")) >> 1 | 1
+
+
+def _wrapper(node: Element) -> list:
     kids = []
     for child in node.children:
         if isinstance(child, str):
             words = _SPACE.sub(" ", child).strip()
             if words:
-                kids.append(["#", 0, 0, xxhash.xxh64_intdigest(words.encode("utf-8", "surrogatepass")) >> 1 | 1, len(words), []])
+                kids.append(["#", 0, {_hash(words): 1}, len(words), 1, []])
         else:
-            kids.append(wrapper_of(child))
+            kids.append(_wrapper(child))
         _fold_tail(kids)
-    return [node.sig, 0, 0, 0, 0, kids]
+    return [node.sig, SIDE * node.side, {}, 0, 1, _trimmed(kids)]
+
+
+def wrapper_of(node: Element) -> list:
+    """The wrapper of one page."""
+    return _bounded(_wrapper(node))
 
 
 def _fold_tail(kids: list) -> None:
@@ -172,29 +202,43 @@ def _fold_tail(kids: list) -> None:
     for n in range(1, 5):
         if n > 1 and len(kids) > n and kids[-n - 1][SIG] == "()" and len(kids[-n - 1][KIDS]) == n and [_key(k) for k in kids[-n - 1][KIDS]] == [_key(k) for k in kids[-n:]]:
             group = kids[-n - 1]
-            group[KIDS] = [_merge(a, b) for a, b in zip(group[KIDS], kids[-n:], strict=True)]
+            group[KIDS] = [_merge(a, b, max) for a, b in zip(group[KIDS], kids[-n:], strict=True)]
             del kids[-n:]
             return
         if len(kids) < 2 * n or [_key(k) for k in kids[-n:]] != [_key(k) for k in kids[-2 * n : -n]]:
             continue
-        merged = [_merge(a, b) for a, b in zip(kids[-2 * n : -n], kids[-n:], strict=True)]
+        merged = [_merge(a, b, max) for a, b in zip(kids[-2 * n : -n], kids[-n:], strict=True)]
         if n == 1:
-            merged[0][REP] = 1
+            merged[0][FLAGS] |= REP
         else:
-            merged = [["()", 0, 1, 0, 0, merged]]
+            merged = [["()", REP, {}, 0, 1, merged]]
         kids[-2 * n :] = merged
         return
 
 
-def _merge(a: list, b: list) -> list:
-    return [a[SIG], a[OPT] | b[OPT], a[REP] | b[REP], a[TEXT] if a[TEXT] == b[TEXT] else 0, a[CHARS] + b[CHARS], _align(a[KIDS], b[KIDS])]
+def _merge(a: list, b: list, both=operator.add) -> list:
+    """Both as one; ``both`` gives a value's pages, their sum for different pages and the greater for places of one."""
+    return [a[SIG], a[FLAGS] | b[FLAGS], _texts(a[TEXTS], b[TEXTS], both), a[CHARS] + b[CHARS], both(a[SEEN], b[SEEN]), _align(a[KIDS], b[KIDS], both)]
+
 
+def _texts(a: dict, b: dict, both) -> dict:
+    if not b:
+        return a
+    out = dict(a)
+    for k, n in b.items():
+        out[k] = both(out[k], n) if k in out else n
+    return out if len(out) <= BAG else dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:BAG])
 
-def _align(a: list, b: list) -> list:
+
+def _constant(node: list) -> bool:
+    return len(node[TEXTS]) == 1 and next(iter(node[TEXTS].values())) >= node[SEEN]
+
+
+def _align(a: list, b: list, both=operator.add) -> list:
     """Align two lists of members by a longest common subsequence; what one side lacks becomes optional."""
     ka, kb = [_key(x) for x in a], [_key(x) for x in b]
     if ka == kb:
-        return [_merge(x, y) for x, y in zip(a, b, strict=True)]
+        return [_merge(x, y, both) for x, y in zip(a, b, strict=True)]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -202,104 +246,143 @@ def _align(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and ka[i] == kb[j]:
-            out.append(_merge(a[i], b[j]))
+            out.append(_merge(a[i], b[j], both))
             i, j = i + 1, j + 1
         elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([*a[i][:OPT], 1, *a[i][REP:]])
+            out.append([a[i][SIG], a[i][FLAGS] | OPT, *a[i][TEXTS:]])
             i += 1
         else:
-            out.append([*b[j][:OPT], 1, *b[j][REP:]])
+            out.append([b[j][SIG], b[j][FLAGS] | OPT, *b[j][TEXTS:]])
             j += 1
         _fold_tail(out)
-    return out
+    return _trimmed(out)
+
+
+def _slot(members: list) -> list:
+    return ["*", OPT | REP, {}, sum(_chars(m, False) for m in members), sum(m[SEEN] for m in members), []]
+
+
+def _trimmed(kids: list) -> list:
+    """At most ``MEMBERS`` members: the rarest, later ones first, become one slot at the end."""
+    if len(kids) <= MEMBERS:
+        return kids
+    keep = set(sorted((i for i, k in enumerate(kids) if k[SIG] != "*"), key=lambda i: (-kids[i][SEEN], -kids[i][CHARS], i))[: MEMBERS - 1])
+    return [k for i, k in enumerate(kids) if i in keep] + [_slot([k for i, k in enumerate(kids) if i not in keep])]
+
+
+def _size(node: list) -> int:
+    return 1 + sum(map(_size, node[KIDS]))
+
+
+def _bounded(wrapper: list) -> list:
+    """At most ``NODES`` nodes: small elements become slots, twice as large ones until the wrapper fits."""
+
+    def cut(node: list, least: int) -> list:
+        kids = [_slot([k]) if k[SIG] not in ("#", "*") and _chars(k, False) < least else cut(k, least) for k in node[KIDS]]
+        joined = []
+        for k in kids:
+            if joined and k[SIG] == joined[-1][SIG] == "*":
+                joined[-1] = ["*", OPT | REP, {}, joined[-1][CHARS] + k[CHARS], joined[-1][SEEN] + k[SEEN], []]
+            else:
+                joined.append(k)
+        return [*node[:KIDS], joined]
+
+    least = 16
+    while _size(wrapper) > NODES and least < 1 << 40:
+        wrapper, least = cut(wrapper, least), least * 2
+    return wrapper
 
 
 def merge_wrappers(a: list | None, b: list) -> list:
     """The wrapper of both; None is the wrapper of no page."""
-    return b if a is None else _merge(a, b)
+    return b if a is None else _bounded(_merge(a, b))
+
+
+def dumps(wrapper: list) -> str:
+    return json.dumps(wrapper, separators=(",", ":"))
+
+
+def loads(text: str) -> list:
+    def fixed(node: list) -> list:
+        return [*node[:TEXTS], {int(k): n for k, n in node[TEXTS].items()}, *node[CHARS:KIDS], [fixed(k) for k in node[KIDS]]]
+
+    return fixed(json.loads(text))
 
 
 def expression(node: list) -> str:
     """The wrapper written as a union-free regular expression."""
     if node[SIG] == "#":
-        inner = "#TEXT" if not node[TEXT] else "#CONST"
+        inner = "#CONST" if _constant(node) else "#TEXT"
+    elif node[SIG] == "*":
+        inner = "#ANY"
     elif node[SIG] == "()":
         inner = "(" + "".join(map(expression, node[KIDS])) + ")"
     else:
         inner = f"<{node[SIG]}>" + "".join(map(expression, node[KIDS])) + f"</{node[SIG].split('.', 1)[0]}>"
-    mark = {(0, 0): "", (1, 0): "?", (0, 1): "+", (1, 1): "*"}[node[OPT], node[REP]]
+    mark = ("", "?", "+", "*")[node[FLAGS] & 3]
     return f"({inner}){mark}" if mark else inner
 
 
-def _is_side(sig: str) -> bool:
-    tag, *words = sig.split(".")
-    return tag not in ("html", "body", "article", "main") and (tag in DROPPED or tag == "header" or any(w in SIDE_WORDS for w in words))
+def _tag(node: list) -> str:
+    return node[SIG].split(".", 1)[0]
+
+
+def _chars(node: list, variable: bool) -> int:
+    """Characters of text, or of variable text outside links and what is not the article."""
+    if variable and (node[FLAGS] & SIDE or _tag(node) in DROPPED or _tag(node) in ("a", "header")):
+        return 0
+    return (0 if variable and _constant(node) else node[CHARS]) + sum(_chars(k, variable) for k in node[KIDS])
 
 
 def content_rule(wrapper: list) -> dict:
-    """What a host's pages keep: {"by": "tag" | "sig" | "page", "at": name, "const": hashes of constant texts}."""
-    slots: dict[str, int] = {}
-    const: list[int] = []
-    total = [0]
-
-    def walk(node: list, above: tuple) -> int:
-        if node[SIG] == "#":
-            if node[TEXT]:
-                const.append(node[TEXT])
-                return 0
-            total[0] += node[CHARS]
-            return node[CHARS]
-        if node[SIG] != "()" and _is_side(node[SIG]):
-            for k in node[KIDS]:
-                quiet(k)
-            return 0
-        held = sum(walk(k, (*above, node[SIG])) for k in node[KIDS])
-        if node[SIG] != "()":
-            slots[node[SIG]] = max(slots.get(node[SIG], 0), held)
-            order.setdefault(node[SIG], len(above))
-        return held
-
-    def quiet(node: list) -> None:
-        if node[SIG] == "#" and node[TEXT]:
-            const.append(node[TEXT])
-        for k in node[KIDS]:
-            quiet(k)
-
-    order: dict[str, int] = {}
-    walk(wrapper, ())
-    const = sorted(set(const))
-    tags = {s.split(".", 1)[0] for s in slots}
-    for tag in ("article", "main"):
-        if tag in tags:
-            return {"by": "tag", "at": tag, "const": []}
-    named = [s for s in slots if s.split(".")[0] in ("div", "section", "td") and CONTENT_WORDS.intersection(s.split(".")[1:]) and slots[s] * 2 >= total[0]]
-    if named:
-        return {"by": "sig", "at": max(named, key=lambda s: (slots[s], order[s], s)), "const": []}
-    blocks = [s for s in slots if s.split(".")[0] in ("div", "section", "td") and slots[s] * 10 >= 6 * total[0] > 0]
-    if blocks:
-        return {"by": "sig", "at": min(blocks, key=lambda s: (-order[s], s)), "const": const}
-    return {"by": "page", "at": "", "const": const}
+    """What a host's pages keep: {"path": sigs below the root, "heads": whether headings beside it belong to it, "const": hashes of its constant texts}."""
+    pages = wrapper[SEEN]
+    # With a page seen once all texts are constant; they count as variable then.
+    held = (lambda n: _chars(n, True)) if _chars(wrapper, True) else (lambda n: 0 if n[FLAGS] & SIDE or _tag(n) in ("a", "header") else (0 if _tag(n) in DROPPED else n[CHARS] + sum(map(held, n[KIDS]))))
+    node, path, heads = wrapper, [], False
+    while held(node):
+        kids = [k for k in node[KIDS] if _tag(k) in CONTAINERS and not k[FLAGS] & SIDE]
+        best = max(kids, key=held, default=None)
+        # An element that is repeated or missing on most pages is no region, unless it holds nearly everything.
+        if best is None or held(best) < SHARE * held(node):
+            break
+        heads = any(_tag(k) in HEADINGS for k in node[KIDS])
+        node = best
+        path.append(best[SIG])
+        if _tag(best) in ("article", "main"):
+            break
+    values: list[tuple[int, int]] = []
+
+    def walk(n: list) -> None:
+        values.extend(n[TEXTS].items())
+        for k in n[KIDS]:
+            walk(k)
+
+    walk(node)
+    least = max(3, pages / 2)
+    const = {k for k, seen in values if seen >= least}
+    # Where the region has no rarer text, the pages are copies of each other.
+    return {"path": path, "heads": heads, "const": sorted(const) if any(seen < least for _, seen in values) else []}
 
 
 # ---------------------------------------------------------------- extraction
-def _blocks(node: Element, out: list[list[str]], in_article: bool) -> None:
+def _blocks(node: Element, out: list[list[str]]) -> None:
     """Text pieces of a region, a list for each block."""
     for child in node.children:
         if isinstance(child, str):
             out[-1].append(child)
             continue
-        if child.side or child.tag in DROPPED or (in_article and child.tag == "article"):
+        if child.side or child.tag in DROPPED:
             out.append([])
             continue
         if child.tag == "header":
             out.append([])
-            if in_article:
-                _headings(child, out)
+            _headings(child, out)
             continue
         block = child.tag not in INLINE
         if block:
             out.append([])
-        _blocks(child, out, in_article)
+        _blocks(child, out)
         if block:
             out.append([])
 
@@ -310,49 +393,54 @@ def _headings(node: Element, out: list[list[str]]) -> None:
             continue
         if child.tag in HEADINGS:
             out.append([])
-            _blocks(child, out, True)
+            _blocks(child, out)
             out.append([])
         else:
             _headings(child, out)
 
 
-def _regions(node: Element, match) -> list[Element]:
-    found = []
-    for child in node.children:
-        if isinstance(child, str) or child.side or child.tag in DROPPED:
-            continue
-        if match(child):
-            found.append(child)
-        else:
-            found += _regions(child, match)
-    return found
+def _region(root: Element, path: list[str]) -> tuple[list[Element], list[Element]]:
+    """The elements at the end of the wrapper's path, and their parents."""
+    here, above = [root], []
+    for sig in path:
+        above, here = here, [k for n in here for k in n.children if not isinstance(k, str) and k.sig == sig and not k.side]
+    return here, above
 
 
 def extract(page: str | None, rule: dict | None) -> str:
-    """The main text of a page under its host's rule; a page without the rule's region falls back on its own markup."""
+    """The main text of a page by its host's rule; a page without the rule's region is read by its own wrapper."""
     root = parse(page)
-    rule = rule or content_rule(wrapper_of(root))
-    regions = _regions(root, lambda n: n.tag == "article")
-    if not regions and rule["by"] == "tag":
-        regions = _regions(root, lambda n: n.tag == "main")
-    elif not regions and rule["by"] == "sig":
-        regions = _regions(root, lambda n: n.sig == rule["at"])
-    article = bool(regions) and regions[0].tag == "article"
-    const = frozenset() if article else frozenset(rule["const"])
+    found, above = _region(root, rule["path"]) if rule else ([], [])
+    if not any(_letters(n) for n in found):
+        rule = content_rule(wrapper_of(root))
+        found, above = _region(root, rule["path"])
+    const = frozenset(rule["const"])
+    pieces: list[list[str]] = [[]]
+    for n in above if rule["heads"] and rule["path"] else []:
+        for child in n.children:
+            if child in found:
+                _blocks(child, pieces)
+                pieces.append([])
+            elif not isinstance(child, str) and child.tag in HEADINGS and not child.side:
+                _blocks(child, pieces)
+                pieces.append([])
+    if not (rule["heads"] and rule["path"]):
+        for n in found:
+            _blocks(n, pieces)
+            pieces.append([])
     texts = []
-    for region in regions or [root]:
-        pieces: list[list[str]] = [[]]
-        _blocks(region, pieces, article)
-        for block in pieces:
-            raw = "".join(block)
-            if const and xxhash.xxh64_intdigest(_SPACE.sub(" ", raw).strip().encode("utf-8", "surrogatepass")) >> 1 | 1 in const:
-                continue
-            line = _SPACE.sub(" ", htmllib.unescape(raw)).strip()
-            if line:
-                texts.append(line)
+    for block in pieces:
+        line = _SPACE.sub(" ", htmllib.unescape("".join(block))).strip()
+        notice = const and line.count(" ") >= NOTICE - 1 and all(_hash(words) in const for raw in block if (words := _SPACE.sub(" ", raw).strip()))
+        if line and not notice:
+            texts.append(line)
     return " ".join(texts)
 
 
+def _letters(node: Element) -> bool:
+    return any(child.strip() if isinstance(child, str) else not child.side and child.tag not in DROPPED and _letters(child) for child in node.children)
+
+
 # ---------------------------------------------------------------- operator
 def infer_wrappers(pages: DataFrame, fan_in: int = 64) -> DataFrame:
     """(host, wrapper) with the wrapper as JSON; hot hosts are folded in place and merged in two levels."""
@@ -362,7 +450,7 @@ def infer_wrappers(pages: DataFrame, fan_in: int = 64) -> DataFrame:
 
         def flush():
             for host, wrapper in held.items():
-                yield host, json.dumps(wrapper, separators=(",", ":"))
+                yield host, dumps(wrapper)
             held.clear()
 
         def step(cols):
@@ -378,8 +466,8 @@ def infer_wrappers(pages: DataFrame, fan_in: int = 64) -> DataFrame:
     def fold(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         wrapper = None
         for text in sorted(group.column("wrapper").to_pylist()):
-            wrapper = merge_wrappers(wrapper, json.loads(text))
-        return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(wrapper, separators=(",", ":"))]})
+            wrapper = merge_wrappers(wrapper, loads(text))
+        return pa.table({"host": [key[0].as_py()], "wrapper": [dumps(wrapper)]})
 
     parts = map_rows(pages.select("url", "html"), "host string, wrapper string", make, 500).distinct()
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(fan_in)))
@@ -387,18 +475,19 @@ def infer_wrappers(pages: DataFrame, fan_in: int = 64) -> DataFrame:
     return level.distinct().groupBy("host").applyInArrow(fold, "host string, wrapper string")
 
 
-def extract_main_text(pages: DataFrame, max_broadcast_hosts: int = 50_000) -> DataFrame:
-    """page_id, url, text, n_chars for every row. Rules of at most ``max_broadcast_hosts`` hosts (counted) are broadcast, more are joined by host."""
+def extract_main_text(pages: DataFrame, broadcast_bytes: int = 1 << 26) -> DataFrame:
+    """page_id, url, text, n_chars for every row. Rules of at most ``broadcast_bytes`` (counted) are broadcast, more are joined by host."""
+    ship(pages.sparkSession)
 
     def rules_of(batches):
         for batch in batches:
-            rules = [json.dumps(content_rule(json.loads(w))) for w in batch.column(1).to_pylist()]
+            rules = [json.dumps(content_rule(loads(w))) for w in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rules, pa.string())], names=["host", "rule"])
 
     rules = cut(infer_wrappers(pages).mapInArrow(rules_of, "host string, rule string"))
     schema = "page_id long, url string, text string, n_chars long"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    if rules.count() <= max_broadcast_hosts:
+    if (rules.agg(F.sum(F.octet_length("host") + F.octet_length("rule")).alias("b")).first()["b"] or 0) <= broadcast_bytes:
         shared = pages.sparkSession.sparkContext.broadcast({r["host"]: r["rule"] for r in rules.collect()})
 
         def make():

@@ -6,6 +6,7 @@ import itertools
 import json
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -108,7 +109,7 @@ def test_wrappers_find_the_article(spark, root, end):
         assert got[i]["text"] == f"Head {i} Bold {i} Para&{i} two x{i} y"
         assert got[i]["n_chars"] == len(got[i]["text"])
     assert (got[90]["text"], got[91]["text"]) == ("", "only this")
-    joined = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(df, max_broadcast_hosts=0).collect()}
+    joined = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(df, broadcast_bytes=0).collect()}
     assert joined == {k: r["text"] for k, r in got.items()}
     assert wrappers.extract_main_text(df.limit(0)).count() == 0
 
@@ -121,6 +122,46 @@ def test_wrapper_expression():
     assert wrappers.expression(dl) == "<#root><dl>((<dt>#TEXT</dt><dd>#TEXT</dd>))+</dl></#root>"
 
 
+NEUTRAL = '<html><body><div class="a"><a href="/">Home</a><div>Welcome to the site of all sites</div></div><div class="b"><div class="c"><h1>Head {n}</h1><p>First words {k}.</p><p>This notice stands on every page.</p><p>More {n} and <b>bold</b> {k}</p></div></div><div class="d"><article><p>Teaser {m}</p></article><article><p>Teaser {q}</p></article></div><div class="e">Contact us any time.</div></body></html>'
+
+
+def test_wrappers_decide_what_is_content(spark):
+    """Pages without telling tags: only the comparison with the host's other pages finds the text and leaves out what all share."""
+    rows = [(i, f"http://one.example/{i}", NEUTRAL.format(n=i, k=f"about {i * 7919} " * 12, m=i + 1, q=i + 2)) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(df).collect()}
+    for i in range(9):
+        k = (f"about {i * 7919} " * 12).strip()
+        assert got[i] == f"Head {i} First words {k} . More {i} and bold {k}"
+        assert "This notice" in wrappers.extract(rows[i][2], None) and wrappers.extract(rows[i][2], None) != got[i]
+    wrong = {"path": ["html", "body", "div.d"], "heads": False, "const": []}
+    assert wrappers.extract(rows[3][2], wrong) == "Teaser 4 Teaser 5"
+    again = spark.createDataFrame([(i, "http://copies.example/", rows[0][2]) for i in range(6)], "page_id long, url string, html string")
+    assert {"This notice" in r["text"] for r in wrappers.extract_main_text(again).collect()} == {True}
+
+
+@pytest.mark.parametrize("part", ['<h2 id="related-work">Related work</h2>', '<p id="comments-on-theory">Kept here</p>', '<div class="ad-hoc">Kept here</div>', '<p class="reply">Kept here</p>', '<p data-id="ad">Kept here</p>', '<p title="see id=ad">Kept here</p>', '<div title=\'class="ad"\'>Kept here</div>'])
+def test_article_parts_stay(part):
+    html = f"<html><body><nav>menu</nav><article><h1>Title</h1><p>Long enough text of the article.</p>{part}<div class=\"share-buttons\">no</div><div class=\"comments\"><p>no</p></div><section id=\"comment-list\">no</section></article><div class=\"ad\">no</div></body></html>"
+    want = "Title Long enough text of the article. " + re.sub("<[^>]*>", "", part)
+    assert wrappers.extract(html, None) == want
+
+
+def test_wrappers_are_bounded():
+    rng = np.random.default_rng(3)
+    tags = ["p", "h2", "ul", "pre", "table", "h3", "ol", "dl"]
+    varied = ["<div>" + "".join(f"<{t} class='{chr(97 + c)}{chr(97 + d)}'>x</{t}>" for t, c, d in zip(rng.choice(tags, 3000), rng.integers(0, 26, 3000), rng.integers(0, 26, 3000), strict=True)) + "</div>" for _ in range(3)]
+    deep = "<div class=q>" * 60 + "".join(f"<section class={chr(97 + k)}><p>t<h2>u</section>" for k in range(26)) + "</div>" * 60
+    held = None
+    for html in [*varied, deep, *varied]:
+        held = wrappers.merge_wrappers(held, wrappers.wrapper_of(wrappers.parse(html)))
+        assert wrappers._size(held) <= wrappers.NODES
+    began = time.process_time()
+    wrappers.parse('<a b="' * 20_000)
+    wrappers.parse("<a b='" * 20_000 + ">")
+    assert time.process_time() - began < 10
+
+
 def test_pages_have_only_their_articles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(pages).collect()}
