@@ -5,7 +5,7 @@ blocks of texts, and one shuffle by filter shard adds up exact counts. A shard's
 stores for an n-gram of count c the levels 1 ... q, q = 1 + floor(log2 c), in a bit array that it sizes by the
 levels it has counted, and sums up the pairs of each first token. A count is read back by probing level after
 level until one is missing, so it can only be overestimated, and with a probability that falls by the
-false-positive rate (about 0.024) for each level.
+false-positive rate (about 0.06) for each level.
 
 score: sum over tokens of log10 of  max(c(v w) - D, 0) / T(v) + D N(v) / T(v) * (c(w) + 1) / Z,  where c are the
 filter's counts (the middle of a level), v is the token before (the end token at the start), D = 0.75 the
@@ -27,6 +27,8 @@ result.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -42,7 +44,7 @@ UNIGRAM, BIGRAM = 0, 1
 WORD, CONTEXT, SHARD = 0, 1, 2
 #: Tokens of a block, bytes of text for each shard, and the share of all tokens from which a token's pairs are spread over all shards.
 BLOCK, SHARD_BYTES, HOT = 1 << 20, 1 << 20, 1 / 2000
-HASHES, BITS = 4, 8
+HASHES, BITS = 3, 6
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW = np.uint64(0xFFFFFFFF)
 _SLICE = 1000
@@ -155,10 +157,14 @@ def probe(data: np.ndarray, start: np.ndarray, bits: np.ndarray, key: np.ndarray
 class LogFrequencyBloom:
     """All shards in one array, to be broadcast."""
 
-    def __init__(self, shard_bits: int, hot: np.ndarray, shards: list[tuple[int, bytes]]):
+    def __init__(self, shard_bits: int, hot: np.ndarray, shards: Iterable[tuple[int, bytes]], size: int | None = None):
+        """``size`` is the shards' bytes in all; with it each is copied as it comes and none is held twice."""
+        if size is None:
+            shards = list(shards)
+            size = sum(len(d) for _, d in shards)
         self.shard_bits, self.hot = shard_bits, hot
         self.start, self.bits = np.zeros(1 << shard_bits, np.int64), np.zeros(1 << shard_bits, np.uint64)
-        self.data, at = np.zeros(sum(len(d) for _, d in shards), np.uint8), 0
+        self.data, at = np.zeros(size, np.uint8), 0
         for k, d in shards:
             self.start[k], self.bits[k] = at, 8 * len(d)
             self.data[at : at + len(d)] = np.frombuffer(d, np.uint8)
@@ -333,11 +339,13 @@ def score_documents(docs: DataFrame, held: int = 2, modulus: int = 7, discount:
         got = contexts.filter("total >= 2.5").toArrow()
         ctx, place = np.unique(got["ctx"].to_numpy().view(np.uint64), return_index=True)
         spot = place[np.searchsorted(ctx, context(h))] if h.size else np.empty(0, np.int64)
-        model = Model((h, n, got["total"].to_numpy()[spot].astype(np.float32), got["pairs"].to_numpy()[spot].astype(np.int32)), LogFrequencyBloom(shard_bits, hot, [(r["shard"], r["data"]) for r in shards.toLocalIterator()]), z, discount)
+        model = Model((h, n, got["total"].to_numpy()[spot].astype(np.float32), got["pairs"].to_numpy()[spot].astype(np.int32)), LogFrequencyBloom(shard_bits, hot, ((r["shard"], r["data"]) for r in shards.toLocalIterator()), size), z, discount)
+        del table, got
     else:
         none = np.empty(0, np.uint64)
         model = Model((none, none.astype(np.int64), none, none), LogFrequencyBloom(0, none, []), z, discount)
     shared = spark.sparkContext.broadcast(model)
+    del model  # the driver needs no copy beside the broadcast file
 
     def run(batches):
         model = shared.value

@@ -608,7 +608,7 @@ def slow_model(texts, discount=0.75):
     return p, list(one)
 
 
-@pytest.mark.parametrize(("common", "size", "each"), [(3_000_000, 1 << 28, 400), (3_000_000, 0, 400), (0, 1 << 28, 8), (3_000_000, 1 << 28, 8)])
+@pytest.mark.parametrize(("common", "size", "each"), [(3_000_000, 1 << 28, 400), (3_000_000, 0, 400), (0, 1 << 28, 6), (3_000_000, 1 << 28, 6)])
 def test_lm_scores(docs, common, size, each):
     """Exact with a filter that has next to no false positives; with the usual one, off by what these add."""
     got = {r["doc_id"]: r for r in lm.score_documents(docs, common=common, broadcast_bytes=size, each=each).collect()}
@@ -624,10 +624,10 @@ def test_lm_scores(docs, common, size, each):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ts), sum(t in counts for t in ts), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in ts))
         want = sum(math.log10(p(a, b)) for a, b in zip([None, *ts[:-1]], ts, strict=True))
-        if each > 8:
+        if each > 6:
             assert r["score"] == pytest.approx(want, rel=1e-5) and r["score"] < 0
         off, tokens_ = off + abs(r["score"] - want), tokens_ + len(ts)
-    assert off / tokens_ < 0.1
+    assert off / tokens_ < 0.2
     out = [got[i] for i in rows if held[i]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
