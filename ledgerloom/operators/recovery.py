@@ -14,6 +14,14 @@ DATE_SHAPES = (r"\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b", r"\b\d{1,2}[-/]\d{1,2}[-/]\d{
 INVOICE_SHAPES = (r"(?i)(?:invoice|receipt|bill)\s*(?:no|number|#)?\s*[:\-]?\s*([A-Z0-9][A-Z0-9\-_/]*)", r"(?i)\b(?:inv|rcpt)[\s:#-]*([A-Z0-9][A-Z0-9\-_/]*)\b")
 SECTION = r"(?i)\btotal\w*\b|\bsub\w*\b|\bgrand\b|\bamount\s*due\b|\bbalance\s*due\b|\bcash\b|\bchang\w*\b|\bkembal\w*\b|\bbayar\w*\b|\bpembayaran\b|\btunai\b|\bcg\b|\btl\b|\brp\b|\bidr\b|\bdisc\w*\b|\bdiskon\b|\bpajak\b|\bpaj\b|\bppn\b|\bpb1\b|\bservi\w*\b|\btax\b|\btips?\b|\binc\b|\bpayment\b|\bpay\b"
 
+# Words of lines that are no description, of lines that name no vendor, and of company names.
+HEADER_WORDS = r"subtotal|total|tax|cash|change|date|invoice"
+NO_VENDOR = "total|tax|subtotal|invoice|receipt|date|cash|change"
+COMPANY = r"\b(?:store|vendor|merchant|seller|supplier|corp|inc|llc|ltd|cafe|restaurant)\b"
+# Lines of a total, from the surest on, and lines that count items.
+GRAND, PLAIN, SUB = r"\b(grand\s+total|total\s+due|amount\s+due|balance\s+due)\b", r"\btotal\b|\btl\b|\bnet\b", r"subtotal|\bsub\b"
+COUNT_LINE = r"\btotal\s*(item|qty|count|barang)\b"
+
 
 def recover_invoice_number(lines: DataFrame) -> DataFrame:
     text = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("t"))
@@ -29,7 +37,7 @@ def recover_date(lines: DataFrame) -> DataFrame:
 def recover_vendor(lines: DataFrame, first: int = 5) -> DataFrame:
     text = F.trim("text")
     low = F.lower(text)
-    ok = (F.col("line_no") < first) & (text != "") & ~low.rlike("total|tax|subtotal|invoice|receipt|date|cash|change") & (F.regexp_count(text, F.lit(r"\d")) <= 0.05 * F.length(text)) & low.rlike(r"\b(?:store|vendor|merchant|seller|supplier|corp|inc|llc|ltd|cafe|restaurant)\b") & ((F.size(words(text)) >= 2) | (text == F.upper(text)))
+    ok = (F.col("line_no") < first) & (text != "") & ~low.rlike(NO_VENDOR) & (F.regexp_count(text, F.lit(r"\d")) <= 0.05 * F.length(text)) & low.rlike(COMPANY) & ((F.size(words(text)) >= 2) | (text == F.upper(text)))
     return lines.filter(ok).groupBy("doc_id").agg(F.min_by(text, "line_no").alias("vendor"))
 
 
@@ -38,8 +46,8 @@ def recover_total(lines: DataFrame) -> DataFrame:
     t = merge_space_thousands(F.trim("text"))
     low = F.lower(t)
     keyed = lines.select("doc_id", "line_no", low.alias("low"), token_amounts(t).alias("amounts")).filter("size(amounts) > 0")
-    grand, plain, sub = F.col("low").rlike(r"\b(grand\s+total|total\s+due|amount\s+due|balance\s+due)\b"), F.col("low").rlike(r"\btotal\b|\btl\b|\bnet\b"), F.col("low").rlike(r"subtotal|\bsub\b")
-    score = F.when(F.col("low").rlike(r"\btotal\s*(item|qty|count|barang)\b"), None).when(grand, 6.0).when(plain, 4.0).when(sub, 1.0) + F.col("line_no") * 0.2
+    grand, plain, sub = F.col("low").rlike(GRAND), F.col("low").rlike(PLAIN), F.col("low").rlike(SUB)
+    score = F.when(F.col("low").rlike(COUNT_LINE), None).when(grand, 6.0).when(plain, 4.0).when(sub, 1.0) + F.col("line_no") * 0.2
     conf = F.when(grand, 0.78).when(plain, 0.72).otherwise(0.55)
     last = F.element_at("amounts", -1)
     fine = F.filter("amounts", lambda v: v.between(1, 50_000_000))
@@ -69,32 +77,82 @@ def resolve_price(numbers: Column, quantity: Column) -> Column:
     return let(numbers, rule)
 
 
+def clean_description(c: Column) -> Column:
+    """One blank between words, a leading x and blanks and dashes at the ends dropped."""
+    return F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), r"(?i)^x ", ""), r"^[ -]+|[ -]+$", "")
+
+
 def recover_line_items(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, description, quantity, unit_price) of single-line items and of a description followed by a line of numbers.
 
-    The pending description is the last description-only line with neither section, item nor numbers
-    since; consecutive ones are joined.
+    The pending description joins the description lines since the last item, section line or line of
+    numbers; lines of marks alone, or with a header's keyword, leave it as it is. The lines are read once:
+    what is pending for a line is a window over the lines of its island.
     """
     t = merge_space_thousands(F.trim("text"))
     base = lines.select("doc_id", "line_no", t.alias("t")).filter("t <> ''").select("*", words(F.col("t")).alias("w"))
     lead = F.regexp_extract(F.get("w", 0), r"(?i)^(\d{1,2})\s*x?$", 1)
     rest = F.when(lead != "", F.slice("w", 2, F.size("w"))).otherwise(F.col("w"))
-    parsed = base.select("doc_id", "line_no", "t", "w", F.nullif(lead, F.lit("")).cast("double").alias("lead"), rest.alias("rest"), F.col("t").rlike(SECTION).alias("section"))
+    parsed = base.select("doc_id", "line_no", "t", F.nullif(lead, F.lit("")).cast("double").alias("lead"), rest.alias("rest"), F.col("t").rlike(SECTION).alias("section"), token_amounts(F.col("t")).alias("all"))
     numbers = F.filter("rest", lambda x: x.rlike(r"^[0-9.,]+$"))
-    desc = F.trim(F.regexp_replace(F.array_join(F.filter("rest", lambda x: ~x.rlike(r"^[0-9.,]+$") & ~F.lower(x).isin("x", "@")), " "), r"\s+", " "))
-    parsed = parsed.select("doc_id", "line_no", "t", "lead", "section", F.filter(F.transform(numbers, recovery_amount), lambda v: v.isNotNull()).alias("numbers"), (F.size(numbers) > 0).alias("has_number"), desc.alias("description"))
-    is_item = ~F.col("section") & F.col("has_number") & ((F.col("description") != "") | F.col("lead").isNotNull())
-    only_text = ~F.col("section") & ~F.col("has_number") & F.col("lead").isNull() & F.col("t").rlike("[A-Za-z]")
-    kinds = parsed.withColumn("kind", F.when(F.col("section"), "section").when(is_item, "item").when(only_text, "text").otherwise("numbers"))
+    desc = clean_description(F.array_join(F.filter("rest", lambda x: ~x.rlike(r"^[0-9.,]+$") & ~F.lower(x).isin("x", "@")), " "))
+    parsed = parsed.select("doc_id", "line_no", "t", "lead", "section", "all", F.filter(F.transform(numbers, recovery_amount), lambda v: v.isNotNull()).alias("numbers"), (F.size(numbers) > 0).alias("has_number"), desc.alias("description"))
+    is_item = F.col("has_number") & ((F.col("description") != "") | (F.coalesce("lead", F.lit(0.0)) != 0))
+    only_text = F.col("t").rlike("[A-Za-z]") & (F.size("all") == 0) & ~F.lower("t").rlike(HEADER_WORDS)
+    kind = F.when(F.col("section"), "section").when(is_item, "item").when(F.size("all") > 0, "numbers").when(only_text, "text").otherwise("none")
     w = W.partitionBy("doc_id").orderBy("line_no")
-    kinds = kinds.withColumn("island", F.sum(F.when(F.col("kind") == "text", 0).otherwise(1)).over(w))
-    texts = kinds.filter("kind = 'text'").groupBy("doc_id", (F.col("island") + 1).alias("island")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "description"))), lambda x: x["description"]), " ").alias("pending"))
-    ready = kinds.filter("kind in ('item', 'numbers')").join(texts, ["doc_id", "island"], "left")
-    price = resolve_price(F.when(F.col("kind") == "item", F.col("numbers")).otherwise(token_amounts(F.col("t"))), F.when(F.col("kind") == "item", F.col("lead")))
-    out = ready.select("doc_id", "line_no", "kind", F.coalesce(F.nullif(F.col("description"), F.lit("")), F.col("pending")).alias("description"), price.alias("p"))
+    ends = F.when(F.col("kind").isin("section", "item", "numbers"), 1).otherwise(0)
+    kinds = parsed.withColumn("kind", kind).withColumn("island", F.coalesce(F.sum(ends).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = W.partitionBy("doc_id", "island").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    pending = F.array_join(F.collect_list(F.when(F.col("kind") == "text", clean_description(F.col("t")))).over(before), " ")
+    ready = kinds.withColumn("pending", F.nullif(F.trim(pending), F.lit(""))).filter("kind in ('item', 'numbers')")
+    price = resolve_price(F.when(F.col("kind") == "item", F.col("numbers")).otherwise(F.col("all")), F.when(F.col("kind") == "item", F.col("lead")))
+    out = ready.select("doc_id", "line_no", "kind", F.coalesce(F.when(F.col("kind") == "item", F.nullif(F.col("description"), F.lit(""))), F.col("pending")).alias("description"), price.alias("p"))
     return out.filter("description is not null and (kind = 'item' or p.unit_price is not null)").select("doc_id", "line_no", "description", "p.quantity", "p.unit_price")
 
 
 def is_receipt(lines: DataFrame) -> DataFrame:
     """(doc_id, receipt): a section word and at least two amounts."""
     return lines.groupBy("doc_id").agg((F.bool_or(F.col("text").rlike(SECTION)) & (F.sum(F.size(token_amounts(merge_space_thousands("text")))) >= 2)).alias("receipt"))
+
+
+def recover_header(lines: DataFrame, first: int = 5) -> DataFrame:
+    """doc_id, invoice_number, date, vendor, receipt and head_confidence in one aggregation over the lines.
+
+    head_confidence is that of recovered fields: the mean confidence of the first three lines between
+    0.45 and 0.75, 0.55 without any. The date is looked for line by line, then over the whole text.
+    """
+    text, conf = F.trim("text"), (F.col("confidence") if "confidence" in lines.columns else F.lit(None).cast("double"))
+    found = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 0), F.lit("")) for p in DATE_SHAPES])
+    low = F.lower(text)
+    vendor = (F.col("line_no") < first) & (text != "") & ~low.rlike(NO_VENDOR) & (F.regexp_count(text, F.lit(r"\d")) <= 0.05 * F.length(text)) & low.rlike(COMPANY) & ((F.size(words(text)) >= 2) | (text == F.upper(text)))
+    got = lines.groupBy("doc_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("t"),
+        F.min_by(found, F.when(found.isNotNull(), F.struct(~low.contains("date"), F.col("line_no")))).alias("by_line"),
+        F.min_by(text, F.when(vendor, F.col("line_no"))).alias("vendor"),
+        (F.bool_or(F.col("text").rlike(SECTION)) & (F.sum(F.size(token_amounts(merge_space_thousands("text")))) >= 2)).alias("receipt"),
+        F.avg(F.when(F.col("line_no") < 3, conf)).alias("c"),
+    )
+    whole = F.coalesce(*[F.nullif(F.regexp_extract("t", p, 0), F.lit("")) for p in DATE_SHAPES])
+    number = F.coalesce(*[F.nullif(F.regexp_extract("t", p, 1), F.lit("")) for p in INVOICE_SHAPES])
+    return got.select("doc_id", number.alias("invoice_number"), F.coalesce("by_line", whole).alias("date"), "vendor", "receipt", F.coalesce(F.greatest(F.lit(0.45), F.least(F.lit(0.75), F.col("c"))), F.lit(0.55)).alias("head_confidence"))
+
+
+def items_confidence(items: Column) -> Column:
+    """The mean of 0.78 for items with price and quantity, 0.68 with a price and 0.55 for others, between 0.5 and 0.78; 0.5 without items."""
+    scores = F.transform(items, lambda x: F.when(x["unit_price"].isNull(), 0.55).when(x["quantity"].isNull(), 0.68).otherwise(0.78))
+    mean = F.aggregate(scores, F.lit(0.0), lambda s, v: s + v) / F.size(items)
+    return F.when(F.size(items) > 0, F.greatest(F.lit(0.5), F.least(F.lit(0.78), mean))).otherwise(0.5)
+
+
+def looks_valid(field: Column, value: Column) -> Column:
+    """Whether an extracted value is good enough to need no recovery."""
+    text = F.trim(value)
+    rule = (
+        F.when(field == "date", text.rlike(DATE_SHAPES[0]) | text.rlike(DATE_SHAPES[1]) | text.rlike(DATE_SHAPES[2]))
+        .when(field == "invoice_number", text.rlike(r"(?i)^[A-Z0-9][A-Z0-9\-_/]*$"))
+        .when(field == "total_amount", F.size(token_amounts(merge_space_thousands(text))) > 0)
+        .when(field == "vendor", (F.size(words(text)) >= 2) & ~text.rlike(r"\d"))
+        .otherwise(F.lit(True))
+    )
+    return F.coalesce((value != "") & rule, F.lit(False))

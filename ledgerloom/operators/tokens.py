@@ -43,7 +43,7 @@ def synthetic_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     wide = F.greatest(F.lit(12), F.length("word") * 8)
     before = W.partitionBy("doc_id", "line").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     x0 = F.coalesce(F.sum(wide + 6).over(before), F.lit(0))
-    return words_.withColumn("x0", x0.cast("int")).select("doc_id", "line", "i", "word", "x0", (F.col("line") * 24).alias("y0"), (F.col("x0") + wide).alias("x1"), (F.col("line") * 24 + 18).alias("y1"), F.lit(0.99).alias("confidence"))
+    return words_.withColumn("x0", x0.cast("int")).select("doc_id", "line", "i", "word", "x0", (F.col("line") * 24).alias("y0"), (F.col("x0") + wide).alias("x1"), (F.col("line") * 24 + 16).alias("y1"), F.lit(0.99).alias("confidence"))
 
 
 def group_lines(tokens: DataFrame, tolerance: int = 18) -> DataFrame:
@@ -88,3 +88,47 @@ def chunk_lines(docs: DataFrame, limit: int, text: str = "text") -> DataFrame:
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now")).cast(state)
     folded = F.aggregate(lines, start, step, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.array_append(s["done"], s["now"])))
     return docs.select("doc_id", F.posexplode(folded).alias("chunk_id", "chunk"))
+
+
+def polygon_box(points: Column) -> Column:
+    """STRUCT(x0, y0, x1, y1) around points (x, y), whose coordinates are cut to whole numbers."""
+    of = lambda pick, axis: pick(F.transform(points, lambda p: p[axis].cast("int")))
+    return F.struct(of(F.array_min, "x").alias("x0"), of(F.array_min, "y").alias("y0"), of(F.array_max, "x").alias("x1"), of(F.array_max, "y").alias("y1"))
+
+
+def scaled_box(box: Column, width: Column, height: Column) -> Column:
+    """The box on the 0-1000 scale, rounded half to even, corners in order; null where a size is 0 or less."""
+    x, y = (lambda v: normalize_box(v, width)), (lambda v: normalize_box(v, height))
+    corner = lambda pick, a, b: pick(a, b)
+    out = F.struct(corner(F.least, x(box["x0"]), x(box["x1"])).alias("x0"), corner(F.least, y(box["y0"]), y(box["y1"])).alias("y0"), corner(F.greatest, x(box["x0"]), x(box["x1"])).alias("x1"), corner(F.greatest, y(box["y0"]), y(box["y1"])).alias("y1"))
+    return F.when((width > 0) & (height > 0), out)
+
+
+def scale_if_needed(boxes: Column, width: Column, height: Column) -> Column:
+    """Boxes cut to the 0-1000 scale if any coordinate is over 1000, else as they are."""
+    large = F.exists(boxes, lambda b: F.greatest(b["x0"], b["y0"], b["x1"], b["y1"]) > 1000)
+    scaled = F.transform(boxes, lambda b: F.struct(*[truncate_box(b[c], width if c[0] == "x" else height).alias(c) for c in ("x0", "y0", "x1", "y1")]))
+    return F.when(large, scaled).otherwise(boxes)
+
+
+def confident(tokens: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Tokens with text and at least the confidence."""
+    return tokens.filter((F.trim("text") != "") & (F.col("confidence") >= threshold))
+
+
+def degrade(tokens: DataFrame) -> DataFrame:
+    """Confidence 0.25 lower, at least 0; every fourth token by place, from the first, loses its last character."""
+    short = F.when(F.col("pos") % 4 == 0, F.substring("text", F.lit(1), F.greatest(F.length("text") - 1, F.lit(0)))).otherwise(F.col("text"))
+    return tokens.withColumns({"text": short, "confidence": F.greatest(F.lit(0.0), F.col("confidence") - 0.25)})
+
+
+def serialize(tokens: DataFrame) -> DataFrame:
+    """(doc_id, text): the texts in order of page, y and x, with one blank between."""
+    packed = F.array_sort(F.collect_list(F.struct(F.coalesce("page_number", F.lit(1)).alias("page"), "y0", "x0", "pos", F.trim("text").alias("text"))))
+    return tokens.filter(F.trim("text") != "").groupBy("doc_id").agg(F.array_join(F.transform(packed, lambda x: x["text"]), " ").alias("text"))
+
+
+def build_tokens(words_: Column, boxes: Column) -> Column:
+    """Tokens of words and boxes side by side, confidence 1 and page 1; blank words go."""
+    both = F.filter(F.arrays_zip(words_.alias("w"), boxes.alias("b")), lambda z: F.trim(z["w"]) != "")
+    return F.transform(both, lambda z: F.struct(F.trim(z["w"]).alias("text"), z["b"].alias("bbox"), F.lit(1.0).alias("confidence"), F.lit(1).alias("page_number")))
