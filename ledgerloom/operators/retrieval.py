@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.helpers import let
 from ..functions.scalars import cosine, hashing_embedding
 from .tokens import chunk_lines
 
@@ -23,12 +24,27 @@ def retrieve(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest rows of each query vector: the stated query set, broadcast, against all rows, with a top-k kept per partition before the shuffle."""
-    q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    scored = vectors.select("vec_id", "embedding").join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("score"))
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("vec_id"))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 10_000) -> DataFrame:
+    """The k nearest rows of each query vector by cosine, ties to the later one: the stated query set against all rows, in blocks.
+
+    Vectors are brought to unit length once. Queries are counted and dealt into blocks of about ``block`` by
+    a hash; each block is broadcast, and its pairs are ranked with a top-k kept per partition before the shuffle.
+    """
+
+    def unit(df: DataFrame, id_: str, to: str) -> DataFrame:
+        e = F.transform("embedding", lambda x: x.cast("double"))
+        return df.select(F.col("vec_id").alias(id_), let(e, lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))).alias(to))
+
+    dot = F.aggregate(F.zip_with("q", "e", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    n_blocks = max(1, -(-queries.count() // block))
+    all_, asked, out = unit(vectors, "vec_id", "e"), unit(queries, "query_id", "q"), None
+    for i in range(n_blocks):
+        part = asked if n_blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i)
+        scored = all_.join(F.broadcast(part), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", dot.alias("score"))
+        w = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("vec_id"))
+        best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        out = best if out is None else out.union(best)
+    return out
 
 
 def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -36,8 +52,17 @@ def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def split(rows: DataFrame, key: str, seed: int, shares: tuple[float, float] = (0.7, 0.15)) -> DataFrame:
-    """Adds split (train, val, test) with exact sizes, by rank of a hash over the distinct keys."""
-    n = rows.count()
-    rank = F.row_number().over(W.orderBy(F.xxhash64(key, F.lit(seed)), key))
+    """Adds split (train, val, test) with exact sizes, by rank of a hash over the distinct keys.
+
+    The rank is the number of rows in lower buckets of the hash, 65,536 of them at most, which are counted
+    first, and the place within the own bucket: no task sees all rows.
+    """
+    rows = rows.withColumn("__h", F.xxhash64(key, F.lit(seed)))
+    rows = rows.withColumn("__b", F.shiftright("__h", 48))
+    counts = rows.groupBy("__b").agg(F.count("*").alias("n"))
+    below = counts.select("__b", F.coalesce(F.sum("n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__below"))
+    n = int(counts.agg(F.sum("n")).first()[0] or 0)
+    rank = F.col("__below") + F.row_number().over(W.partitionBy("__b").orderBy("__h", key))
     first, second = int(n * shares[0]), int(n * shares[0]) + int(n * shares[1])
-    return rows.withColumn("__r", rank).withColumn("split", F.when(F.col("__r") <= first, "train").when(F.col("__r") <= second, "val").otherwise("test")).drop("__r")
+    ranked = rows.join(F.broadcast(below), "__b").withColumn("__r", rank)
+    return ranked.withColumn("split", F.when(F.col("__r") <= first, "train").when(F.col("__r") <= second, "val").otherwise("test")).drop("__r", "__h", "__b", "__below")
