@@ -308,6 +308,7 @@ def probability(both, t, n, c, z, discount):
 
 def train(docs: DataFrame, shard_bits: int | None = None, each: int = BITS) -> tuple[DataFrame, np.ndarray, int]:
     """Counted rows of ``count`` over all of ``docs``, stored; the hot contexts; and the shards' bits, by the bytes of text unless given."""
+    ship(docs.sparkSession)
     hot = hot_contexts(docs)
     if shard_bits is None:
         size = int(docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows
+from .common import cut, map_rows, ship
 from .components import connected_components
 
 #: Generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -210,6 +210,7 @@ def fuzzy_keys(fps: DataFrame) -> DataFrame:
                         key = (part[r] << 40) | (seg[exact][r] << 14) | (c << 2) | k
                         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[r]), pa.array(fp[r]), pa.array(np.full(r.size, is_home))], names=["key", "part", "fp", "home"])
 
+    ship(fps.sparkSession)
     return fps.select(F.col("part").cast("long"), "fp").mapInArrow(run, "key long, part long, fp long, home boolean")
 
 
@@ -307,6 +308,7 @@ def links(fps: DataFrame, hot: int = 32, spot_size: int = SPOT) -> DataFrame:
 
     With a column part, fingerprints are linked within each part (numbered from 0), and edges have it too.
     """
+    ship(fps.sparkSession)
     parted = "part" in fps.columns
     fps = fps.select((F.col("part") if parted else F.lit(0)).cast("long").alias("part"), "fp")
     spot = [F.shiftleft("part", 40).bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", SEGMENTS[e][0]).bitwiseAND(F.lit((1 << SEGMENTS[e][1]) - 1)), 2)).bitwiseOR(F.lit(k)) for k, (e, _) in enumerate(KEYS)]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, ship
 
 #: The free id of the 50k vocabulary, and the files' integer type.
 SEPARATOR, ID_TYPE = 50256, "<u2"
@@ -54,6 +54,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, separator: int
     rows are checkpointed in the shared folder. The vocabulary file is read on the driver and broadcast.
     """
     spark = docs.sparkSession
+    ship(spark)
     vocabulary = spark.sparkContext.broadcast(open(tokenizer or tokenizer_path(), "rb").read())
 
     def run(batches):
@@ -112,6 +113,7 @@ def read_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES)
 
 def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR, id_type: str = ID_TYPE, run: int = 4096) -> DataFrame:
     """(file, ordinal, start, n_tokens, ended) of every document, start in tokens from the file's first."""
+    ship(blocks.sparkSession)
     size = np.dtype(id_type).itemsize
     kind = blocks.schema["file"].dataType.simpleString()
 
