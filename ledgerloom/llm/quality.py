@@ -22,6 +22,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,12 +96,14 @@ def dual_coordinate_descent(rows: list[np.ndarray], ratios: np.ndarray, y: np.nd
     """Weights (already times the ratios) and bias of min |w|^2/2 + C sum hinge, each row scaled by 1/sqrt(its n-grams)."""
     w, bias = np.zeros(ratios.size), 0.0
     alpha, rng = np.zeros(len(rows)), np.random.default_rng(10)
-    values = [ratios[x] / math.sqrt(max(1, x.size)) for x in rows]
-    norm = [float(v @ v) + 1.0 for v in values]
+    # Values are made from the ratios at every visit; to hold them would take twice the rows' memory.
+    value = lambda x: ratios[x] / math.sqrt(max(1, x.size))
+    norm = [float(v @ v) + 1.0 for v in map(value, rows)]
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            x, v = rows[i], values[i]
+            x = rows[i]
+            v = value(x)
             g = y[i] * (float(w[x] @ v) + bias) - 1.0
             old = alpha[i]
             new = min(max(old - g / norm[i], 0.0), cost)
@@ -164,9 +167,15 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, log2_featur
 
         return step
 
-    got = map_rows(rows, "doc_id long, quality int, x binary", make, 200).collect()
-    got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["quality"], r["x"]))
-    return fit([np.frombuffer(r["x"], np.int32) for r in got], [r["quality"] for r in got], log2_features)
+    # One buffer holds all rows' features; the rows are views of it.
+    got = map_rows(rows, "doc_id long, quality int, x binary", make, 200).toArrow().combine_chunks()
+    ids, marks = got["doc_id"].to_pylist(), got["quality"].to_pylist()
+    column = got["x"].combine_chunks() if got.num_rows else None
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0)
+    found = [] if column is None else [np.frombuffer(column[i].as_buffer(), np.int32) for i in range(len(ids))]
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i], marks[i], found[i].tobytes()))
+    return fit([found[i] for i in order], [marks[i] for i in order], log2_features)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataFrame:

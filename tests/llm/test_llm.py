@@ -747,6 +747,29 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     assert all(value(u) <= value(u + rng.normal(0, s, 41)) + 1e-6 for s in (1e-4, 1e-3, 1e-2, 0.1) for _ in range(200))
 
 
+def test_quality_scores_are_the_models(spark):
+    """Every score against a plain computation from the text."""
+    sf = SF.replace("sf0.001", "sf0.01")
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(d, lab)
+    got = {r["doc_id"]: r["score"] for r in quality.predict(d, model).collect()}
+
+    def kind(t):
+        if t[0].isalpha():
+            return "a" if t.islower() else "AA" if len(t) > 1 and t.isupper() else "Aa" if len(t) == 1 or t[1:].islower() else "aA"
+        return "0" if t[0].isdigit() else t[:3]
+
+    for r in d.filter("doc_id % 3 = 0").collect():
+        t = re.findall(r"\w+|[^\w\s]+", r["text"] or "")
+        shapes = ["^", "^", *("=" if i and t[i - 1] == x else kind(x) for i, x in enumerate(t))]
+        low = ["", *(x.lower() for x in t)]
+        grams = {x for x in low[1:]} | {f"{a} {b}" for a, b in itertools.pairwise(low)}
+        grams |= {f"\t{x}" for x in shapes[2:]} | {f"\t{a}\t{b}" for a, b in itertools.pairwise(shapes[1:])} | {f"\t{a}\t{b}\t{c}" for a, b, c in zip(shapes, shapes[1:], shapes[2:], strict=False)}
+        x = sorted({zlib.crc32(g.encode()) % (1 << model.log2_features) for g in grams}) if t else []
+        margin = sum(float(model.weights[i]) for i in x) / math.sqrt(max(1, len(x))) + model.bias
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-(model.slope * margin + model.offset))), rel=1e-3, abs=1e-6)
+
+
 def test_quality_edges(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.classify_quality(odd, none).collect()} == {0.5}
