@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -44,6 +45,12 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and checkpoints that nothing refers to any more; loops leave them behind until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows written as Parquet to the checkpoint folder and read again, so that later readers can prune columns; removed when the application ends."""
     spark = df.sparkSession

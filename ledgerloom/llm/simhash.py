@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, ship
+from .common import cut, map_rows, release, ship
 from .components import connected_components
 
 #: Generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -522,6 +522,7 @@ def similar_groups(docs: DataFrame, word_prints: int = 4, hot: int = 32, broadca
     rows = cut(rows.join(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h").select("h", "n", "node", "size", "sketch"))
     first = cut(worth_comparing(print_pairs(nodes, hot, broadcast_rows).union(least_pairs(rows)).distinct(), nodes))
     parts = cut(connected_components(verified(docs, nodes, first, broadcast_rows)))
+    release(docs.sparkSession)
     for turn in range(TURNS):
         pairs = cut(worth_comparing(other_pairs(rows, parts, crowd, turn).join(first, ["a", "b"], "left_anti"), nodes))
         new = None if pairs.isEmpty() else cut(verified(docs, nodes, pairs, broadcast_rows))
@@ -530,6 +531,7 @@ def similar_groups(docs: DataFrame, word_prints: int = 4, hot: int = 32, broadca
         first, parts = first.union(pairs), cut(merged(parts, new))
         if not turn:
             rows = rows.filter(F.col("n") > crowd)
+        release(docs.sparkSession)
     joined = nodes.select("node", "least").join(parts, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of_root = joined.groupBy("root").agg(F.min("least").alias("group_id"))
     named = joined.filter("root <> node").join(of_root, "root").select("node", "group_id").union(of_root.select(F.col("root").alias("node"), "group_id"))

@@ -499,6 +499,27 @@ def test_links_keep_every_chain(spark, hot):
     assert groups(lambda i: got.get(ids[i], ids[i])) == groups(lambda i: want[i])
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_in_rounds_and_in_one_task(spark, few):
+    rng = np.random.default_rng(14)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-500, 500, (420, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(7, 7), (2000, 2001), (2001, 2000)]
+    root = {x: x for p in pairs for x in p if p[0] != p[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    df = spark.createDataFrame([*pairs, (None, 3)], "a long, b long").repartition(3)
+    got = components.connected_components(df, few=few).collect()
+    assert {r["node"]: r["root"] for r in got} == {x: find(x) for x in root} and len(got) == len(root)
+    assert components.connected_components(df.limit(0), few=few).count() == 0
+
+
 @pytest.mark.parametrize(("hot", "spot_size"), [(32, 100_000), (2, 100_000), (32, 3), (2, 0)])
 def test_links_by_part_are_the_pairs_within_two_bits(spark, hot, spot_size):
     rng = np.random.default_rng(11)
