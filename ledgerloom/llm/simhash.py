@@ -539,25 +539,25 @@ def similar_groups(docs: DataFrame, word_prints: int = 4, hot: int = 32, broadca
 
 
 def keep_one(docs: DataFrame, word_prints: int = 0, hot: int = 32, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """The rows of ``docs`` with one document of each group: the one with the smallest doc_id.
+    """The rows of ``docs`` with one document of each group: the one with the smallest doc_id, rows without id last.
 
-    Groups are those of ``near_duplicates``, or of ``similar_groups`` with ``word_prints`` of them.
-
-    Rows to drop are found by id. Up to ``broadcast_rows`` ids (counted) are broadcast, so texts are not
-    shuffled; more take a shuffled anti-join. Rows that repeat a kept doc_id are merged to one.
+    Groups are those of ``near_duplicates``, or of ``similar_groups`` with ``word_prints`` of them, over the
+    texts, each known by its hash; so rows without doc_id, or with one that repeats, are judged by their own
+    text. Rows to drop are found by id and text. Up to ``broadcast_rows`` of them (counted) are broadcast, so
+    texts are not shuffled; more take a shuffled anti-join. Equal rows of a kept id and text are merged to one.
     """
-    if word_prints:
-        found = cut(similar_groups(docs, word_prints, hot))
-    else:
-        found = cut(near_duplicates(docs, hot).select("doc_id", F.col("component_id").alias("group_id")))
-    drop = found.filter("doc_id <> group_id or (doc_id is null and group_id is not null)").select("doc_id").distinct()
-    again = cut(found.filter("doc_id = group_id or group_id is null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
-    drop = cut(drop)
+    t = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.select(t.alias("doc_id"), "text")
+    groups = similar_groups(texts, word_prints, hot) if word_prints else near_duplicates(texts, hot).select("doc_id", F.col("component_id").alias("group_id"))
+    groups = groups.select(F.col("doc_id").alias("t"), F.col("group_id").alias("root")).distinct()
+    found = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias("n")).join(groups, "t"))
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("k"))
+    marked = cut(found.join(kept, "root").select("doc_id", "t", "n", (F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("t") == F.col("k.t"))).alias("kept")))
+    drop = marked.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"))
     small = drop.count() <= broadcast_rows
-    side = (drop if not small else F.broadcast(drop)).withColumnRenamed("doc_id", "__drop")
-    out = docs.join(side, F.col("doc_id").eqNullSafe(F.col("__drop")), "left_anti")
+    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))) & (t == F.col("__t"))
+    out = docs.join(F.broadcast(drop) if small else drop, same, "left_anti")
+    again = marked.filter("kept and n > 1").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"))
     if again.isEmpty():
         return out
-    many = again.withColumnRenamed("doc_id", "__again")
-    same = F.col("doc_id").eqNullSafe(F.col("__again"))
-    return out.join(many, same, "left_anti").unionByName(out.join(many, same, "left_semi").dropDuplicates(["doc_id"]))
+    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").withColumn("__key", t).dropDuplicates(["doc_id", "__key"]).drop("__key"))

@@ -573,6 +573,15 @@ def test_keep_one_finds_changed_copies(spark):
     assert {r["doc_id"] for r in simhash.keep_one(frame(spark, base + near), word_prints=6, broadcast_rows=0).collect()} == kept
 
 
+@pytest.mark.parametrize(("prints", "bound"), [(0, 2_000_000), (4, 2_000_000), (4, 0)])
+def test_keep_one_judges_rows_by_their_own_text(spark, prints, bound):
+    base = [" ".join(f"q{k}x{i}" for i in range(60)) for k in range(4)]
+    rows = [(None, base[0]), (None, base[1]), (1, base[1]), (None, base[0]), (7, base[2]), (7, base[3]), (8, base[3]), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in simhash.keep_one(df, prints, broadcast_rows=bound).collect())
+    assert got == sorted([(0, base[0]), (1, base[1]), (7, base[2]), (7, base[3]), (0, "")])
+
+
 def word_shingles(text):
     w = (text or "").lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
