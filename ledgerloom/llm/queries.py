@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licenses, lm, media, mixing, quality, simhash, tokens, wrappers
+from . import align, decontam, fim, langid, licenses, linedup, lm, media, mixing, quality, simhash, tokens, wrappers
 from .common import table
 
 #: Target shares of tokens by domain of the labels table.
@@ -54,10 +54,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's form and cuts, and the digests of its output and of the text rebuilt from it."""
+    return fim.transform(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links between two tokenizers, with corpus-wide counts of the linked ids."""
+    return align.align(table(spark, sf_dir, "documents"))[0]
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents or more hold."""
+    return linedup.drop_repeated(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_media_columns, op2_html_extraction, op3_decontamination, op4_mixing, op5_license_scan, op6_language_id, op7_simhash, op8_lm_score, op9_token_counts, op10_quality]
+    found = [op1_media_columns, op2_html_extraction, op3_decontamination, op4_mixing, op5_license_scan, op6_language_id, op7_simhash, op8_lm_score, op9_token_counts, op10_quality, op11_fim, op12_alignment, op13_line_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontam.ORACLE_SQL}
+    return {"op3_decontamination": decontam.ORACLE_SQL, "op11_fim": fim.ORACLE_SQL, "op13_line_dedup": linedup.ORACLE_SQL}
