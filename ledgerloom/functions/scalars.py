@@ -224,10 +224,11 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def evaluation_date(default: str = "2000-01-01"):
-    """The evaluator's date reading, month first and fuzzy; missing parts come from ``default``."""
+    """The evaluator's date reading, month first and fuzzy; missing parts come from ``default``. A text that can't be read so gives the first ISO date that stands in it."""
 
     @F.pandas_udf(StringType())
     def read(c: pd.Series) -> pd.Series:
+        import re
         from datetime import datetime
 
         from dateutil import parser
@@ -238,7 +239,8 @@ def evaluation_date(default: str = "2000-01-01"):
             try:
                 return parser.parse(x, fuzzy=True, default=base).date().isoformat() if x else None
             except (ValueError, OverflowError):
-                return None
+                found = re.search(r"\b\d{4}-\d{2}-\d{2}\b", x)
+                return found.group(0) if found else None
 
         return c.map(one, na_action=None).astype("object")
 

@@ -11,15 +11,16 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ArrayType, BooleanType
 
-from ..functions.helpers import let
-from ..functions.scalars import cleanup_text, evaluation_text, naive_amount
+from ..functions.helpers import let, settled
+from ..functions.scalars import cleanup_text, evaluation_date, evaluation_text, naive_amount
 from .metrics import f1
 
 FIELDS = ("invoice_number", "date", "vendor", "total_amount", "line_items")
+# Fields that are amounts.
 AMOUNTS = ("total_amount", "tax_amount", "subtotal", "unit_price", "price", "quantity")
-#: Date layouts that are read without Python, month before day; scalars.evaluation_date reads any other text.
+#: Date layouts that are read without Python, month before day; any_date_text reads any other text.
 LAYOUTS = ("yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "M-d-yyyy", "d-M-yyyy", "d/M/yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy")
 
 
@@ -34,6 +35,12 @@ def date_text(c: Column) -> Column:
     return let(F.replace(F.trim(c), F.lit(","), F.lit("")), lambda t: F.date_format(F.coalesce(*[F.try_to_date(t, f) for f in LAYOUTS]), "yyyy-MM-dd"))
 
 
+def any_date_text(c: Column) -> Column:
+    """ISO date of a text in any layout, month first; null if there is none. Only what the layouts leave goes through Python."""
+    known = date_text(c)
+    return F.coalesce(known, evaluation_date()(F.when(known.isNull(), F.trim(c))))
+
+
 def plain_text(c: Column) -> Column:
     return F.nullif(F.trim(evaluation_text(c)), F.lit(""))
 
@@ -45,7 +52,7 @@ def items_text(items: Column) -> Column:
 
 
 def normal_form(doc: Column, field: str) -> Column:
-    return {"date": date_text, "total_amount": amount_text, "line_items": items_text}.get(field, plain_text)(doc[field])
+    return {"date": any_date_text, "total_amount": amount_text, "line_items": items_text}.get(field, plain_text)(doc[field])
 
 
 def present(doc: Column, field: str) -> Column:
@@ -59,6 +66,16 @@ def exact_match(pred: Column, truth: Column, names: tuple[str, ...] = FIELDS) ->
     return reduce(lambda a, b: a & b, [normal_form(pred, f).eqNullSafe(normal_form(truth, f)) for f in names])
 
 
+def match_documents(docs: DataFrame, names: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Adds exact, exact_without (a map: exact but for one field) and wrong (the fields that differ) to (…, pred, truth) rows; normal forms are made once."""
+    pred, truth = F.col("pred"), F.col("truth")
+    forms = settled(docs, {"__p": F.struct(*[normal_form(pred, f).alias(f) for f in names]), "__t": F.struct(*[normal_form(truth, f).alias(f) for f in names])})
+    differ = F.array_compact(F.array(*[F.when(~F.col("__p")[f].eqNullSafe(F.col("__t")[f]), f) for f in names]))
+    rows = forms.withColumn("wrong", differ).drop("__p", "__t")
+    without = F.create_map(*[x for f in names for x in (F.lit(f), F.size(F.array_remove("wrong", f)) == 0)])
+    return rows.withColumn("exact", F.size("wrong") == 0).withColumn("exact_without", without)
+
+
 def mismatches(pred: Column, truth: Column, names: tuple[str, ...] = FIELDS) -> Column:
     """The named fields that differ in normal form."""
     return F.array_compact(F.array(*[F.when(~normal_form(pred, f).eqNullSafe(normal_form(truth, f)), f) for f in names]))
@@ -200,23 +217,33 @@ def candidates(field: str, value: Column) -> Column:
             day = F.to_date(d)
             return F.array(d, *[F.lower(F.date_format(day, p)) for p in ("MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "dd-MM-yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy")])
 
-        return let(date_text(value), lambda d: F.when(d.isNull(), none).otherwise(spellings(d)))
+        return let(any_date_text(value), lambda d: F.when(d.isNull(), none).otherwise(spellings(d)))
     if field in AMOUNTS:
         return let(amount_text(value), lambda a: F.when(a.isNull(), none).otherwise(F.array_distinct(F.array(a, F.regexp_replace(F.regexp_replace(a, "0+$", ""), r"\.$", "")))))
     return let(F.array_join(textual_tokens(plain_text(value)), " "), lambda t: F.when(F.length(F.replace(t, F.lit(" "), F.lit(""))) >= 3, F.array(t)).otherwise(none))
 
 
+def checks_of(pred: Column) -> Column:
+    """ARRAY<STRUCT<path, value, candidates>> of the scalars of a document, without nulls and what cannot be looked for."""
+    one = lambda path, name, v: F.struct(path.alias("path"), v.alias("value"), candidates(name, v).alias("candidates"))
+    scalar = [one(F.lit(f), f, pred[f].cast("string")) for f in FIELDS if f != "line_items"]
+    listed = F.coalesce(pred["line_items"], F.array().cast("array<struct<description:string,quantity:double,unit_price:double>>"))
+    items = F.flatten(F.transform(listed, lambda x, i: F.array(*[one(F.format_string(f"line_items[%d].{n}", i), n, x[n].cast("string")) for n in ("description", "quantity", "unit_price")])))
+    return F.filter(F.concat(F.array(*scalar), items), lambda c: c["value"].isNotNull() & (F.size(c["candidates"]) > 0))
+
+
 def grounding_checks(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, value, candidates) of the scalars in pred of (doc_id, pred, …) rows, without nulls and what cannot be looked for."""
-    scalar = [F.struct(F.lit(f).alias("path"), F.col("pred")[f].cast("string").alias("value"), candidates(f, F.col("pred")[f].cast("string")).alias("candidates")) for f in FIELDS if f != "line_items"]
-    item = lambda x, i, name: F.struct(F.format_string(f"line_items[%d].{name}", i).alias("path"), x[name].cast("string").alias("value"), candidates(name, x[name].cast("string")).alias("candidates"))
-    items = F.flatten(F.transform(F.coalesce(F.col("pred.line_items"), F.array().cast("array<struct<description:string,quantity:double,unit_price:double>>")), lambda x, i: F.array(*[item(x, i, n) for n in ("description", "quantity", "unit_price")])))
-    return docs.select("doc_id", F.inline(F.concat(F.array(*scalar), items))).filter("value is not null and size(candidates) > 0")
+    """(doc_id, path, value, candidates) of the scalars in pred of (doc_id, pred, …) rows."""
+    return docs.select("doc_id", F.inline(checks_of(F.col("pred"))))
+
 
+@F.pandas_udf(ArrayType(BooleanType()))
+def _fuzzy(found: pd.Series, lines: pd.Series, bare: pd.Series) -> pd.Series:
+    """For each of a document's checks, whether its tokens stand in a line: as they are, in order, or nearly.
 
-@F.pandas_udf(BooleanType())
-def _fuzzy(found: pd.Series, lines: pd.Series) -> pd.Series:
-    """Token sequence and fuzzy comparison of each candidate's tokens with each line's, for candidates that no plain search found."""
+    Texts of tokens: blanks between them, a line break behind each spelling and each line, a form feed behind each check.
+    ``lines`` are the lines' tokens, ``bare`` those of the lines without their commas, in which the order is looked for.
+    """
     from difflib import SequenceMatcher
 
     def alike(a: str, b: str) -> bool:
@@ -226,33 +253,41 @@ def _fuzzy(found: pd.Series, lines: pd.Series) -> pd.Series:
         rest = iter(w for w in line if not w.isdigit())
         return all(any(alike(t, w) for w in rest) for t in wanted)
 
-    def one(spellings, text_lines) -> bool:
-        joined = [" ".join(line) for line in text_lines]
-        for wanted in spellings:
-            if len("".join(wanted)) < 3:
+    def one(spellings, text_lines, bare_lines) -> bool:
+        for text in spellings:
+            if len(text) - text.count(" ") < 3:
                 continue
-            text = " ".join(wanted)
-            if any(text in line for line in joined) or any(in_order(wanted, line) for line in text_lines):
+            if any(text in line for line in text_lines) or any(in_order(text.split(" "), line) for line in bare_lines):
                 return True
-            if len(text) >= 5 and max((SequenceMatcher(None, text, line).ratio() for line in joined), default=0.0) >= 0.88:
+            if len(text) >= 5 and max((SequenceMatcher(None, text, line).ratio() for line in text_lines), default=0.0) >= 0.88:
                 return True
         return False
 
-    return pd.Series([one([list(w) for w in f], [list(x) for x in t]) for f, t in zip(found, lines, strict=True)], dtype=bool)
+    out = []
+    for checks, text, plain in zip(found, lines, bare, strict=True):
+        text_lines, bare_lines = text.split("\n")[:-1], [x.split(" ") for x in plain.split("\n")[:-1]]
+        out.append([one(x.split("\n")[:-1], text_lines, bare_lines) for x in checks.split("\f")[:-1]])
+    return pd.Series(out, dtype="object")
 
 
-def grounded(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, value, grounded) for (doc_id, pred, text) rows: plain search first, and fuzzy comparison of what it leaves.
+def grounded(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keep…, path, value, grounded) for (…, pred, text) rows: plain search first, and fuzzy comparison of what it leaves.
 
-    A plain hit is a spelling within the whole text. Only checks without one go through Python with the lines
-    of their document; both parts read the same checks.
+    A plain hit is a spelling within the whole text. A document's other checks go through Python in one call, with
+    its lines; documents without such checks send nothing. All of it stays in the document's row.
     """
-    checks = grounding_checks(docs.select("doc_id", "pred")).join(docs.select("doc_id", source_text(F.col("text")).alias("s"), "text"), "doc_id")
-    found = checks.withColumn("plain", F.exists("candidates", lambda c: F.contains(F.col("s"), c)))
-    done = found.filter("plain").select("doc_id", "path", "value", F.lit(True).alias("grounded"))
-    lines = F.filter(F.transform(F.split("text", r"\R"), textual_tokens), lambda x: F.size(x) > 0)
-    left = found.filter("not plain").select("doc_id", "path", "value", _fuzzy(F.transform("candidates", textual_tokens), lines).alias("grounded"))
-    return done.union(left)
+    rows = settled(docs.select(*keep, "pred", "text"), {"c": checks_of(F.col("pred")), "s": source_text(F.col("text")), "l": F.split(F.coalesce("text", F.lit("")), r"\R")})
+    rows = settled(rows, {"plain": F.transform("c", lambda x: F.exists(x["candidates"], lambda w: F.coalesce(F.contains(F.col("s"), w), F.lit(False))))})
+    left = F.filter(F.transform("c", lambda x, i: F.when(~F.get("plain", i), i)), lambda i: i.isNotNull())
+    rows = settled(rows, {"left": left})
+    spelt = lambda x: F.array_join(textual_tokens(x), " ")
+    behind = lambda xs, mark: F.array_join(F.transform(xs, lambda x: F.concat(x, F.lit(mark))), "")
+    full = lambda of: F.when(F.size("left") > 0, behind(F.filter(F.transform("l", lambda x: spelt(of(x))), lambda x: x != ""), "\n")).otherwise("")
+    wanted = behind(F.transform("left", lambda i: behind(F.filter(F.transform(F.get("c", i)["candidates"], spelt), lambda x: x != ""), "\n")), "\f")
+    rows = settled(rows, {"w": wanted, "full": full(lambda x: x), "bare": full(source_text)})
+    rows = rows.withColumn("fuzzy", _fuzzy("w", "full", "bare"))
+    each = F.transform("c", lambda x, i: F.struct(x["path"].alias("path"), x["value"].alias("value"), (F.get("plain", i) | F.coalesce(F.get("fuzzy", F.array_position("left", i).cast("int") - 1), F.lit(False))).alias("grounded")))
+    return rows.select(*keep, F.inline(each))
 
 
 def hallucination(checks: DataFrame) -> DataFrame:
@@ -266,12 +301,29 @@ def hallucination_rates(per_doc: DataFrame) -> DataFrame:
 
 
 def evaluation_record(docs: DataFrame) -> DataFrame:
-    """A row for each (doc_id, pred, truth, text): exact match with and without items, micro F1, hallucination rate and counts."""
-    pred, truth = F.col("pred"), F.col("truth")
-    exact = docs.select("doc_id", exact_match(pred, truth).alias("exact"), exact_match(pred, truth, FIELDS[:4]).alias("exact_without_items"), F.size(mismatches(pred, truth)).alias("n_mismatches"))
-    f = micro_f1(field_scores(docs)).select("doc_id", F.col("f1").alias("field_f1"))
+    """The evaluation of each (doc_id, pred, truth, text) row, with raw (the reply's JSON), flags, latency_ms and cost_usd where there are such columns.
+
+    field_f1, field_f1_conditional and exact_match_contribution are maps by field; the conditional F1 is null
+    where the truth hasn't the field. Rates of flags and repairs are 0 or 1 a document.
+    """
+    has = lambda name, default: F.coalesce(F.col(name), default) if name in docs.columns else default
+    rows = match_documents(docs).withColumn("flags", has("flags", F.array().cast("array<string>")))
+    one = lambda f: F.struct(F.lit(f).alias("field"), value_tokens(F.col("pred"), f).alias("p"), value_tokens(F.col("truth"), f).alias("t"), present(F.col("truth"), f).alias("present"))
+    rows = rows.withColumn("__s", F.array(*map(one, FIELDS)))
+    rows = rows.withColumn("__s", F.transform("__s", lambda x: F.struct(x["field"].alias("field"), x["present"].alias("present"), overlap(x["p"], x["t"]).cast("long").alias("tp"), F.size(x["p"]).cast("long").alias("np"), F.size(x["t"]).cast("long").alias("nt"))))
+    total = lambda c: F.aggregate(F.transform("__s", lambda x: x[c]), F.lit(0).cast("long"), lambda a, v: a + v)
+    by_field = lambda value: F.map_from_entries(F.transform("__s", lambda x: F.struct(x["field"].alias("key"), value(x).alias("value"))))
+    score = lambda x: f1(x["tp"], x["np"], x["nt"])
+    valid = schema_valid(F.col("raw")) if "raw" in docs.columns else F.lit(None).cast("boolean")
+    rate = lambda c: c.cast("int").cast("double")
+    out = rows.select(
+        "doc_id", by_field(score).alias("field_f1"), f1(total("tp"), total("np"), total("nt")).alias("field_level_f1"), rate(F.col("exact")).alias("exact_match"),
+        by_field(lambda x: F.when(x["present"], score(x))).alias("field_f1_conditional"), F.transform_values("exact_without", lambda _, v: rate(v)).alias("exact_match_contribution"), rate(valid).alias("schema_valid"),
+        rate(F.size("flags") > 0).alias("constraint_flag_rate"), rate(F.exists("flags", lambda x: F.contains(x, F.lit("corrected_")) | F.contains(x, F.lit("repaired")))).alias("constraint_repair_rate"),
+        has("latency_ms", F.lit(0.0)).cast("double").alias("latency_ms"), has("cost_usd", F.lit(0.0)).cast("double").alias("cost_usd"),
+    )
     h = hallucination(grounded(docs)).select("doc_id", F.col("rate").alias("hallucination_rate"))
-    return exact.join(f, "doc_id").join(h, "doc_id", "left").withColumn("hallucination_rate", F.coalesce("hallucination_rate", F.lit(0.0)))
+    return out.join(h, "doc_id", "left").withColumn("hallucination_rate", F.coalesce("hallucination_rate", F.lit(0.0)))
 
 
 # ---------------------------------------------------------------- the script scorer

@@ -67,6 +67,72 @@ def cost_cap(rows: DataFrame, group: str, order: str, cost: str, cap: float) ->
     return rows.withColumn("spent_before", before).filter(F.col("spent_before") < cap)
 
 
+#: Costs are added up as decimals with so many digits behind the point, so sums don't depend on their order.
+MONEY = "decimal(38,9)"
+
+
+class CostCapExceeded(RuntimeError):
+    """A run's costs have reached its cap."""
+
+
+def place_of(rows: DataFrame, order: str) -> Column:
+    """A number that rises with a number or time column."""
+    kind = dict(rows.dtypes)[order]
+    c = F.col(order).cast("timestamp") if kind in ("timestamp_ntz", "date") else F.col(order)
+    return c.cast("double")
+
+
+def run_bounds(rows: DataFrame, order: str, n_runs: int) -> list[float]:
+    """At most ``n_runs`` - 1 values that cut the rows into runs of about equal size by their order, whatever their groups."""
+    steps = [i / n_runs for i in range(1, n_runs)]
+    found = rows.agg(F.percentile_approx(place_of(rows, order), steps, 10 * n_runs).alias("p")).first()["p"] if steps else None
+    return sorted(set(found or []))
+
+
+def running_cost(rows: DataFrame, groups: list[str], order: list[str], cost: str, base: DataFrame | float = 0.0, n_runs: int = 256) -> DataFrame:
+    """Adds spent_before, the costs of a group's rows before each row on top of the group's ``base`` (a number, or a table of groups and base).
+
+    A prefix sum in two levels: the rows are cut into runs by the first column of ``order`` (a number or a time); a window
+    adds up within a run of a group, and a second one over the runs' sums gives each run its offset. So no task
+    holds a group, even if it is the only one. Null costs count as 0, rows without order come first.
+    """
+    bounds = run_bounds(rows, order[0], n_runs)
+    place = place_of(rows, order[0])
+    run = F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= place)) if bounds else F.lit(0), F.lit(0))
+    money = F.coalesce(F.col(cost), F.lit(0)).cast(MONEY)
+    zero = F.lit(0).cast(MONEY)
+    marked = rows.withColumn("__run", F.when(place.isNull(), -1).otherwise(run)).withColumn("__cost", money)
+    inner = W.partitionBy(*groups, "__run").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    inside = marked.withColumn("__inside", F.coalesce(F.sum("__cost").over(inner), zero))
+    sums = marked.groupBy(*groups, "__run").agg(F.sum("__cost").alias("__sum"))
+    outer = (W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))).orderBy("__run").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.withColumn("__offset", F.coalesce(F.sum("__sum").over(outer), zero)).drop("__sum")
+    if isinstance(base, DataFrame):
+        offsets = offsets.join(base.select(*groups, F.col("base").cast(MONEY).alias("__base")), groups, "left").withColumn("__offset", F.col("__offset") + F.coalesce("__base", zero)).drop("__base")
+    else:
+        offsets = offsets.withColumn("__offset", F.col("__offset") + F.lit(base).cast(MONEY))
+    # Null-safe, so that rows of a null group keep their offset.
+    left, right = inside.alias("l"), offsets.alias("r")
+    same = F.lit(True)
+    for name in [*groups, "__run"]:
+        same = same & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
+    joined = left.join(right, same)
+    return joined.select(*[F.col(f"l.{c}").alias(c) for c in rows.columns], (F.col("l.__inside") + F.col("r.__offset")).cast("double").alias("spent_before"))
+
+
+def within_cap(rows: DataFrame, groups: list[str], order: list[str], cost: str, cap: float, base: DataFrame | float = 0.0, n_runs: int = 256) -> DataFrame:
+    """The rows that are run before a group's costs reach the cap, with the running cost; the row that reaches it is the last."""
+    return running_cost(rows, groups, order, cost, base, n_runs).filter(F.col("spent_before") < cap)
+
+
+def enforce_cap(kept: DataFrame, cost: str, cap: float) -> float:
+    """The highest cost that rows from ``within_cap`` come to; raises where it reaches the cap. The caller writes the rows before that."""
+    spent = kept.agg(F.max(F.col("spent_before") + F.coalesce(F.col(cost), F.lit(0.0)))).first()[0] or 0.0
+    if spent >= cap:
+        raise CostCapExceeded(f"costs of {spent:.6f} have reached the cap of {cap:.6f}")
+    return spent
+
+
 def token_f1_lenient(rows: DataFrame) -> DataFrame:
     """Token counts in which a wrong label that is not O is no false negative, from (pred, gold)."""
     return rows.agg(F.count_if((F.col("pred") == F.col("gold")) & (F.col("gold") != "O")).alias("tp"), F.count_if((F.col("pred") != "O") & (F.col("pred") != F.col("gold"))).alias("fp"), F.count_if((F.col("pred") == "O") & (F.col("gold") != "O")).alias("fn"))

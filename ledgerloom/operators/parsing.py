@@ -1,7 +1,7 @@
 """From tokens to checked fields: label, group, recover, normalize, merge, validate, constrain, confidence; warnings.
 
-Fields stay in a long table (doc_id, field, value, ...) throughout, so every stage is one more transformation of it;
-``parse`` chains them. A labeler is any function from tokens to labelled tokens.
+``parse`` chains the stages within a document's row. The functions beside it do single stages on a long table
+(doc_id, field, value, ...). A labeler is any function from tokens to labelled tokens (doc_id, pos, label).
 """
 
 from __future__ import annotations
@@ -14,14 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ALIASES, canonical_field, cleanup_text, fix_artifacts, normalize_currency, normalize_date
 from . import fields as rules
-from . import recovery, spans
-from .labels import alias_labels
-from .tokens import group_lines
-
-
-def number_text(v: Column) -> Column:
-    """A number with up to six decimals, without zeros at the end."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", v), "0+$", ""), r"\.$", "")
+from . import packed, recovery, spans
+from .packed import number_text
 
 
 def entities_of(labelled: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFrame:
@@ -66,29 +60,18 @@ def normalize_items(items: Column) -> Column:
     return F.transform(items, lambda x: F.struct(F.nullif(cleanup_text(x["description"]), F.lit("")).alias("description"), normalize_currency(x["quantity"]).alias("quantity"), normalize_currency(x["unit_price"]).alias("unit_price")))
 
 
-def parse(tokens: DataFrame, today: str, aliases: dict[str, str] = ALIASES, labeler: Callable[[DataFrame], DataFrame] | None = None, threshold: float = rules.MIN_CONFIDENCE, drop: bool = True, with_recovery: bool = True) -> DataFrame:
+def parse(tokens: DataFrame, today: str, aliases: dict[str, str] = ALIASES, labeler: Callable[[DataFrame], DataFrame] | None = None, threshold: float = rules.MIN_CONFIDENCE, drop: bool = True, with_recovery: bool = True, with_constraints: bool = True, repair: bool = True) -> DataFrame:
     """(doc_id, field, value, confidence, valid, status, codes): the checked fields of (doc_id, pos, text, confidence, x0, y0, page_number) tokens.
 
     codes has the field's errors in the order of the stages. A document's errors without a field, such as
-    orphan values, stand in rows without field; missing required fields in rows with status missing.
+    orphan values, stand in rows without field; missing required fields in rows with status missing. The whole
+    chain runs in a document's row, see ``packed``.
     """
-    labelled = (labeler or (lambda t: alias_labels(t, aliases)))(tokens)
-    found = entities_of(labelled, aliases)
-    every = recover(found.filter("code is null or code = 'missing_value'"), group_lines(tokens)) if with_recovery else found.filter("code is null or code = 'missing_value'")
-    ready = normalize(every)
-    merged = rules.merge_duplicates(ready)
-    failed = ready.groupBy("doc_id", "field").agg(F.bool_or("failed").alias("failed"), F.bool_or(F.coalesce(F.col("code") == "missing_value", F.lit(False))).alias("unpaired"))
-    checked = rules.validate(merged.join(failed, ["doc_id", "field"]))
-    late = F.col("field").isin(*rules.DATE_FIELDS) & (F.try_to_date("value", "yyyy-MM-dd") > F.lit(today).cast("date"))
-    final = rules.confidence_policy(checked, threshold, drop)
-    codes = F.array_compact(F.concat(F.array(F.when(F.col("unpaired"), "missing_value"), F.when(F.col("failed"), "normalization_failed"), F.when(F.col("conflicts") > 0, "conflicting_values")), F.col("codes"), F.array(F.when(late, "future_date"), F.when(F.col("status") != "kept", "low_confidence"))))
-    rows = final.select("doc_id", "field", "value", "confidence", (F.col("valid") & (F.col("status") == "kept")).alias("valid"), "status", codes.alias("codes"))
-    grid = tokens.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, rules.REQUIRED))).alias("field"))
-    have = final.filter(~rules.blank(F.col("value"))).select("doc_id", "field")
-    absent = grid.join(have, ["doc_id", "field"], "left_anti").join(final.select("doc_id", "field"), ["doc_id", "field"], "left_anti")
-    missing = absent.select("doc_id", "field", F.lit(None).cast("string").alias("value"), F.lit(0.0).alias("confidence"), F.lit(False).alias("valid"), F.lit("missing").alias("status"), F.array(F.lit("missing_required_field")).alias("codes"))
-    stray = found.filter("code = 'orphan_value'").groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"), F.lit(0.0).alias("confidence"), F.lit(False).alias("valid"), F.lit("error").alias("status"), F.array_repeat(F.lit("orphan_value"), F.col("n").cast("int")).alias("codes"))
-    return rows.union(missing).union(stray)
+    if labeler is not None:
+        labelled = labeler(tokens)
+        extra = [c for c in ("label", "category") if c in labelled.columns]
+        tokens = tokens.drop("label", "category").join(labelled.select("doc_id", "pos", *extra), ["doc_id", "pos"])
+    return packed.long_fields(packed.documents(tokens, today, aliases, threshold, drop, with_recovery, with_constraints, repair))
 
 
 # Fixed value: the shape of a token that is an invoice number.

@@ -12,7 +12,18 @@ from ..functions.scalars import is_quantity, merge_space_thousands, recovery_amo
 # Date shapes, and words that mark a receipt's totals section.
 DATE_SHAPES = (r"\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b", r"\b\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\b", r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\s+\d{1,2},?\s+\d{2,4}\b")
 INVOICE_SHAPES = (r"(?i)(?:invoice|receipt|bill)\s*(?:no|number|#)?\s*[:\-]?\s*([A-Z0-9][A-Z0-9\-_/]*)", r"(?i)\b(?:inv|rcpt)[\s:#-]*([A-Z0-9][A-Z0-9\-_/]*)\b")
-SECTION = r"(?i)\btotal\w*\b|\bsub\w*\b|\bgrand\b|\bamount\s*due\b|\bbalance\s*due\b|\bcash\b|\bchang\w*\b|\bkembal\w*\b|\bbayar\w*\b|\bpembayaran\b|\btunai\b|\bcg\b|\btl\b|\brp\b|\bidr\b|\bdisc\w*\b|\bdiskon\b|\bpajak\b|\bpaj\b|\bppn\b|\bpb1\b|\bservi\w*\b|\btax\b|\btips?\b|\binc\b|\bpayment\b|\bpay\b"
+# The patterns of a totals section; any may match.
+SECTION_SHAPES = (
+    r"\btotal\w*\b|\bsub\s*total\b",
+    r"\bsub\w*\b",
+    r"\bgrand\b|\bamount\s*due\b|\bbalance\s*due\b",
+    r"\bcash\b|\bchang\w*\b|\bkembal\w*\b|\bbayar\w*\b|\bpembayaran\b|\btunai\b",
+    r"\bcg\b|\btl\b|\brp\b|\bidr\b",
+    r"\bdisc\w*\b|\bdiskon\b",
+    r"\bpajak\b|\bpaj\b|\bppn\b|\bpb1\b|\bservi\w*\b|\bservice\s*charge\b",
+    r"\btax\b|\btips?\b|\binc\b|\bpayment\b|\bpay\b",
+)
+SECTION = "(?i)" + "|".join(SECTION_SHAPES)
 
 # Words of lines that are no description, of lines that name no vendor, and of company names.
 HEADER_WORDS = r"subtotal|total|tax|cash|change|date|invoice"

@@ -40,8 +40,8 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 @query(_DOCS_SQL + """SELECT k AS doc_id, c IN (0, 1, 4) OR (c = 3 AND vendor IS NULL) AS exact, c IN (0, 1, 4, 5) OR (c = 3 AND vendor IS NULL) AS exact_without_items,
  CASE WHEN c = 2 THEN 'total_amount' WHEN c = 3 AND vendor IS NOT NULL THEN 'vendor' WHEN c = 5 THEN 'line_items' ELSE '' END AS wrong FROM o""")
 def exact_matches(spark: SparkSession, sf: str) -> DataFrame:
-    d, p, t = _documents(spark, sf), F.col("pred"), F.col("truth")
-    return d.select("doc_id", evaluation.exact_match(p, t).alias("exact"), evaluation.exact_match(p, t, evaluation.FIELDS[:4]).alias("exact_without_items"), F.array_join(evaluation.mismatches(p, t), ",").alias("wrong"))
+    d = evaluation.match_documents(_documents(spark, sf))
+    return d.select("doc_id", "exact", F.col("exact_without")["line_items"].alias("exact_without_items"), F.array_join("wrong", ",").alias("wrong"))
 
 
 _SCORES_SQL = _DOCS_SQL + """, s AS (

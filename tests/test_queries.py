@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_module
-from ledgerloom.plans import document_queries
+from ledgerloom.plans import document_queries, experiment_queries
 from ledgerloom.plans.queries import ORACLES, QUERIES
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -42,7 +42,7 @@ def duck():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, DIR).toPandas()
-    assert len(got) and document_queries
+    assert len(got) and document_queries and experiment_queries
     if name in ORACLES:
         want = duck.execute(ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
