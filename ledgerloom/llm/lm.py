@@ -17,8 +17,9 @@ T = 2.5 and N = 1.
 
 The filter and the table of tokens are broadcast while they have at most ``broadcast_bytes`` and ``common``
 entries (counted). Beyond that texts' distinct n-grams are dealt out to the filter's shards where these lie, and
-joined with the tokens' table; the scores are the same but for false positives at single tokens. base_score
-uses exact counts: those of common tokens from the table, the rest joined.
+joined with the tokens' table. One rule holds on both ways: tokens seen three times or more are looked up exactly, all
+others and all pairs are read from the filter, so the scores are the same. base_score uses exact counts: those of common
+tokens from the table, the rest joined.
 
 Defined cases: a null text is the empty text, whose only token is the end; with no training rows every
 count is 0; repeated rows are scored each; extra columns are ignored; an empty table gives an empty
@@ -412,43 +413,86 @@ def score_documents(docs: DataFrame, held: int = 2, modulus: int = 7, discount:
     )
 
 
-def probed(rows: DataFrame, words: DataFrame, contexts: DataFrame, shards: DataFrame, hot: np.ndarray, shard_bits: int, z: float, discount: float) -> DataFrame:
-    """Adds logs, times the log10 probability, to (rid, h, first, times, c) rows: pairs are probed in the task of their shard, T and N joined."""
-
-    def place(batches):
-        for b in batches:
-            first, h = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (0, 1))
-            pair = pair_hashes(first, h)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), b.column(4), pa.array(pair.view(np.int64)), pa.array(shard_of(pair, BIGRAM, hot, shard_bits)), pa.nulls(b.num_rows, pa.binary())], names=["first", "h", "rid", "times", "c", "pair", "shard", "data"])
+def probed_levels(rows: DataFrame, shards: DataFrame, most: int = 63) -> DataFrame:
+    """Adds level to rows with key and shard: each key is probed in the task to which its shard is dealt."""
+    names = [c for c in rows.columns if c not in ("key", "shard")]
+    kinds = dict(rows.dtypes)
 
     def look(batches):
         shard, data = None, None
         for b in batches:
-            pair, places_ = b.column(5).to_numpy(zero_copy_only=False), b.column(6).to_numpy(zero_copy_only=False)
+            at = {c: i for i, c in enumerate(b.schema.names)}
+            key, places_, held = b.column(at["key"]).to_numpy(zero_copy_only=False), b.column(at["shard"]).to_numpy(zero_copy_only=False), b.column(at["data"])
             edges = [0, *(np.flatnonzero(places_[1:] != places_[:-1]) + 1).tolist(), places_.size] if places_.size else [0]
             level = np.zeros(places_.size, np.int64)
             for a, e in zip(edges, edges[1:], strict=False):
                 if places_[a] != shard:
                     shard, data = places_[a], None
-                if b.column(7)[a].is_valid:  # a shard stands before its rows
-                    data = np.frombuffer(b.column(7)[a].as_py(), np.uint8)
+                if held[a].is_valid:  # a shard stands before its rows
+                    data = np.frombuffer(held[a].as_py(), np.uint8)
                 if data is not None:
-                    h = pair[a:e].astype(np.int64).view(np.uint64)
-                    level[a:e] = probe(data, np.zeros(h.size, np.int64), np.full(h.size, 8 * data.size, np.uint64), keys(h, BIGRAM))
-            kept = pa.RecordBatch.from_arrays([*[b.column(k) for k in range(5)], pa.array(level)], names=["first", "h", "rid", "times", "c", "level"])
-            yield kept.filter(b.column(2).is_valid())
+                    h = key[a:e].astype(np.int64).view(np.uint64)
+                    level[a:e] = probe(data, np.zeros(h.size, np.int64), np.full(h.size, 8 * data.size, np.uint64), h, most)
+            kept = pa.RecordBatch.from_arrays([*[b.column(at[c]) for c in names], pa.array(level)], names=[*names, "level"])
+            yield kept.filter(held.is_null())
+
+    queries = rows.select(*names, "key", "shard", F.lit(None).cast("binary").alias("data"))
+    filled = shards.select(*[F.lit(0).cast(kinds[c]).alias(c) for c in names], F.lit(0).cast("long").alias("key"), "shard", "data")
+    dealt = queries.union(filled).repartition("shard").sortWithinPartitions("shard", F.col("data").isNull())
+    return dealt.mapInArrow(look, ", ".join(f"{c} {kinds[c]}" for c in names) + ", level long")
+
+
+def token_values(words: DataFrame, asked: DataFrame, contexts: DataFrame, shards: DataFrame, hot: np.ndarray, shard_bits: int) -> DataFrame:
+    """(h, c, t, k) of the ``asked`` tokens, by the rule of ``Model.of_tokens``: exact for those seen three times or more, others by the filter."""
+
+    def columns(make):
+        def run(batches):
+            for b in batches:
+                h = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64)) for x in make(h)]], names=[*b.schema.names, *NAMES[make]])
+
+        return run
 
-    queries = rows.select("first", "h", "rid", "times", "c").mapInArrow(place, kind := "first long, h long, rid long, times long, c long, pair long, shard long, data binary")
-    filled = shards.select(*[F.lit(0).cast("long").alias(c) if c in ("h", "first", "pair") else F.lit(None).cast("long").alias(c) for c in ("first", "h", "rid", "times", "c", "pair")], "shard", "data")
-    got = queries.union(filled).repartition("shard").sortWithinPartitions("shard", F.col("data").isNull()).mapInArrow(look, kind.split(", pair")[0] + ", level long")
+    def named(h):
+        return (context(h),)
 
-    def name(batches):
+    def single(h):
+        return keys(h, UNIGRAM), shard_of(h, UNIGRAM, hot, shard_bits)
+
+    def twice(h):
+        return two_keys(context(h)), shard_of(context(h) << np.uint64(32), BIGRAM, hot, shard_bits)
+
+    NAMES = {named: ["ctx"], single: ["key", "shard"], twice: ["key", "shard"]}
+    mid = lambda level: F.when(level > 0, F.pow(F.lit(2.0), level - 1) * 1.5 - 0.5).otherwise(0.0)
+    known = words.filter("n >= 3")
+    common = known.select("h", "n").mapInArrow(columns(named), "h long, n long, ctx long").join(contexts, "ctx", "left")
+    common = common.select("h", mid(F.floor(F.log2(F.col("n").cast("double"))) + 1).alias("c"), F.col("total").cast("float").cast("double").alias("t"), F.col("pairs").cast("double").alias("k"))
+    rest = asked.join(known.select("h"), "h", "left_anti")
+    level = stored(probed_levels(rest.mapInArrow(columns(single), "h long, key long, shard long"), shards))
+    some = level.filter("level >= 2").select("h").mapInArrow(columns(twice), "h long, key long, shard long")
+    two = probed_levels(some, shards, 1).select("h", F.col("level").alias("two"))
+    rare = level.join(two, "h", "left")
+    once = F.when(F.col("level") > 0, 1.0).otherwise(0.0)
+    t = F.when(F.col("level") >= 2, F.when(F.col("two") > 0, 2.0).otherwise(2.5)).otherwise(once)
+    k = F.when(F.col("level") >= 2, F.when(F.col("two") > 0, 2.0).otherwise(1.0)).otherwise(once)
+    return common.union(rare.select("h", mid(F.col("level")).alias("c"), t.alias("t"), k.alias("k")))
+
+
+def probed(rows: DataFrame, words: DataFrame, contexts: DataFrame, shards: DataFrame, hot: np.ndarray, shard_bits: int, z: float, discount: float) -> DataFrame:
+    """Adds logs, times the log10 probability, to (rid, h, first, times, c) rows: pairs are probed in the task of their shard, what is known of tokens is joined."""
+
+    def place(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(context(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)).view(np.int64))], names=["first", "ctx"])
+            first, h = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (0, 1))
+            pair = pair_hashes(first, h)
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(5)], pa.array(keys(pair, BIGRAM).view(np.int64)), pa.array(shard_of(pair, BIGRAM, hot, shard_bits))], names=["first", "h", "rid", "times", "c", "key", "shard"])
 
-    # T and N by token: of the contexts that are kept, else those of a single pair seen once.
-    stats = words.select(F.col("h").alias("first")).mapInArrow(name, "first long, ctx long").join(contexts, "ctx", "left").select("first", F.coalesce("total", F.lit(1.0)).alias("t"), F.coalesce("pairs", F.lit(1)).alias("k"))
+    pairs = rows.select("first", "h", "rid", "times", "c").mapInArrow(place, "first long, h long, rid long, times long, c long, key long, shard long")
+    got = probed_levels(pairs, shards)
+    # Every text ends with the end token, so the tokens that stand before others are among those asked.
+    values = stored(token_values(words, rows.select("h").distinct(), contexts, shards, hot, shard_bits))
     mid = lambda level: F.when(level > 0, F.pow(F.lit(2.0), level - 1) * 1.5 - 0.5).otherwise(0.0)
-    c = F.coalesce(mid(F.floor(F.log2(F.col("c").cast("double"))) + 1), F.lit(0.0))
-    p = F.coalesce(F.greatest(F.lit(0.0), mid(F.col("level")) - discount) / F.col("t"), F.lit(0.0)) + F.coalesce(F.lit(discount) * F.col("k") / F.col("t"), F.lit(1.0)) * (c + 1) / F.lit(z)
-    return got.join(stats, "first", "left").select("rid", "times", "c", (F.col("times") * F.log10(p)).alias("logs"))
+    got = got.join(values.select("h", F.col("c").alias("w")), "h", "left").join(values.select(F.col("h").alias("first"), "t", "k"), "first", "left")
+    t = F.nullif(F.col("t"), F.lit(0.0))
+    p = F.coalesce(F.greatest(F.lit(0.0), mid(F.col("level")) - discount) / t, F.lit(0.0)) + F.coalesce(F.lit(discount) * F.col("k") / t, F.lit(1.0)) * (F.coalesce("w", F.lit(0.0)) + 1) / F.lit(z)
+    return got.select("rid", "times", "c", (F.col("times") * F.log10(p)).alias("logs"))
