@@ -344,14 +344,20 @@ def shingle_rows(docs: DataFrame, word_prints: int) -> DataFrame:
 
     def make():
         def step(cols):
-            for doc_id, text in zip(*cols, strict=True):
+            for doc_id, rid, text in zip(*cols, strict=True):
                 s = shingle_set(text)
                 bits, fine = sketches(s)
-                yield doc_id, _node(s), s.size, _signed(bits), fine, [_signed(x) for x in word_fingerprints(text, word_prints)], s[:MINS].view(np.int64).tolist()
+                yield doc_id, rid, _node(s), s.size, _signed(bits), fine, [_signed(x) for x in word_fingerprints(text, word_prints)], s[:MINS].view(np.int64).tolist()
 
         return step
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, node long, size long, sketch long, fine array<long>, prints array<long>, mins array<long>", make, 1000)
+    return map_rows(docs.select(F.col("doc_id").cast("long"), rid_of(docs), "text"), "doc_id long, rid long, node long, size long, sketch long, fine array<long>, prints array<long>, mins array<long>", make, 1000)
+
+
+def rid_of(docs: DataFrame) -> Column:
+    """What tells rows of one doc_id apart, where there is such a column; rows without it come last."""
+    last = F.lit((1 << 63) - 1)
+    return (F.coalesce(F.col("rid").cast("long"), last) if "rid" in docs.columns else last).alias("rid")
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -455,7 +461,8 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, broadcast_rows
     """The (a, b) whose shingle sets have a Jaccard similarity of at least 0.8, by exact sets.
 
     The set of b goes to a group named by a, once for each pair; a's set goes to each of its groups, one for
-    about ``FAN`` pairs. Sets are made where the texts lie: node's documents are found by their least id.
+    about ``FAN`` pairs. Sets are made where the texts lie: a node's text is that of its least id and rid, once a task,
+    so that copies of a text add no sets.
     """
     up, down = SIMILAR
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(FAN)).cast("long").alias("fan"))
@@ -464,15 +471,21 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, broadcast_rows
     spots = spots.union(many.select(F.col("a").alias("node"), F.explode(F.transform(F.sequence(F.lit(0), F.col("fan") - 1), lambda i: F.struct(F.col("a"), i.cast("long").alias("salt"), F.lit(0).alias("side")))).alias("spot")))
     # A row holds 64 of a head's groups at most; a member has few heads.
     dealt = spots.groupBy("node", F.when(F.col("spot.side") == 0, F.floor(F.col("spot.salt") / 64)).otherwise(0).alias("deal")).agg(F.collect_set("spot").alias("spots"))
-    wanted = cut(dealt.join(nodes.select("node", "least"), "node").select("node", F.col("least").alias("__id"), "spots"))
+    wanted = cut(dealt.join(nodes.select("node", "least"), "node").select("node", F.col("least.doc_id").alias("__id"), F.col("least.rid").alias("__rid"), "spots"))
     side = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-    rows = docs.select("doc_id", "text").join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).select("text", "node", "spots")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("rid").eqNullSafe(F.col("__rid"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rid_of(docs), "text").join(side, same).select("text", "node", F.xxhash64("node", "spots").alias("deal"), "spots")
 
     def make():
+        done = set()
+
         def step(cols):
-            for text, node, spots in zip(*cols, strict=True):
+            for text, node, deal, spots in zip(*cols, strict=True):
+                if (node, deal) in done:
+                    continue
                 s = shingle_set(text)
                 if _node(s) == node:  # else another text of the same id
+                    done.add((node, deal))
                     data = s.tobytes()
                     for x in spots:
                         yield x["a"], x["salt"], x["side"], node, data
@@ -517,7 +530,7 @@ def similar_groups(docs: DataFrame, word_prints: int = 4, hot: int = 32, broadca
     the smallest shingle hashes; only verified ones link. Up to ``broadcast_rows`` rows (counted) are broadcast.
     """
     prints = cut(shingle_rows(docs, word_prints))
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("size", "sketch", "fine", "prints", "mins")]))
+    nodes = cut(prints.groupBy("node").agg(F.min(F.struct("doc_id", "rid")).alias("least"), *[F.first(c).alias(c) for c in ("size", "sketch", "fine", "prints", "mins")]))
     rows = nodes.select("node", "size", "sketch", F.explode("mins").alias("h"))
     rows = cut(rows.join(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h").select("h", "n", "node", "size", "sketch"))
     first = cut(worth_comparing(print_pairs(nodes, hot, broadcast_rows).union(least_pairs(rows)).distinct(), nodes))
@@ -533,7 +546,7 @@ def similar_groups(docs: DataFrame, word_prints: int = 4, hot: int = 32, broadca
             rows = rows.filter(F.col("n") > crowd)
         release(docs.sparkSession)
     joined = nodes.select("node", "least").join(parts, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    of_root = joined.groupBy("root").agg(F.min("least").alias("group_id"))
+    of_root = joined.groupBy("root").agg(F.min("least.doc_id").alias("group_id"))
     named = joined.filter("root <> node").join(of_root, "root").select("node", "group_id").union(of_root.select(F.col("root").alias("node"), "group_id"))
     return prints.select("doc_id", "node").join(named, "node").select("doc_id", "group_id")
 
@@ -547,7 +560,7 @@ def keep_one(docs: DataFrame, word_prints: int = 0, hot: int = 32, broadcast_row
     texts are not shuffled; more take a shuffled anti-join. Equal rows of a kept id and text are merged to one.
     """
     t = F.xxhash64(F.coalesce("text", F.lit("")))
-    texts = docs.select(t.alias("doc_id"), "text")
+    texts = docs.select(t.alias("doc_id"), F.col("doc_id").cast("long").alias("rid"), "text")
     groups = similar_groups(texts, word_prints, hot) if word_prints else near_duplicates(texts, hot).select("doc_id", F.col("component_id").alias("group_id"))
     groups = groups.select(F.col("doc_id").alias("t"), F.col("group_id").alias("root")).distinct()
     found = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias("n")).join(groups, "t"))
