@@ -121,7 +121,7 @@ class Index:
                 starts += got
                 base.add(label)
         found = self._matches(words, at) if at else []
-        inner = {i for i, (label, low, high, n, _) in enumerate(found) for other, lo, hi, m, _ in found if other != label and m > n and lo <= low and high <= hi}
+        inner = inside_longer(found)
         reported = [x for i, x in enumerate(found) if i not in inner]
         labels = base | {label for label, *_ in reported}
         score = max([1.0 if base else 0.0, *(min(1.0, share) for *_, share in reported)])
@@ -172,6 +172,27 @@ class Index:
             at = end + 1
 
 
+def inside_longer(found: list[tuple[str, int, int, int, float]]) -> set[int]:
+    """Numbers of the (label, low, high, length, share) windows that lie within a window of another label and longer template.
+
+    A sweep by start: of the windows that have begun, the farthest end of each template's length and label says it all, and
+    there are few templates.
+    """
+    ends: dict[tuple[int, str], int] = {}
+    out = set()
+    order = sorted(range(len(found)), key=lambda i: (found[i][1], -found[i][3]))
+    at = 0
+    for place, i in enumerate(order):
+        while at < len(order) and found[order[at]][1] <= found[i][1]:
+            label, _, high, n, _ = found[order[at]]
+            ends[n, label] = max(high, ends.get((n, label), high))
+            at += 1
+        label, _, high, n, _ = found[i]
+        if any(m > n and other != label and end >= high for (m, other), end in ends.items()):
+            out.add(i)
+    return out
+
+
 def word_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> tuple[dict[bytes, int], int]:
     """Documents with each word of the vocabulary, over all documents, and their number; one row per task and word."""
 
