@@ -3,7 +3,7 @@
 A Bernoulli naive Bayes model, learned from a labelled table, gives every document posterior probabilities p of
 the domains. Its features are hashed tokens and three shapes of the text (the share of tokens that are marks, of
 tokens that repeat the one before, and of distinct lines, in tenths or eighths); only features whose presence in
-a domain differs from the rest by at least ``min_z`` standard deviations count. Posteriors are whole multiples
+a domain tells something by its log-odds, drawn to those of all by their error, count. Posteriors are whole multiples
 of 1 / ``grain`` that add up to 1.
 
 Nonnegative document rates r then minimise the squared distance between the expected domain token totals, sum of
@@ -61,14 +61,22 @@ def features(text: Column, buckets: int) -> Column:
     return let(filled(text), lambda w: let(F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int")), lambda b: shapes(w, b)))
 
 
+#: Log-odds below which a feature tells nothing.
+LEAST_ODDS = 0.3
+
+
 def constant(values: list, kind: str) -> Column:
     """A folded array constant; a literal with one child per number would be slow to plan."""
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
-def train(docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int = 32768, max_train: int = 20000, min_z: float = 8.0) -> tuple[list[int], list[list[float]], list[float], list[float]]:
+def train(docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int = 32768, max_train: int = 20000, doubt: float = 8.0) -> tuple[list[int], list[list[float]], list[float], list[float]]:
     """(place of each feature among the chosen, 0 for none; their log-odds [domain][place]; log-odds of having none of them; log-priors), from at most about ``max_train`` labelled rows.
 
+    A domain's log-odds of a feature are drawn to those of all domains by the error of their difference: where it is z
+    standard errors, z*z / (z*z + doubt*doubt) of it counts. So chance differences of thousands of features
+    don't add up; features that then move no domain by ``LEAST_ODDS`` are left out.
+
     ``labelled`` has doc_id and domain. The sample is taken by a hash of doc_id, so it is bounded and is
     broadcast; buckets times domains counts come back to the driver.
     """
@@ -93,14 +101,17 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int
         if not 0 < n < n_rows:
             continue
         share = n / n_rows
-        spread = [(c - m * share) / math.sqrt(max(1e-9, m * share * (1 - share) * (1 - m / n_rows))) for c, m in zip(of, held.values(), strict=True) if m]
-        if max(map(abs, spread)) < min_z:
+        base, drawn = math.log(share / (1 - share)), []
+        for c, m in zip(of, held.values(), strict=True):
+            p = min(1 - 1e-6, max(1e-6, (c + share) / (m + 1)))
+            z = (c - m * share) / math.sqrt(max(1e-9, m * share * (1 - share) * (1 - m / n_rows)))
+            drawn.append(z * z / (z * z + doubt * doubt) * (math.log(p / (1 - p)) - base))
+        if max(map(abs, drawn)) < LEAST_ODDS:
             continue
         place[f] = len(odds[0])
-        for k, (c, m) in enumerate(zip(of, held.values(), strict=True)):
-            p = min(1 - 1e-6, max(1e-6, (c + share) / (m + 1)))
-            odds[k].append(round(math.log(p / (1 - p)), 6))
-            none[k] += math.log(1 - p)
+        for k, d in enumerate(drawn):
+            odds[k].append(round(base + d, 6))
+            none[k] += math.log(1 / (1 + math.exp(base + d)))
     seen = sum(sizes.values())
     priors = [math.log((sizes.get(d, 0) + 1) / (seen + len(domains))) for d in domains]
     return place, odds, none, priors
