@@ -259,3 +259,68 @@ def test_sql(spark, name):
     names = [d[0] for d in want.description]
     got = queries.queries()[name](spark, SF).select(*names).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
+# ---------------------------------------------------------------- earlier operators
+def test_lm_scores_are_those_of_one_model(spark):
+    """What is broadcast changes no score, with the usual filter and its false positives."""
+    from ledgerloom.llm import lm
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    read = lambda **o: {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in lm.score_documents(docs, **o).collect()}
+    want = read()
+    for options in ({"broadcast_bytes": 0}, {"common": 0}):
+        got = read(**options)
+        assert max(abs(got[i][0] - want[i][0]) / abs(want[i][0]) for i in want) < 1e-6
+        assert all(got[i][1] == pytest.approx(want[i][1]) and got[i][2] == want[i][2] for i in want)
+
+
+def test_copies_add_no_sets(spark, monkeypatch):
+    from ledgerloom.llm import simhash
+
+    words = [f"w{i}" for i in range(60)]
+    one, two = " ".join(words), " ".join([*words[:58], "other", "end"])
+    dealt, plain_map = [], simhash.map_rows
+
+    def spy(df, schema, make, rows_per_batch=2000):
+        out = plain_map(df, schema, make, rows_per_batch)
+        if str(schema).startswith("a long, salt long"):
+            dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "map_rows", spy)
+    sizes = []
+    for copies in (1, 300):
+        dealt.clear()
+        rows = [(i, one, "en", "s", 0) for i in range(copies)] + [(None, one, "en", "s", 0)] * (copies - 1) + [(5000, two, "en", "s", 0)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+        assert [r["doc_id"] for r in simhash.keep_one(df, word_prints=4).collect()] == [0]
+        sizes.append(sum(dealt))
+    assert sizes[0] == sizes[1] == 2
+
+
+def test_longer_licences_by_a_sweep():
+    from ledgerloom.llm import licenses
+
+    pick = random.Random(2)
+    for _ in range(300):
+        found = []
+        for _ in range(pick.randrange(14)):
+            low = pick.randrange(20)
+            found.append((pick.choice("abc"), low, low + pick.randrange(12), pick.choice([5, 9, 30]), 0.5))
+        want = {i for i, (label, low, high, n, _) in enumerate(found) for other, lo, hi, m, _ in found if other != label and m > n and lo <= low and high <= hi}
+        assert licenses.inside_longer(found) == want
+
+
+def test_small_tables_are_mixed_too(spark):
+    from ledgerloom.llm import mixing
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet")
+    known = mixing.label_domains(labels)
+    model = mixing.train(docs, known, ["clean", "low", "toxic"])
+    q = mixing.posteriors(docs, model, 1000).join(known, "doc_id")
+    mean = {r["domain"]: r["q"] for r in q.groupBy("domain").agg(F.avg(F.get("q", F.when(F.col("domain") == "clean", 0).when(F.col("domain") == "low", 1).otherwise(2))).alias("q")).collect()}
+    share = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    total = sum(share.values())
+    assert all(mean[d] / 1000 > share[d] / total + 0.1 for d in share)
+    assert mixing.mix(docs, known, {"clean": 0.9, "low": 0.05, "toxic": 0.05}).select("rate").distinct().count() > 20
