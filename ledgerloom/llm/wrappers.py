@@ -9,10 +9,10 @@ gathers a host's pages.
 
 The wrapper names the host's content region: from the root, the child container that holds ``SHARE`` of the
 variable text outside links, menus and forms, down to an article or main element or to where no child holds so
-much; headings beside the last one belong to it. A page's region is found along the wrapper's path. Its text is
+much; containers that repeat in a list count a quarter. Headings beside the last one belong to the region. A page's region is found along the wrapper's path. Its text is
 the region's without headers, footers, asides, forms, scripts, styles and containers named as adverts, notices,
-menus, sidebars, sharing or comments (whole class or id names), and without blocks whose texts the wrapper shows to
-be the same, four words or more, on at least three pages and half of the host's, unless the region has no rarer text at all. A page
+menus, sidebars, sharing or comments (whole class or id names), and without blocks whose texts stand, four words or
+more, on at least three pages and half of the host's (counted over all of them), unless the region has no rarer text at all. A page
 without the region, or of a host seen once, is read by the wrapper of its own. A wrapper has at most ``MEMBERS``
 members in a list and ``NODES`` in all; rarer alternatives are merged into a slot.
 
@@ -27,6 +27,7 @@ import html as htmllib
 import json
 import operator
 import re
+from collections import Counter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -334,16 +335,27 @@ def _chars(node: list, variable: bool) -> int:
     return (0 if variable and _constant(node) else node[CHARS]) + sum(_chars(k, variable) for k in node[KIDS])
 
 
-def content_rule(wrapper: list) -> dict:
-    """What a host's pages keep: {"path": sigs below the root, "heads": whether headings beside it belong to it, "const": hashes of its constant texts}."""
+def _told(node: list, variable: bool) -> float:
+    """The text that speaks for a region: variable text, or all of it, outside links and what is not the article. Containers that repeat, such as teasers in a list, count a quarter."""
+    if node[FLAGS] & SIDE or _tag(node) in DROPPED or _tag(node) in ("a", "header"):
+        return 0
+    own = 0 if variable and _constant(node) else node[CHARS]
+    return own + sum(_told(k, variable) * (0.25 if k[FLAGS] & REP and _tag(k) in CONTAINERS else 1) for k in node[KIDS])
+
+
+def content_rule(wrapper: list, shared: list[int] | None = None) -> dict:
+    """What a host's pages keep: {"path": sigs below the root, "heads": whether headings beside it belong to it, "const": hashes of the texts that its pages share}.
+
+    ``shared`` are those hashes where the host's pages have been counted; else the wrapper's own counts say.
+    """
     pages = wrapper[SEEN]
     # With a page seen once all texts are constant; they count as variable then.
-    held = (lambda n: _chars(n, True)) if _chars(wrapper, True) else (lambda n: 0 if n[FLAGS] & SIDE or _tag(n) in ("a", "header") else (0 if _tag(n) in DROPPED else n[CHARS] + sum(map(held, n[KIDS]))))
+    some = _told(wrapper, True) > 0
+    held = lambda n: _told(n, some)
     node, path, heads = wrapper, [], False
     while held(node):
         kids = [k for k in node[KIDS] if _tag(k) in CONTAINERS and not k[FLAGS] & SIDE]
         best = max(kids, key=held, default=None)
-        # An element that is repeated or missing on most pages is no region, unless it holds nearly everything.
         if best is None or held(best) < SHARE * held(node):
             break
         heads = any(_tag(k) in HEADINGS for k in node[KIDS])
@@ -352,17 +364,32 @@ def content_rule(wrapper: list) -> dict:
         if _tag(best) in ("article", "main"):
             break
     values: list[tuple[int, int]] = []
+    full = False
 
     def walk(n: list) -> None:
+        nonlocal full
         values.extend(n[TEXTS].items())
+        full = full or len(n[TEXTS]) >= BAG
         for k in n[KIDS]:
             walk(k)
 
     walk(node)
     least = max(3, pages / 2)
-    const = {k for k, seen in values if seen >= least}
+    const = {k for k, seen in values if seen >= least} if shared is None else set(shared)
     # Where the region has no rarer text, the pages are copies of each other.
-    return {"path": path, "heads": heads, "const": sorted(const) if any(seen < least for _, seen in values) else []}
+    return {"path": path, "heads": heads, "const": sorted(const) if full or any(seen < least for _, seen in values) else []}
+
+
+def text_values(node: Element, out: set[int]) -> set[int]:
+    """Hashes of a page's texts outside what is not the article."""
+    for child in node.children:
+        if isinstance(child, str):
+            words = _SPACE.sub(" ", child).strip()
+            if words:
+                out.add(_hash(words))
+        elif not child.side:
+            text_values(child, out)
+    return out
 
 
 # ---------------------------------------------------------------- extraction
@@ -442,23 +469,32 @@ def _letters(node: Element) -> bool:
 
 
 # ---------------------------------------------------------------- operator
-def infer_wrappers(pages: DataFrame, fan_in: int = 64) -> DataFrame:
-    """(host, wrapper) with the wrapper as JSON; hot hosts are folded in place and merged in two levels."""
+def infer_wrappers(pages: DataFrame, fan_in: int = 64, broadcast_hosts: int = 1_000_000) -> DataFrame:
+    """(host, wrapper, shared) with the wrapper as JSON and the hashes of texts on three pages and half of the host's.
+
+    Hot hosts are folded in place and merged in two levels. Texts are counted exactly: the pages that hold a text, added up in
+    each task and then by host and text.
+    """
 
     def make():
         held: dict[str, list] = {}
+        seen: Counter = Counter()
 
         def flush():
             for host, wrapper in held.items():
-                yield host, dumps(wrapper)
+                yield host, dumps(wrapper), None, None
+            for (host, value), n in seen.items():
+                yield host, None, value, n
             held.clear()
+            seen.clear()
 
         def step(cols):
             for url, page in zip(*cols, strict=True):
-                host = host_of(url)
-                held[host] = merge_wrappers(held.get(host), wrapper_of(parse(page)))
-            if len(held) > 2000:
-                yield from flush()
+                host, root = host_of(url), parse(page)
+                held[host] = merge_wrappers(held.get(host), wrapper_of(root))
+                seen.update((host, v) for v in text_values(root, {0}))  # 0 counts the pages
+                if len(held) > 2000 or len(seen) > 200_000:
+                    yield from flush()
 
         step.finish = flush
         return step
@@ -469,10 +505,16 @@ def infer_wrappers(pages: DataFrame, fan_in: int = 64) -> DataFrame:
             wrapper = merge_wrappers(wrapper, loads(text))
         return pa.table({"host": [key[0].as_py()], "wrapper": [dumps(wrapper)]})
 
-    parts = map_rows(pages.select("url", "html"), "host string, wrapper string", make, 500).distinct()
+    found = cut(map_rows(pages.select("url", "html"), "host string, wrapper string, value long, n long", make, 500))
+    counts = found.filter("wrapper is null").groupBy("host", "value").agg(F.sum("n").alias("n"))
+    sizes = cut(counts.filter("value = 0").select("host", F.col("n").alias("pages")))
+    sizes = F.broadcast(sizes) if sizes.count() <= broadcast_hosts else sizes
+    often = counts.filter("value <> 0 and n >= 3").join(sizes, "host").filter("2 * n >= pages")
+    shared = often.groupBy("host").agg(F.sort_array(F.collect_list("value")).alias("shared"))
+    parts = found.filter("wrapper is not null").select("host", "wrapper").distinct()
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(fan_in)))
     level = salted.groupBy("host", "salt").applyInArrow(fold, "host string, wrapper string")
-    return level.distinct().groupBy("host").applyInArrow(fold, "host string, wrapper string")
+    return level.distinct().groupBy("host").applyInArrow(fold, "host string, wrapper string").join(shared, "host", "left")
 
 
 def extract_main_text(pages: DataFrame, broadcast_bytes: int = 1 << 26) -> DataFrame:
@@ -481,7 +523,7 @@ def extract_main_text(pages: DataFrame, broadcast_bytes: int = 1 << 26) -> DataF
 
     def rules_of(batches):
         for batch in batches:
-            rules = [json.dumps(content_rule(loads(w))) for w in batch.column(1).to_pylist()]
+            rules = [json.dumps(content_rule(loads(w), shared or [])) for w, shared in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rules, pa.string())], names=["host", "rule"])
 
     rules = cut(infer_wrappers(pages).mapInArrow(rules_of, "host string, rule string"))
