@@ -66,11 +66,19 @@ class ByteLevel:
         order = [spec["model"]["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
         if order != sorted(order):
             raise ValueError("ids don't follow the order of the merges")
-        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens={}).encode_ordinary
+        self.model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens={})
+        # Where every byte is a token, merges only join what the text has: the lengths tell that nothing is lost.
+        self.lossless = all(bytes([b]) in vocabulary for b in range(256))
         self.tokens = [b""] * (1 + max(vocabulary.values()))
         for t, i in vocabulary.items():
             self.tokens[i] = t
 
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode_ordinary(text)
+
+    def array(self, text: str) -> np.ndarray:
+        return self.model.encode_to_numpy(text, disallowed_special=())
+
 
 class Pieces:
     """A sentencepiece model; the model adds the space before the text itself."""
@@ -79,11 +87,15 @@ class Pieces:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.lossless = False
         self.tokens = [self.bytes_of(i) for i in range(self.model.get_piece_size())]
 
     def encode(self, text: str) -> list[int]:
         return self.model.encode(text[1:])
 
+    def array(self, text: str) -> np.ndarray:
+        return np.array(self.encode(text), np.int64)
+
     def bytes_of(self, i: int) -> bytes:
         piece = self.model.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
@@ -114,16 +126,15 @@ def events(docs: DataFrame, files, block_tokens: int = BLOCK_TOKENS) -> DataFram
                 row += 1
                 whole = " " + text if text else ""
                 raw, found = whole.encode(), []
-                for side in sides if whole else ():
-                    ids = side.encode(whole)
-                    if b"".join(map(side.tokens.__getitem__, ids)) != raw:
+                for k, side in enumerate(sides if whole else ()):
+                    ids = side.array(whole)
+                    ends = np.cumsum(lengths[k][ids])
+                    if not len(ids) or ends[-1] != len(raw) or not side.lossless and b"".join(map(side.tokens.__getitem__, ids.tolist())) != raw:
                         break
-                    found.append(ids)
+                    found.append((ids.astype(kinds[k]), ends))
                 if len(found) < 2:
                     out.append((row, doc_id, -1, -1, None))
-                for k, ids in enumerate(found if len(found) == 2 else ()):
-                    ids = np.asarray(ids, kinds[k])
-                    ends = np.cumsum(lengths[k][ids])
+                for k, (ids, ends) in enumerate(found if len(found) == 2 else ()):
                     for at in range(0, len(ids), block_tokens):
                         out.append((row, doc_id, int(ends[at - 1]) if at else 0, k, press.compress(ids[at : at + block_tokens].tobytes())))
                 if len(out) >= 2000:
@@ -158,9 +169,9 @@ class Machine:
             if other[-1] < ends[0]:
                 break
             if other[0] <= ends[-1]:
-                both = np.intersect1d(ends, other, assume_unique=True)
+                both = np.flatnonzero(held_by(other, ends))
                 if len(both):
-                    last = max(last, int(both[-1]))
+                    last = max(last, int(ends[both[-1]]))
         self.ids[side].append(ids)
         self.ends[side].append(ends)
         if last:
@@ -175,8 +186,14 @@ class Machine:
             done += [ids[:n], ends[:n]]
             self.ids[k][:], self.ends[k][:] = ([ids[n:]], [ends[n:]]) if n < len(ids) else ([], [])
         a, a_ends, b, b_ends = done
-        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        self.emit(a, np.searchsorted(common, a_ends), b, np.searchsorted(common, b_ends), common)
+        shared = held_by(b_ends, a_ends)
+        common = a_ends[shared]
+        self.emit(a, np.cumsum(shared) - shared, b, np.searchsorted(common, b_ends), common)
+
+
+def held_by(ends: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of the wanted offsets are among the ends; both rise."""
+    return ends[np.minimum(np.searchsorted(ends, wanted), len(ends) - 1)] == wanted
 
 
 class Digest:
