@@ -98,17 +98,31 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, separator: int
     return flat, order
 
 
-def read_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of real flat files through Spark's binary reader (files up to 2 GB, a file a row, cut on the executors)."""
+def read_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, range_blocks: int = 128) -> DataFrame:
+    """Blocks of real flat files of any size. Spark lists the files without their contents; a task reads a range of ``range_blocks`` blocks of one.
+
+    Files lie where the tasks' machines or Arrow's file systems reach them.
+    """
+    from ..sources.headers import open_ranges
+
+    ship(spark)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").filter("length > 0")
+    width = range_blocks * block_bytes
+    ranges = listed.select(F.col("path").alias("file"), "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(width).cast("long"))).alias("at"))
+    n = listed.agg(F.sum(F.ceil(F.col("length") / width))).first()[0] or 1
 
     def run(batches):
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                view = memoryview(data.as_buffer())
-                for k, at in enumerate(range(0, len(view), block_bytes)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([bytes(view[at : at + block_bytes])], pa.binary())], names=["file", "block", "data"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary")
+            for name, length, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                read = open_ranges(name)
+                for k in range(range_blocks):
+                    begin = at + k * block_bytes
+                    if begin >= length:
+                        break
+                    data = read(begin, min(block_bytes, length - begin))
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([begin // block_bytes], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "data"])
+
+    return ranges.repartition(int(min(n, 100_000)), "file", "at").mapInArrow(run, "file string, block long, data binary")
 
 
 def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR, id_type: str = ID_TYPE, run: int = 4096) -> DataFrame:
