@@ -324,3 +324,89 @@ def test_small_tables_are_mixed_too(spark):
     total = sum(share.values())
     assert all(mean[d] / 1000 > share[d] / total + 0.1 for d in share)
     assert mixing.mix(docs, known, {"clean": 0.9, "low": 0.05, "toxic": 0.05}).select("rate").distinct().count() > 20
+
+
+PARAGRAPHS = '<html><body><div class="top"><a href="/">Home</a></div><div class="post"><h1>Title {i}</h1>{body}</div><div class="end">Contact us here always.</div></body></html>'
+
+
+@pytest.mark.parametrize("n", [5, 20, 40, 80, 200])
+def test_notices_are_found_however_long_the_article(spark, n):
+    """One shared notice among a page's own paragraphs, at another place on each page."""
+    from ledgerloom.llm import wrappers
+
+    notice = "This notice stands word for word on every page of this site"
+    rows = []
+    for h in range(4):
+        for i in range(12):
+            own = [f"<p>Own text {h} {i} {k} with words of its own number {k * 7919 + i}</p>" for k in range(n)]
+            own.insert(i * n // 12, f"<p>{notice}</p>")
+            rows.append((len(rows), f"http://h{h}.example/{i}", PARAGRAPHS.format(i=i, body="".join(own))))
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert sum(notice in t for t in got.values()) == 0
+    assert all(t.startswith("Title") and t.count("Own text") == n and "Contact" not in t for t in got.values())
+    assert sum(notice in wrappers.extract(r[2], None) for r in rows) == len(rows)  # a page alone can't tell
+
+
+def test_teasers_are_no_region(spark):
+    from ledgerloom.llm import wrappers
+
+    teaser = '<article><h2>Teaser {k} {i}</h2><p>{w}</p></article>'
+    page = '<html><body><div class="post"><h1>Head {i}</h1><p>{a}</p><p>{b}</p></div><div class="more">{more}</div></body></html>'
+    text = lambda seed, n: " ".join(f"w{(seed * 31 + j * 17) % 997}" for j in range(n))
+    rows = [(i, f"http://t.example/{i}", page.format(i=i, a=text(i, 60), b=text(i + 50, 60), more="".join(teaser.format(k=k, i=i, w=text(i * 9 + k, 15)) for k in range(8)))) for i in range(10)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == f"Head {i} {text(i, 60)} {text(i + 50, 60)}" for i in range(10))
+    only = [(i, "http://l.example/", "<html><body>" + "".join(teaser.format(k=k, i=i, w=text(i * 9 + k, 15)) for k in range(3)) + "</body></html>") for i in range(4)]
+    listed = wrappers.extract_main_text(spark.createDataFrame(only, "page_id long, url string, html string")).collect()
+    assert all(r["text"].count("Teaser") == 3 for r in listed)
+
+
+def test_language_filter_equals_exact_sets(spark):
+    """Predictions by exact sets of n-grams instead of the filter."""
+    import zlib
+
+    from ledgerloom.llm import langid
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    plain = lambda t: re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {(t or '').lower()} "))
+    grams = lambda t: [s[i : i + n] for s in [plain(t)] for n in (3, 4) for i in range(len(s) - n + 1)]
+    counts, sizes = defaultdict(Counter), Counter()
+    for i, t, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 5:
+            counts[lang].update(grams(t))
+            sizes[lang] += 1
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    most = Counter()
+    for x, c in counts.items():
+        for g, n in c.items():
+            most[g] = max(most[g], n / total[x])
+    sets = {x: {g for g, n in c.items() if n >= 3 and n / total[x] >= 0.5 * most[g]} for x, c in counts.items()}
+    got = {r["doc_id"]: r for r in langid.identify_languages(docs).collect()}
+    wrong = 0
+    for i, t, _ in rows:
+        found = {x: sum(g in s for g in grams(t)) for x, s in sorted(sets.items())}
+        if not t or not any(map(str.isalpha, t)):
+            assert got[i]["lang_pred"] == "und"
+        elif sum(found.values()):
+            best = max(found, key=found.get)
+            wrong += got[i]["lang_pred"] != best
+            assert got[i]["score"] == pytest.approx(found[best] / sum(found.values()), abs=0.03)
+    assert wrong == 0
+
+
+def test_flat_files_are_read_in_ranges(spark, tmp_path):
+    from ledgerloom.llm import tokens
+
+    end = np.array([tokens.SEPARATOR], tokens.ID_TYPE).tobytes()
+    size, spots = (1 << 31) + (300 << 20) + 6, [0, 1 << 20, (1 << 31) + 2, (1 << 31) + (300 << 20)]
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(size)
+        for at in spots:
+            f.seek(at)
+            f.write(end)
+    blocks = tokens.read_blocks(spark, str(tmp_path), block_bytes=16 << 20, range_blocks=8)
+    assert blocks.rdd.getNumPartitions() == -(-size // (128 << 20))
+    got = tokens.scan_blocks(blocks).orderBy("ordinal").collect()
+    places = [s // 2 for s in spots]
+    assert [(r["start"], r["n_tokens"], r["ended"]) for r in got] == [(a + 1 if a >= 0 else 0, b - a - 1, True) for a, b in zip([-1, *places], places, strict=False)] + [(places[-1] + 1, size // 2 - places[-1] - 1, False)]
