@@ -57,6 +57,37 @@ def degraded(t: Column) -> Column:
     return F.transform(t, one)
 
 
+def noisy(t: Column, doc_id: Column, factor: Column) -> Column:
+    """Tokens of which a share ``factor`` is misread: their vowels are gone, or else the last character is a #, and the confidence is 0.3 lower.
+
+    Which ones follows from a hash of document, place and factor, so every run and partitioning misreads the same.
+    """
+
+    def one(x: Column, i: Column) -> Column:
+        seed = F.concat_ws("::", doc_id.cast("string"), i.cast("string"), factor.cast("string"))
+        hit = F.conv(F.substring(F.sha2(seed, 256), 1, 8), 16, 10).cast("long") % 1_000_000 < factor * 1_000_000
+        bare = F.regexp_replace(x["text"], "[aeiouAEIOU]", "")
+        wrong = F.when(x["text"] == "", "").when((bare != "") & (bare != x["text"]), bare).otherwise(F.concat(F.substring(x["text"], F.lit(1), F.length(x["text"]) - 1), F.lit("#")))
+        low = F.greatest(F.lit(0.0), x["confidence"].cast("double") - 0.3)
+        return x.withField("text", F.when(hit, wrong).otherwise(x["text"])).withField("confidence", F.when(hit, low).otherwise(x["confidence"].cast("double")))
+
+    return F.transform(t, one)
+
+
+def with_noise(samples: DataFrame, factors: list[float]) -> DataFrame:
+    """A row for each sample and factor; doc_id is a struct of both from here on."""
+    grid = F.array(*[F.struct(F.lit(float(f)).alias("factor")) for f in factors])
+    rows = samples.select("*", F.inline(grid))
+    return settled(rows, {"t": noisy(F.col("t"), F.col("doc_id"), F.col("factor")), "doc_id": F.struct("factor", "doc_id")}).drop("factor")
+
+
+def noise_sweep(samples: DataFrame, factors: list[float], today: str, aliases: dict[str, str] = ALIASES, labeler: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(variant, factor, n_docs, field_f1, exact_match): the means of all variants at each share of noise, from one reading of the tokens."""
+    scored = run(with_noise(samples, factors), today, aliases, labeler)
+    f1 = F.when(F.col("n_pred") + F.col("n_true") > 0, 2.0 * F.col("tp") / (F.col("n_pred") + F.col("n_true"))).otherwise(1.0)
+    return scored.groupBy("variant", F.col("doc_id.factor").alias("factor")).agg(F.count("*").alias("n_docs"), F.avg(f1).alias("field_f1"), F.avg(F.col("exact").cast("int")).alias("exact_match"))
+
+
 def systems(samples: DataFrame, labeler: Callable[[DataFrame], DataFrame], names: dict[str, tuple[str, bool, bool]] = SYSTEMS) -> DataFrame:
     """A row for each sample and system, with its tokens and labels. ``labeler`` adds labels to rows with tokens t."""
     make = {"plain": lambda t: t, "flat": flat, "degraded": degraded}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,6 +143,13 @@ def ocr_metadata(meta: Column, tokens: Column) -> Column:
     return F.struct(text("source", "dataset"), text("engine", "unknown"), text("language", "en"), F.coalesce(meta["page_count"], F.greatest(F.lit(1), pages)).alias("page_count"), F.coalesce(meta["token_count"], F.size(tokens)).alias("token_count"), F.coalesce(meta["reused_cached_ocr"], F.lit(False)).alias("reused_cached_ocr"))
 
 
+def prepared(docs: DataFrame, extract: Callable[[DataFrame], DataFrame], force: bool = False, tokens: str = "ocr_tokens") -> DataFrame:
+    """Documents with their tokens: those that have some pass through, the others (or all) go to ``extract``; reused_cached_ocr tells which."""
+    has = F.coalesce(F.size(tokens) > 0, F.lit(False)) & F.lit(not force)
+    kept = docs.filter(has).withColumn("reused_cached_ocr", F.lit(True))
+    return kept.unionByName(extract(docs.filter(~has)).withColumn("reused_cached_ocr", F.lit(False)))
+
+
 def token_defaults(tokens: Column) -> Column:
     """Page 1 and confidence 1 where they are missing."""
     return F.transform(tokens, lambda t: t.withField("page_number", F.coalesce(t["page_number"], F.lit(1))).withField("confidence", F.coalesce(t["confidence"], F.lit(1.0))))

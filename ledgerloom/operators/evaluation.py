@@ -344,6 +344,47 @@ def masked_f1(docs: DataFrame, names: tuple[str, ...] = FIELDS) -> DataFrame:
     return rows.select("field", tp.alias("tp"), F.size("p").alias("np"), F.size("t").alias("nt")).groupBy("field").agg(F.count("*").alias("present"), F.sum("tp").alias("tp"), (F.sum("np") - F.sum("tp")).alias("fp"), (F.sum("nt") - F.sum("tp")).alias("fn"))
 
 
+def script_form(v: Column, field: str) -> Column:
+    """The script scorer's normal form: two decimals for the total alone, a date's ISO part or else its text, other values as they are written."""
+    text = F.nullif(F.lower(F.trim(F.regexp_replace(v.cast("string"), r"(?U)\s+", " "))), F.lit(""))
+    if field == "total_amount":
+        return amount_text(v)
+    if field == "date":
+        return F.coalesce(F.nullif(F.regexp_extract(v.cast("string"), r"\b(\d{4}-\d{2}-\d{2})\b", 1), F.lit("")), text)
+    return text
+
+
+def script_scores(docs: DataFrame, names: tuple[str, ...] = FIELDS) -> DataFrame:
+    """One row over (pred, truth): micro precision, recall and F1 of the fields that the truth has, exact documents with and without items, and exact item lists among those there are."""
+    pred, truth = F.col("pred"), F.col("truth")
+    item = lambda x: F.to_json(F.struct(*[script_form(x[n], n).alias(n) for n in ("description", "quantity", "unit_price")]), {"ignoreNullFields": "false"})
+    items = lambda d: F.coalesce(F.array_join(F.array_sort(F.transform(d["line_items"], item)), "\n"), F.lit(""))
+    form = lambda d, f: items(d) if f == "line_items" else script_form(d[f], f)
+    rows = settled(docs, {"__same": F.array(*[form(pred, f).eqNullSafe(form(truth, f)) for f in names])})
+    listed = F.coalesce(F.size(truth["line_items"]) > 0, F.lit(False))
+    all_but = F.array(*[F.get("__same", i) for i, f in enumerate(names) if f != "line_items"])
+    exact = rows.agg(F.count("*").alias("n_docs"), F.count_if(F.forall("__same", lambda x: x)).alias("exact"), F.count_if(F.forall(all_but, lambda x: x)).alias("exact_without_items"), F.count_if(listed).alias("with_items"), F.count_if(listed & F.get("__same", names.index("line_items"))).alias("exact_items"))
+    sums = masked_f1(docs, names).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
+    return exact.join(F.broadcast(sums)).select("n_docs", "exact", "exact_without_items", "with_items", "exact_items", *precision_recall(F.col("tp"), F.col("fp"), F.col("fn"), None))
+
+
+#: Metrics of a record whose mean and deviation a report has.
+REPORTED = ("field_level_f1", "exact_match", "schema_valid", "hallucination_rate", "constraint_flag_rate", "constraint_repair_rate", "latency_ms", "cost_usd")
+
+
+def system_report(records: DataFrame) -> DataFrame:
+    """A row a system of (system, …) records from ``evaluation_record``: means and deviations, totals, and each field's F1, F1 where it is present, and share of documents that are exact without it.
+
+    Breakdowns are maps by field. One aggregation; a field's values are columns, since the fields are few.
+    """
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    plain = [x for m in REPORTED for x in (F.avg(zero(F.col(m))).alias(f"{m}_mean"), F.stddev_pop(zero(F.col(m))).alias(f"{m}_std"))]
+    by_field = lambda name, value: F.create_map(*[x for f in FIELDS for x in (F.lit(f), value(F.col(name)[f]))])
+    spread = lambda c: F.struct(F.avg(zero(c)).alias("mean"), F.stddev_pop(zero(c)).alias("std"))
+    present_ = lambda c: F.struct(F.avg(c).alias("mean"), F.count(c).alias("count"))
+    return records.groupBy("system").agg(F.count("*").alias("n_docs"), F.sum(zero(F.col("cost_usd"))).alias("cost_usd_total"), F.sum(zero(F.col("latency_ms"))).alias("latency_ms_total"), *plain, by_field("field_f1", spread).alias("field_f1"), by_field("field_f1_conditional", present_).alias("field_f1_conditional"), by_field("exact_match_contribution", spread).alias("exact_match_contribution"))
+
+
 def system_summary(scores: DataFrame, metrics: list[str]) -> DataFrame:
     """(system, n_docs, total_cost, total_latency_ms, <metric>_mean, <metric>_std): absent metrics count as 0."""
     zero = lambda m: F.coalesce(F.col(m), F.lit(0.0))

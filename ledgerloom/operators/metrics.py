@@ -138,6 +138,17 @@ def token_f1_lenient(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if((F.col("pred") == F.col("gold")) & (F.col("gold") != "O")).alias("tp"), F.count_if((F.col("pred") != "O") & (F.col("pred") != F.col("gold"))).alias("fp"), F.count_if((F.col("pred") == "O") & (F.col("gold") != "O")).alias("fn"))
 
 
+def with_dataset(results: DataFrame, dataset: DataFrame, missing: str = "keep", key: str = "doc_id") -> DataFrame:
+    """Results with the dataset's columns. ``missing``: keep results without a document, drop them, or fill, which keeps every document and leaves results null."""
+    how = {"keep": "left", "drop": "inner", "fill": "right"}[missing]
+    return results.join(dataset, key, how)
+
+
+def first_documents(dataset: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n documents of a dataset; ties go by the whole row."""
+    return dataset.orderBy(order, *[c for c in dataset.columns if c != order]).limit(n)
+
+
 def resume(dataset: DataFrame, done: DataFrame, key: str = "doc_id") -> DataFrame:
     """What is left to do."""
     return dataset.join(done.select(key).distinct(), key, "left_anti")

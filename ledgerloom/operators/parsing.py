@@ -12,10 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ALIASES, canonical_field, cleanup_text, fix_artifacts, normalize_currency, normalize_date
+from ..functions.scalars import ALIASES, canonical_field
 from . import fields as rules
-from . import packed, recovery, spans
-from .packed import number_text
+from . import packed, spans
 
 
 def entities_of(labelled: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFrame:
@@ -27,39 +26,6 @@ def entities_of(labelled: DataFrame, aliases: dict[str, str] = ALIASES) -> DataF
     return pairs.select("doc_id", F.col("span_no").alias("pos"), field.alias("field"), "key", F.when(F.col("status") == "paired", F.col("value")).alias("value"), "confidence", code.alias("code"))
 
 
-def recovered(lines: DataFrame) -> DataFrame:
-    """(doc_id, field, key, value, confidence) that heuristics find in the lines; line items as JSON, on receipts alone."""
-    head = recovery.recover_header(lines)
-    one = lambda name: F.struct(F.lit(name).alias("field"), F.lit(f"heuristic_{name}").alias("key"), F.col(name).alias("value"), F.col("head_confidence").alias("confidence"))
-    named = head.select("doc_id", F.inline(F.array(*map(one, ("invoice_number", "date", "vendor")))))
-    total = recovery.recover_total(lines).filter("total <> 0").select("doc_id", F.lit("total_amount").alias("field"), F.lit("heuristic_total_amount").alias("key"), number_text(F.col("total")).alias("value"), "confidence")
-    rows = recovery.recover_line_items(lines).join(head.filter("receipt").select("doc_id"), "doc_id", "left_semi")
-    packed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "description", "quantity", "unit_price"))).alias("i"))
-    packed = packed.select("doc_id", F.transform("i", lambda x: F.struct(x["description"].alias("description"), x["quantity"].alias("quantity"), x["unit_price"].alias("unit_price"))).alias("i"))
-    items = packed.select("doc_id", F.lit("line_items").alias("field"), F.lit("heuristic_line_items").alias("key"), F.to_json("i").alias("value"), recovery.items_confidence(F.col("i")).alias("confidence"))
-    return named.union(total).union(items).filter("value is not null")
-
-
-def recover(entities: DataFrame, lines: DataFrame) -> DataFrame:
-    """The entities, and for each field without a plausible value what the lines give, behind them."""
-    good = entities.groupBy("doc_id", "field").agg(F.bool_or(recovery.looks_valid(F.col("field"), F.col("value"))).alias("good")).filter("good").select("doc_id", "field")
-    extra = recovered(lines).join(good, ["doc_id", "field"], "left_anti")
-    return entities.withColumn("source", F.lit("labels")).unionByName(extra.withColumns({"pos": F.lit(1 << 30), "code": F.lit(None).cast("string"), "source": F.lit("recovery")}))
-
-
-def normalize(entities: DataFrame) -> DataFrame:
-    """Values by the class of their field; failed tells that a value could not be read."""
-    v = cleanup_text("value")
-    repaired = fix_artifacts(v)
-    out = F.when(F.col("field").isin(*rules.DATE_FIELDS), normalize_date(repaired)).when(F.col("field").isin(*rules.CURRENCY_FIELDS), number_text(normalize_currency(repaired))).otherwise(v)
-    return entities.withColumn("__raw", F.col("value")).withColumn("value", out).withColumn("failed", F.col("__raw").isNotNull() & F.col("value").isNull()).drop("__raw")
-
-
-def normalize_items(items: Column) -> Column:
-    """Item texts cleaned up, quantities and prices as numbers."""
-    return F.transform(items, lambda x: F.struct(F.nullif(cleanup_text(x["description"]), F.lit("")).alias("description"), normalize_currency(x["quantity"]).alias("quantity"), normalize_currency(x["unit_price"]).alias("unit_price")))
-
-
 def parse(tokens: DataFrame, today: str, aliases: dict[str, str] = ALIASES, labeler: Callable[[DataFrame], DataFrame] | None = None, threshold: float = rules.MIN_CONFIDENCE, drop: bool = True, with_recovery: bool = True, with_constraints: bool = True, repair: bool = True) -> DataFrame:
     """(doc_id, field, value, confidence, valid, status, codes): the checked fields of (doc_id, pos, text, confidence, x0, y0, page_number) tokens.
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.helpers import let
-from ..functions.scalars import is_quantity, merge_space_thousands, recovery_amount, token_amounts, words
+from ..functions.scalars import ALIASES, is_quantity, merge_space_thousands, recovery_amount, token_amounts, words
 
 # Date shapes, and words that mark a receipt's totals section.
 DATE_SHAPES = (r"\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b", r"\b\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\b", r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\s+\d{1,2},?\s+\d{2,4}\b")
@@ -34,24 +34,6 @@ GRAND, PLAIN, SUB = r"\b(grand\s+total|total\s+due|amount\s+due|balance\s+due)\b
 COUNT_LINE = r"\btotal\s*(item|qty|count|barang)\b"
 
 
-def recover_invoice_number(lines: DataFrame) -> DataFrame:
-    text = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("t"))
-    return text.select("doc_id", F.coalesce(*[F.nullif(F.regexp_extract("t", p, 1), F.lit("")) for p in INVOICE_SHAPES]).alias("invoice_number"))
-
-
-def recover_date(lines: DataFrame) -> DataFrame:
-    """The first date shape of the first line with one, lines that say date before others."""
-    found = lines.select("doc_id", F.struct((~F.lower("text").contains("date")).alias("plain"), "line_no").alias("rank"), F.coalesce(*[F.nullif(F.regexp_extract("text", p, 0), F.lit("")) for p in DATE_SHAPES]).alias("d"))
-    return found.filter("d is not null").groupBy("doc_id").agg(F.min_by("d", "rank").alias("date"))
-
-
-def recover_vendor(lines: DataFrame, first: int = 5) -> DataFrame:
-    text = F.trim("text")
-    low = F.lower(text)
-    ok = (F.col("line_no") < first) & (text != "") & ~low.rlike(NO_VENDOR) & (F.regexp_count(text, F.lit(r"\d")) <= 0.05 * F.length(text)) & low.rlike(COMPANY) & ((F.size(words(text)) >= 2) | (text == F.upper(text)))
-    return lines.filter(ok).groupBy("doc_id").agg(F.min_by(text, "line_no").alias("vendor"))
-
-
 def recover_total(lines: DataFrame) -> DataFrame:
     """(doc_id, total, confidence): the line's keyword scores 6, 4 or 1, and 0.2 for every line above it; else the last plausible amount."""
     t = merge_space_thousands(F.trim("text"))
@@ -122,12 +104,7 @@ def recover_line_items(lines: DataFrame) -> DataFrame:
     return out.filter("description is not null and (kind = 'item' or p.unit_price is not null)").select("doc_id", "line_no", "description", "p.quantity", "p.unit_price")
 
 
-def is_receipt(lines: DataFrame) -> DataFrame:
-    """(doc_id, receipt): a section word and at least two amounts."""
-    return lines.groupBy("doc_id").agg((F.bool_or(F.col("text").rlike(SECTION)) & (F.sum(F.size(token_amounts(merge_space_thousands("text")))) >= 2)).alias("receipt"))
-
-
-def recover_header(lines: DataFrame, first: int = 5) -> DataFrame:
+def recover_header(lines: DataFrame, first: int = 5, aliases: dict[str, str] = ALIASES) -> DataFrame:
     """doc_id, invoice_number, date, vendor, receipt and head_confidence in one aggregation over the lines.
 
     head_confidence is that of recovered fields: the mean confidence of the first three lines between
@@ -136,7 +113,7 @@ def recover_header(lines: DataFrame, first: int = 5) -> DataFrame:
     text, conf = F.trim("text"), (F.col("confidence") if "confidence" in lines.columns else F.lit(None).cast("double"))
     found = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 0), F.lit("")) for p in DATE_SHAPES])
     low = F.lower(text)
-    vendor = (F.col("line_no") < first) & (text != "") & ~low.rlike(NO_VENDOR) & (F.regexp_count(text, F.lit(r"\d")) <= 0.05 * F.length(text)) & low.rlike(COMPANY) & ((F.size(words(text)) >= 2) | (text == F.upper(text)))
+    vendor = (F.col("line_no") < first) & (text != "") & ~low.rlike(NO_VENDOR) & ~low.isin(*map(str.lower, aliases)) & (F.regexp_count(text, F.lit(r"\d")) <= 0.05 * F.length(text)) & low.rlike(COMPANY) & ((F.size(words(text)) >= 2) | (text == F.upper(text)))
     got = lines.groupBy("doc_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("t"),
         F.min_by(found, F.when(found.isNotNull(), F.struct(~low.contains("date"), F.col("line_no")))).alias("by_line"),
@@ -146,7 +123,7 @@ def recover_header(lines: DataFrame, first: int = 5) -> DataFrame:
     )
     whole = F.coalesce(*[F.nullif(F.regexp_extract("t", p, 0), F.lit("")) for p in DATE_SHAPES])
     number = F.coalesce(*[F.nullif(F.regexp_extract("t", p, 1), F.lit("")) for p in INVOICE_SHAPES])
-    return got.select("doc_id", number.alias("invoice_number"), F.coalesce("by_line", whole).alias("date"), "vendor", "receipt", F.coalesce(F.greatest(F.lit(0.45), F.least(F.lit(0.75), F.col("c"))), F.lit(0.55)).alias("head_confidence"))
+    return got.select("doc_id", number.alias("invoice_number"), F.coalesce("by_line", whole).alias("date"), "vendor", "receipt", F.when(F.col("c").isNull(), 0.55).otherwise(F.greatest(F.lit(0.45), F.least(F.lit(0.75), F.col("c")))).alias("head_confidence"))
 
 
 def items_confidence(items: Column) -> Column:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.helpers import let
+from ..functions.helpers import let, scan, settled
 from ..functions.scalars import words
 
 TOKEN = "array<struct<pos:int,text:string,x0:int,y0:int,x1:int,y1:int,confidence:double,page_number:int>>"
@@ -39,11 +38,13 @@ def drop_overlaps(tokens: Column, threshold: float = 0.85) -> Column:
 def synthetic_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per word: line, place, and a box of width max(12, 8 per character), gap 6, line height 24."""
     lines = docs.select("doc_id", F.posexplode(F.split(F.col(text), "\n")).alias("line", "t"))
-    words_ = lines.select("doc_id", "line", F.posexplode(words(F.col("t"))).alias("i", "word"))
+    wide = lambda w: F.greatest(F.lit(12), F.length(w) * 8)
+    # A line's running width is a fold within its row; words are not shuffled.
+    rows = settled(lines, {"w": words(F.col("t"))})
+    rows = settled(rows, {"x": scan(F.col("w"), F.lit(0), lambda s, w: s + wide(w) + 6, "int", lambda s: s, "int")})
+    words_ = rows.select("doc_id", "line", F.posexplode(F.arrays_zip("w", "x")).alias("i", "z")).select("doc_id", "line", "i", F.col("z.w").alias("word"), F.col("z.x").alias("x"))
     wide = F.greatest(F.lit(12), F.length("word") * 8)
-    before = W.partitionBy("doc_id", "line").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    x0 = F.coalesce(F.sum(wide + 6).over(before), F.lit(0))
-    return words_.withColumn("x0", x0.cast("int")).select("doc_id", "line", "i", "word", "x0", (F.col("line") * 24).alias("y0"), (F.col("x0") + wide).alias("x1"), (F.col("line") * 24 + 16).alias("y1"), F.lit(0.99).alias("confidence"))
+    return words_.withColumn("x0", (F.col("x") - wide - 6).cast("int")).select("doc_id", "line", "i", "word", "x0", (F.col("line") * 24).alias("y0"), (F.col("x0") + wide).alias("x1"), (F.col("line") * 24 + 16).alias("y1"), F.lit(0.99).alias("confidence"))
 
 
 def group_lines(tokens: DataFrame, tolerance: int = 18) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import benchmarks, evaluation, metrics, packed, payloads
 from .document_queries import _documents
 from .queries import query, read
@@ -187,6 +188,19 @@ def error_examples(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("category", "n", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
 
 
+@query("""WITH w AS (SELECT doc_id, w.w AS text, w.i - 1 AS i FROM (SELECT doc_id, unnest([{'w': x, 'i': i} FOR x, i IN [y FOR y IN string_split_regex(text, '\\s+') IF y <> '']]) AS w FROM documents)),
+ f AS (SELECT doc_id, text, factor, ('0x' || sha256(doc_id || '::' || i || '::' || factor)[1:8])::BIGINT % 1000000 < factor * 1000000 AS hit, regexp_replace(text, '[aeiouAEIOU]', '', 'g') AS bare FROM w, (SELECT unnest([0.0, 0.1, 0.2])::DOUBLE AS factor))
+ SELECT factor, doc_id, count(*) AS n_tokens, count(*) FILTER (hit) AS n_hit, sum(length(CASE WHEN hit AND bare <> '' THEN bare ELSE text END))::BIGINT AS n_chars, sum(CASE WHEN hit THEN 0.2 ELSE 0.5 END)::DOUBLE AS confidence FROM f GROUP BY ALL""")
+def noise_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of the documents as tokens, misread at three factors by seeds that every engine computes alike."""
+    token = lambda w, i: F.struct(i.alias("pos"), w.alias("text"), F.lit(0.5).alias("confidence"))
+    rows = read(spark, sf, "documents").select("doc_id", F.transform(S.words("text"), token).alias("t"))
+    got = benchmarks.with_noise(rows.filter(F.size("t") > 0), [0.0, 0.1, 0.2])
+    each = got.select("doc_id.factor", "doc_id.doc_id", F.explode("t").alias("x"))
+    hit = F.col("x.confidence") < 0.4
+    return each.groupBy("factor", "doc_id").agg(F.count("*").alias("n_tokens"), F.count_if(hit).alias("n_hit"), F.sum(F.length("x.text")).alias("n_chars"), F.sum("x.confidence").alias("confidence"))
+
+
 # ---------------------------------------------------------------- evaluation
 _SPELLINGS = ("yyyy-MM-dd'T'HH:mm", "'on' MMMM d, yyyy 'at noon'", "dd-MMM-yyyy", "yyyyMMdd", "'Date:' yyyy-MM-dd", "EEEE, d MMMM yyyy", "MMM. d, yyyy", "yyyy.MM.dd", "MM.dd.yyyy", "d 'of' MMMM yyyy")
 
@@ -222,6 +236,24 @@ def evaluation_records(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", "field_level_f1", "exact_match", F.col("exact_match_contribution")["line_items"].alias("without_items"), "schema_valid", "hallucination_rate", "constraint_flag_rate", "constraint_repair_rate", F.col("field_f1_conditional")["vendor"].alias("vendor_f1"))
 
 
+@query("""WITH o AS (SELECT o_orderkey % 6 AS c, o_orderkey % 11 <> 0 AS vendor FROM orders)
+ SELECT count(*) AS n_docs, count(*) FILTER (c = 0 OR (c = 3 AND NOT vendor)) AS exact, count(*) FILTER (c IN (0, 5) OR (c = 3 AND NOT vendor)) AS exact_without_items, count(*) AS with_items, count(*) FILTER (c <> 5) AS exact_items FROM o""")
+def script_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The script scorer's exact matches: other date layouts and marks behind a number are differences to it."""
+    return evaluation.script_scores(_documents(spark, sf)).select("n_docs", "exact", "exact_without_items", "with_items", "exact_items")
+
+
+@query("""WITH o AS (SELECT o_orderkey % 6 AS c, o_orderkey % 11 <> 0 AS vendor, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS system, o_orderkey % 100 AS latency FROM orders)
+ SELECT system, count(*) AS n_docs, sum(latency)::DOUBLE AS latency_ms_total, avg((c IN (0, 1, 4) OR (c = 3 AND NOT vendor))::INT) AS exact_match_mean, stddev_pop((c IN (0, 1, 4) OR (c = 3 AND NOT vendor))::INT) AS exact_match_std, avg(CASE WHEN c = 3 THEN 0.0 ELSE 1.0 END) FILTER (vendor) AS vendor_f1, count(*) FILTER (vendor) AS n_vendor, avg((c <> 2 AND c <> 5)::INT) AS without_vendor FROM o GROUP BY 1""")
+def system_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """A report of two systems with its breakdowns by field."""
+    docs = _documents(spark, sf).withColumns({"text": F.lit(""), "latency_ms": (F.col("doc_id") % 100).cast("double")})
+    records = evaluation.evaluation_record(docs).withColumn("system", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd"))
+    got = evaluation.system_report(records)
+    vendor = F.col("field_f1_conditional")["vendor"]
+    return got.select("system", "n_docs", "latency_ms_total", "exact_match_mean", "exact_match_std", vendor["mean"].alias("vendor_f1"), vendor["count"].alias("n_vendor"), F.col("exact_match_contribution")["vendor"]["mean"].alias("without_vendor"))
+
+
 # ---------------------------------------------------------------- costs
 @query("SELECT event_id, coalesce(sum(round(value, 2)::DECIMAL(18,2)) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE + 12.5 AS spent_before FROM events")
 def running_costs(spark: SparkSession, sf: str) -> DataFrame:

@@ -204,8 +204,7 @@ def recover_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS doc_id, 'INV-' || o_orderkey AS invoice_number, strftime(o_orderdate, '%Y-%m-%d') AS date, 'Blue Corner Store' AS vendor, true AS receipt FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def recover_header_fields(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _receipt_lines(spark, sf)
-    return recovery.recover_invoice_number(lines).join(recovery.recover_date(lines), "doc_id").join(recovery.recover_vendor(lines), "doc_id").join(recovery.is_receipt(lines), "doc_id")
+    return recovery.recover_header(_receipt_lines(spark, sf)).drop("head_confidence")
 
 
 @query("SELECT l_orderkey AS doc_id, count(*) AS n_items, sum(CAST(l_quantity AS BIGINT))::BIGINT AS quantity, sum(CAST(round(l_extendedprice / l_quantity * 100) AS BIGINT) + 10000)::BIGINT AS price_cents FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1")
