@@ -829,5 +829,5 @@ def test_stages_handle_odd_rows(spark, odd):
 
 def test_registered():
     names = list(registered.queries())
-    assert [int(re.search(r"\d+", n)[0]) for n in names] == list(range(1, 11))
+    assert [int(re.search(r"\d+", n)[0]) for n in names] == list(range(1, 14))
     assert json.dumps(registered.oracle_sql()) and base64
