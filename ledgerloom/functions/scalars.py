@@ -168,23 +168,30 @@ def plausible_total(v: Column) -> Column:
 
 
 def json_candidate(c: Column | str) -> Column:
-    """From the first opening bracket to the last closing one of its kind; null without both."""
+    """From the first opening bracket to the last closing one, of whatever kind; null without both."""
     text = to_col(c)
 
     def rule(t: Column) -> Column:
         brace, square = F.instr(t, "{"), F.instr(t, "[")
-        use_square = (square > 0) & ((brace == 0) | (square < brace))
-        start = F.when(use_square, square).otherwise(brace)
-        end = F.when(use_square, last_index(t, "]")).otherwise(last_index(t, "}"))
-        return F.when((start > 0) & (end > start), F.substr(t, start, end - start + 1))
+        start = F.least(F.nullif(brace, F.lit(0)), F.nullif(square, F.lit(0)))
+        end = F.greatest(last_index(t, "]"), last_index(t, "}"))
+        return F.when(end > start, F.substr(t, start, end - start + 1))
 
     return let(text, rule)
 
 
+def whole_json(c: Column) -> Column:
+    """The VARIANT of a text that is one JSON value; null else. try_parse_json alone reads a value and passes over what follows it."""
+    return let(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), lambda v: F.when(F.size(F.try_variant_get(v, "$", "array<variant>")) == 1, F.try_variant_get(v, "$[0]", "variant")))
+
+
 def loads_with_repair(c: Column | str) -> Column:
-    """A VARIANT from the whole text, else its bracketed part, else what follows the first colon."""
+    """A VARIANT from the whole text, else its bracketed part, else what follows the first colon, else the last line that can be read, itself or behind its colon."""
     text = to_col(c)
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(json_candidate(text)), F.try_parse_json(F.trim(F.regexp_extract(text, r"(?s)^[^:]*:(.*)$", 1))))
+    behind = lambda t: F.trim(F.regexp_extract(t, r"(?s)^[^:]*:(.*)$", 1))
+    lines = F.reverse(F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(x)), lambda x: x != ""))
+    tried = F.concat(F.array(text, json_candidate(text), behind(text)), F.flatten(F.transform(lines, lambda x: F.array(x, behind(x)))))
+    return whole_json(F.get(F.filter(tried, lambda x: whole_json(x).isNotNull()), 0))
 
 
 def token_estimate(c: Column | str) -> Column:

@@ -77,7 +77,7 @@ def corrupt(c: Column, keys: list[Column], factor: float) -> Column:
 
 def chunk_lines(docs: DataFrame, limit: int, text: str = "text") -> DataFrame:
     """(doc_id, chunk_id, chunk): lines joined greedily up to ``limit`` characters with line breaks; a longer line stands alone."""
-    lines = F.filter(F.transform(F.split(F.col(text), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     state = "struct<done:array<string>,now:string>"
 
     def step(s: Column, line: Column) -> Column:

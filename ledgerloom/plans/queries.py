@@ -159,7 +159,10 @@ def box_scale(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", tokens.truncate_box(F.col("l_quantity"), F.lit(60)).alias("x_cut"), tokens.truncate_box(F.col("l_partkey"), dim).alias("y_cut"))
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT l_orderkey AS d, (l_partkey % 7 * 4)::INT AS x, (l_suppkey % 3)::INT AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey % 3, l_partkey % 7, l_discount DESC, l_linenumber) AS i FROM lineitem),
+ f AS (SELECT d, i, [{'x': x, 'y': y}] AS kept FROM t WHERE i = 1
+  UNION ALL SELECT t.d, t.i, CASE WHEN len(list_filter(f.kept, lambda k: greatest(0, 60 - abs(k.x - t.x)) * greatest(0, 40 - abs(k.y - t.y)) / (4800.0 - greatest(0, 60 - abs(k.x - t.x)) * greatest(0, 40 - abs(k.y - t.y)))::DOUBLE >= 0.85)) > 0 THEN f.kept ELSE list_append(f.kept, {'x': t.x, 'y': t.y}) END FROM f JOIN t ON t.d = f.d AND t.i = f.i + 1)
+ SELECT d AS doc_id, max(i)::INT AS n_before, max(len(kept))::INT AS n_after FROM f GROUP BY 1""")
 def overlap_removal(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy overlap removal over boxes made from line items, a document per order."""
     t = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.struct(F.col("l_linenumber").alias("pos"), F.lit("t").alias("text"), (F.col("l_partkey") % 7 * 4).cast("int").alias("x0"), (F.col("l_suppkey") % 3).cast("int").alias("y0"), (F.col("l_partkey") % 7 * 4 + 60).cast("int").alias("x1"), (F.col("l_suppkey") % 3 + 40).cast("int").alias("y1"), F.col("l_discount").alias("confidence"), F.lit(1).alias("page_number")).alias("t"))
@@ -335,7 +338,10 @@ def hourly_windows(spark: SparkSession, sf: str) -> DataFrame:
     return rate_limit.windowed_counts(read(spark, sf, "events")).select("event_type", "start", "n", "total")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ f AS (SELECT user_id, event_id, i, [t] AS kept, true AS allowed FROM e WHERE i = 1
+  UNION ALL SELECT user_id, event_id, i, CASE WHEN len(near) < 2 THEN list_append(near, t) ELSE near END, len(near) < 2 FROM (SELECT e.*, list_filter(f.kept, lambda x: e.t - x < 3600000000) AS near FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+ SELECT user_id, event_id, allowed FROM f""")
 def rate_limited(spark: SparkSession, sf: str) -> DataFrame:
     return rate_limit.limit_batch(read(spark, sf, "events"), 2, 3600)
 

@@ -63,8 +63,10 @@ def write_summary_csv(summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def markdown(summary: DataFrame) -> str:
-    """A small summary as a Markdown table; the caller passes one row per system."""
-    rows = summary.collect()
+def markdown(summary: DataFrame, most: int = 1000) -> str:
+    """A small summary as a Markdown table, a row a system; more than ``most`` rows are an error."""
+    rows = summary.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
     head = "| " + " | ".join(summary.columns) + " |\n|" + "---|" * len(summary.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows)])

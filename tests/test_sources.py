@@ -219,6 +219,26 @@ def test_field_pipeline_reads_its_replies(spark):
     assert (x["invoice_number"], x["vendor"], x["total_amount"], [tuple(i) for i in x["line_items"]]) == ("INV-1", "ABC Corp", 10.0, [("Widget", 2.0, 5.0)]) and got[1]["cost_usd"] > 0
 
 
+def test_documents_are_asked_until_they_answer(spark):
+    def ask(key, prompt, attempt):
+        if "never" in prompt:
+            return "I can't"
+        return "{broken" if attempt == 0 else 'Sure: {"vendor": "V", "total_amount": 5, "line_items": [{"description": "a", "quantity": 2}, {}]}'
+
+    docs = spark.createDataFrame([(1, "one"), (2, "never"), (3, "one"), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in offline.ask_documents(docs, ask).collect()}
+    assert [tuple(x) for x in got[1]["extracted"]["line_items"]] == [("a", 2.0, None), (None, None, None)] and got[1]["extracted"]["vendor"] == "V"
+    assert (got[1]["attempts"], got[2]["attempts"], got[2]["extracted"], got[3]["attempts"]) == (2, 3, None, 2) and "JSON object" in got[2]["error"] and got[1]["cost_usd"] > 0
+
+
+@pytest.mark.parametrize(("text", "want"), [("so\n{bad\n42", "42"), ("one\nvendor: \"A\"\n??", "A"), ("x: 1\ny: 2", "2"), ("nothing", None), (None, None), ('a [1] b {"c": 2}', None)])
+def test_last_lines_of_a_reply(spark, text, want):
+    from ledgerloom.functions.scalars import loads_with_repair
+
+    v = loads_with_repair(F.lit(text).cast("string"))
+    assert spark.range(1).select(F.try_variant_get(v, "$", "string")).first()[0] == want
+
+
 # ---------------------------------------------------------------- noise
 def test_noise_sweep(spark):
     truth = {"invoice_number": "INV-1023", "date": "2025-01-12", "total_amount": 1200.5}
@@ -285,3 +305,29 @@ def test_synthetic_tokens_run_along_the_line(spark):
         x += width + 6
     assert rows[2, 0] == ("c", 0, 12, 48) and len(rows) == 801
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_vectors(spark):
+    from ledgerloom.operators import retrieval
+
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(60, 8)).round(2)
+    vectors = np.concatenate([base, base[:1].repeat(40, axis=0), np.zeros((2, 8))])
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(rng.permutation(len(vectors)), vectors, strict=True)]
+    df = spark.createDataFrame([*rows, (500, None)], "vec_id long, embedding array<float>").repartition(5)
+    unit = {i: np.array(np.float32(v), np.float64) for i, v in rows}
+    unit = {i: v / (np.linalg.norm(v) or 1) for i, v in unit.items()}
+    want = {q: [j for _, j in sorted(((round(float(unit[q] @ unit[j]), 10), j) for j in unit if j != q), reverse=True)[:4]] for q in unit if q % 3 == 0}
+    for block in (10_000, 9):
+        got = retrieval.nearest(df, df.filter("vec_id % 3 = 0"), 4, block).collect()
+        assert {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in want} == want
+    few = retrieval.nearest(df.filter("vec_id < 3"), df.filter("vec_id = 0"), 4).collect()
+    assert len(few) == 2 and retrieval.nearest(df.limit(0), df.filter("vec_id = 0"), 4).count() == 0
+
+
+def test_lines_are_trimmed_of_blanks_alone(spark):
+    """A function of two parameters given to transform would get each line's number as the characters to trim."""
+    from ledgerloom.operators import tokens
+
+    df = spark.createDataFrame([("d", " 0 first 0 \n1 second 1\n\n 2 third 2")], "doc_id string, text string")
+    assert [r["chunk"] for r in tokens.chunk_lines(df, 12).orderBy("chunk_id").collect()] == ["0 first 0", "1 second 1", "2 third 2"]
