@@ -158,7 +158,7 @@ def label_spans(labels: Column) -> Column:
 
 
 def scores(rows: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, names: dict[str, list[str]] | None = None) -> DataFrame:
-    """A row for each document and variant: sums of its fields, entities and labels, and whether all its fields are right.
+    """A row for each document and variant: sums of its fields, entities and labels, and whether all its fields are right; rows have the true fields in ``true``.
 
     ``names`` gives the variants that show a system; the thresholds are variants of the full one.
     """
@@ -168,8 +168,7 @@ def scores(rows: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, names: d
     for system, listed in names.items():
         more = [variant(f"confidence_threshold_{x:.2f}", x) for x in thresholds] if system == "full" else []
         shown = F.when(F.col("system") == system, F.array(*[variant(n, None) for n in listed], *more)).otherwise(shown)
-    true = payloads.pairs_of(payloads.payload_of(F.col("truth"), dict(rows.dtypes)["truth"]))
-    rows = settled(rows, {"__true": true, "n_tokens": F.size("t")})
+    rows = settled(rows, {"__true": F.col("true"), "n_tokens": F.size("t")})
 
     # Entities and labels are the system's, whatever the threshold.
     signature = lambda f, v: F.struct(F.lower(F.trim(f)).alias("f"), F.trim(F.coalesce(v, F.lit(""))).alias("v"))
@@ -219,7 +218,9 @@ def field_summary(scored: DataFrame) -> DataFrame:
 
 def run(samples: DataFrame, today: str, aliases: dict[str, str] = ALIASES, labeler: Callable[[DataFrame], DataFrame] | None = None, thresholds: tuple[float, ...] = THRESHOLDS, with_recovery: bool = False) -> DataFrame:
     """The scores of all variants by document; ``summary`` adds them up, ``errors`` sorts the documents by what went wrong."""
-    rows = systems(samples, labeler or (lambda r: packed.label(r, aliases)))
+    # The truth is read once a document, before its systems stand in rows of their own.
+    true = payloads.pairs_of(payloads.payload_of(F.col("truth"), dict(samples.dtypes)["truth"]))
+    rows = systems(settled(samples, {"true": true}).drop("truth"), labeler or (lambda r: packed.label(r, aliases)))
     return scores(outputs(rows, today, aliases, with_recovery), thresholds)
 
 

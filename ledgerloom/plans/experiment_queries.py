@@ -152,7 +152,8 @@ WITH o AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS iso, CAS
 
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, t, truth) of orders: three lines of tokens, some without a total, some read badly, some with no token at all."""
-    k, o = F.col("o_orderkey"), read(spark, sf, "orders")
+    # A small file is one split; what follows has no exchange that would spread its rows.
+    k, o = F.col("o_orderkey"), read(spark, sf, "orders").repartition(spark.sparkContext.defaultParallelism)
     total = F.round("o_totalprice", 2)
     plain = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", total), "0+$", ""), r"\.$", "")
     iso = F.date_format("o_orderdate", "yyyy-MM-dd")
