@@ -341,8 +341,9 @@ def score_documents(docs: DataFrame, held: int = 2, modulus: int = 7, discount:
         got = contexts.filter("total >= 2.5").toArrow()
         ctx, place = np.unique(got["ctx"].to_numpy().view(np.uint64), return_index=True)
         spot = place[np.searchsorted(ctx, context(h))] if h.size else np.empty(0, np.int64)
-        model = Model((h, n, got["total"].to_numpy()[spot].astype(np.float32), got["pairs"].to_numpy()[spot].astype(np.int32)), LogFrequencyBloom(shard_bits, hot, ((r["shard"], r["data"]) for r in shards.toLocalIterator()), size), z, discount)
-        del table, got
+        tokens_ = (h, n, got["total"].to_numpy()[spot].astype(np.float32), got["pairs"].to_numpy()[spot].astype(np.int32))
+        del table, known, got, ctx, place, spot  # before the filter is gathered
+        model = Model(tokens_, LogFrequencyBloom(shard_bits, hot, ((r["shard"], r["data"]) for r in shards.toLocalIterator()), size), z, discount)
     else:
         none = np.empty(0, np.uint64)
         model = Model((none, none.astype(np.int64), none, none), LogFrequencyBloom(0, none, []), z, discount)
