@@ -353,14 +353,14 @@ def check(rows: DataFrame, today: str, threshold: float = rules.MIN_CONFIDENCE,
     return confident(rows, threshold, drop)
 
 
-def documents(tokens: DataFrame, today: str, aliases: dict[str, str] = ALIASES, threshold: float = rules.MIN_CONFIDENCE, drop: bool = True, with_recovery: bool = True, with_constraints: bool = True, repair: bool = True, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys…, fields, flags, orphans) of tokens, a row a document. Tokens with a label column keep their labels; others are labelled by aliases."""
+def documents(tokens: DataFrame, today: str, aliases: dict[str, str] = ALIASES, threshold: float = rules.MIN_CONFIDENCE, drop: bool = True, with_recovery: bool = True, with_constraints: bool = True, repair: bool = True, keys: tuple[str, ...] = ("doc_id",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keys…, fields, flags, orphans) of tokens, a row a document, with the columns ``keep`` of the stages, such as its tokens t. Tokens with a label column keep their labels; others are labelled by aliases."""
     rows = pack(tokens, keys)
     own = "label" in tokens.columns
     rows = settled(rows, {"labels": F.transform("t", lambda x: x["label"])}) if own else label(rows, aliases)
     rows = entities(spans(rows, has_category="category" in tokens.columns), aliases)
     rows = recover(rows, aliases) if with_recovery else rows
-    return check(rows, today, threshold, drop, with_constraints, repair).select(*keys, "fields", "flags", "orphans")
+    return check(rows, today, threshold, drop, with_constraints, repair).select(*keys, "fields", "flags", "orphans", *keep)
 
 
 def long_fields(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

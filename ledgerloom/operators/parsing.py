@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.helpers import mean, settled
 from ..functions.scalars import ALIASES, canonical_field
 from . import fields as rules
 from . import packed, spans
@@ -54,7 +55,11 @@ def warnings(documents: DataFrame, tokens: DataFrame, parsed: DataFrame) -> Data
     """(doc_id, warnings) of all (doc_id, page_count) documents; multi_page_inconsistency can stand twice."""
     seen = tokens.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("confidence").alias("c")).join(invoice_conflicts(tokens).select("doc_id", "conflict"), "doc_id")
     codes = parsed.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes"))
-    both = documents.select("doc_id", "page_count").join(seen, "doc_id", "left").join(codes, "doc_id", "left")
+    return _listed(documents.select("doc_id", "page_count").join(seen, "doc_id", "left").join(codes, "doc_id", "left"))
+
+
+def _listed(both: DataFrame) -> DataFrame:
+    """(doc_id, warnings) of rows (doc_id, page_count, n, c, conflict, codes)."""
     has = lambda code: F.coalesce(F.array_contains("codes", code), F.lit(False))
     several = F.col("page_count") > 1
     listed = F.array_compact(F.array(F.when((F.col("n") < 3) | (F.col("c") < 0.55), "noisy_ocr_output"), F.when(has("missing_required_field"), "missing_required_fields"), F.when(several & has("conflicting_values"), "multi_page_inconsistency"), F.when(several & F.col("conflict"), "multi_page_inconsistency")))
@@ -68,6 +73,25 @@ def confidence_summary(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("doc_id").agg(zero(F.avg(c)).alias("average"), zero(F.min(c)).alias("minimum"), zero(F.max(c)).alias("maximum"), F.count(c).alias("kept_fields"), F.count_if(F.array_contains("codes", "low_confidence")).alias("dropped_fields"))
 
 
+def packed_summary(docs: DataFrame) -> DataFrame:
+    """``confidence_summary`` of the packed documents (doc_id, fields), read off each row; without a second grouping."""
+    kept = F.transform(F.filter("fields", lambda r: r["status"].isin("kept", "retained")), lambda r: r["confidence"])
+    rows = settled(docs, {"__c": kept})
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    dropped = F.size(F.filter("fields", lambda r: F.array_contains(r["codes"], "low_confidence")))
+    return rows.select("doc_id", zero(mean(F.col("__c"))).alias("average"), zero(F.array_min("__c")).alias("minimum"), zero(F.array_max("__c")).alias("maximum"), F.size("__c").cast("long").alias("kept_fields"), dropped.cast("long").alias("dropped_fields"))
+
+
+def packed_warnings(documents: DataFrame, docs: DataFrame) -> DataFrame:
+    """``warnings`` of (doc_id, page_count) documents, from the packed documents with their tokens (doc_id, t, fields): one join, nothing is grouped again."""
+    number = F.transform("t", lambda x: F.upper(F.trim(x["text"])))
+    numbers = F.array_distinct(F.filter(number, lambda v: v.rlike(INVOICE_TOKEN)))
+    c = mean(F.filter(F.transform("t", lambda x: x["confidence"].cast("double")), lambda v: v.isNotNull()))
+    codes = F.array_distinct(F.flatten(F.transform("fields", lambda r: r["codes"])))
+    seen = settled(docs, {"n": F.size("t"), "c": c, "conflict": F.size(numbers) >= 2, "codes": codes}).select("doc_id", "n", "c", "conflict", "codes")
+    return _listed(documents.select("doc_id", "page_count").join(seen, "doc_id", "left"))
+
+
 def threshold_filter(fields: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, doc_id, field, value, confidence, message): each field at each threshold, with the message of those that are dropped."""
     levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
