@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +25,22 @@ def token_overlap(keys: list[str], predicted: DataFrame, truth: DataFrame) -> Da
     return counts.groupBy(*keys).agg(F.sum(F.least("p", "t")).alias("tp"), F.sum("p").alias("n_pred"), F.sum("t").alias("n_true"))
 
 
+def text_overlap(rows: DataFrame, shape: str = "[a-z0-9.]+", batch: int = 500) -> DataFrame:
+    """(doc_id, tp, n_pred, n_true) of (doc_id, predicted, truth) texts: the tokens of both as multisets, each row for itself; a null text has none."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = re.compile(shape).findall
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                ids, predicted, truth = b.slice(at, batch).columns
+                sides = [(Counter(tokens(p or "")), Counter(tokens(t or ""))) for p, t in zip(predicted.to_pylist(), truth.to_pylist(), strict=True)]
+                counts = [[sum(min(n, t[w]) for w, n in p.items()) for p, t in sides], [p.total() for p, _ in sides], [t.total() for _, t in sides]]
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, pa.int64()) for c in counts]], names=["doc_id", "tp", "n_pred", "n_true"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.select("doc_id", "predicted", "truth").mapInArrow(count, f"doc_id {kind}, tp long, n_pred long, n_true long")
+
+
 def summarize(scores: DataFrame, by: str, metrics: list[str]) -> DataFrame:
     """Count, mean and population deviation of each metric; an absent one counts as 0."""
     aggs = [F.count("*").alias("n_docs")]
