@@ -99,16 +99,13 @@ def alias_labels(tokens: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFr
 def alias_pairs(tokens: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFrame:
     """(doc_id, field, value, confidence): a token that is an alias makes the next one the field's value; the last of a field wins.
 
-    A value that is an alias itself is no key: within a run of aliases every second one is.
+    A value that is an alias itself is no key: within a run of aliases every second one is. A document's tokens are
+    packed once, so they are dealt out and sorted a single time.
     """
-    w = W.partitionBy("doc_id").orderBy("pos")
-    names = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
-    t = tokens.filter(F.trim("text") != "").select("doc_id", "pos", F.trim("text").alias("text"), "confidence", F.try_element_at(names, F.rtrim(F.lower(F.trim("text")), F.lit(":"))).alias("field"))
-    t = t.withColumn("run", F.sum(F.when(F.col("field").isNull(), 1).otherwise(0)).over(w))
-    place = F.row_number().over(W.partitionBy("doc_id", "run", F.col("field").isNull()).orderBy("pos"))
-    t = t.withColumn("is_key", F.col("field").isNotNull() & (place % 2 == 1))
-    got = t.select("doc_id", "pos", F.lag(F.when(F.col("is_key"), F.col("field"))).over(w).alias("name"), "text", "confidence").filter("name is not null")
-    return got.groupBy("doc_id", F.col("name").alias("field")).agg(F.max_by("text", "pos").alias("value"), F.max_by("confidence", "pos").alias("confidence"))
+    from . import benchmarks, packed
+
+    rows = packed.pack(tokens.select("doc_id", "pos", "text", "confidence"))
+    return rows.select("doc_id", F.inline(benchmarks.last_of_each(benchmarks.alias_pairs(F.col("t"), aliases)))).withColumnRenamed("text", "value")
 
 
 def tagged_runs(rows: DataFrame) -> DataFrame:
