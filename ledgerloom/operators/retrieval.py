@@ -34,8 +34,9 @@ DECIMALS = 12
 NEAREST = "query_id long, vec_id long, score double, rank int"
 
 
-def best_of(batches: Iterator[pa.RecordBatch], ids: np.ndarray, asked: np.ndarray, k: int, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The k best (query_id, vec_id, score) of each query among a task's vectors, by matrix products of a few rows with all queries."""
+def best_of(batches: Iterator[pa.RecordBatch], ids: np.ndarray, asked: np.ndarray, k: int, cells: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The k best (query_id, vec_id, score) of each query among a task's vectors, by matrix products of a few rows with all queries; a product has about ``cells`` scores, however many queries there are."""
+    rows = min(1000, max(2 * k, cells // max(1, len(ids))))
     top_score, top_id = np.full((k, len(ids)), -(2 << 60), np.int64), np.full((k, len(ids)), -1, np.int64)
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
