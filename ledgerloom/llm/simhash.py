@@ -23,8 +23,8 @@ smallest of both texts together is shared with probability 0.8 or more, so a pai
 missed once in (1 / 0.2) ** 12, over 10**8, pairs. Texts meet the least node under each of their smallest
 hashes first; then, where their components still differ, all others under hashes of up to ``CROWD`` texts.
 Under fuller ones they meet one more text for each hash, and again others in further turns as long as turns
-find links, ``TURNS`` at most: a linear number of candidates, by which a text can miss its group only if it is
-like a small part of a large group alone.
+find links, ``TURNS`` at most: a linear number of candidates that joins most of a large group. Where components still
+differ under a hash after that, all pairs between them are compared, block by block, so none is left out.
 
 Defined cases: null and empty texts have the fingerprint zero, linked like any other; texts under three
 words have one shingle, the whole sequence; repeated rows share their doc_id's component; rows without
@@ -56,6 +56,8 @@ SPOT = 16384
 SHINGLE, SIMILAR = 5, (4, 5)
 #: Smallest shingle hashes of a text by which it is found, and texts with the same one that are all paired.
 MINS, CROWD = 12, 64
+#: Texts of a full hash that meet another such block in one group.
+BLOCK = 512
 #: Turns in which texts of full hashes meet others, at most; nodes that a hash picks for a turn, and those of
 #: all its picks that a text is compared with, the nearest by sketch.
 TURNS, PICKS, NEAREST = 3, 16, 3
@@ -371,11 +373,11 @@ def may_be_similar(size_a, bits_a, size_b, bits_b) -> Column:
 
 
 def crowd_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b) of nodes under one hash, of different components, whose sizes and sketches allow the similarity; rows are (h, node, size, sketch, part)."""
+    """Distinct (a, b) of nodes under one hash, of different components, whose sizes and sketches allow the similarity; rows are (h, node, size, sketch, part, side), and two rows of one side other than 0 are no pair."""
     up, down = SIMILAR
 
     def run(batches):
-        def out(h, node, size, bits, part):
+        def out(h, node, size, bits, part, side):
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             many = np.diff(np.append(first, h.size))
             n, place = np.repeat(many, many), np.arange(h.size) - np.repeat(first, many)
@@ -383,14 +385,14 @@ def crowd_pairs(rows: DataFrame) -> DataFrame:
             for d in range(1, int(n.max())):
                 i = np.flatnonzero(place + d < n)
                 j = i + d
-                near = (down * np.minimum(size[i], size[j]) >= up * np.maximum(size[i], size[j])) & (part[i] != part[j])
+                near = (down * np.minimum(size[i], size[j]) >= up * np.maximum(size[i], size[j])) & (part[i] != part[j]) & ((side[i] != side[j]) | (side[i] == 0))
                 near &= np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)) <= APART
                 left.append(np.minimum(node[i], node[j])[near])
                 right.append(np.maximum(node[i], node[j])[near])
             pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-        held = [np.empty(0, np.int64)] * 5
+        held = [np.empty(0, np.int64)] * 6
         for batch in batches:
             held = [np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate(held)]
             if not held[0].size:
@@ -402,7 +404,7 @@ def crowd_pairs(rows: DataFrame) -> DataFrame:
         if held[0].size:
             yield out(*held)
 
-    return rows.select("h", "node", "size", "sketch", "part").repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("h", "node", "size", "sketch", "part", "side").repartition("h").sortWithinPartitions("h").mapInArrow(run, "a long, b long").distinct()
 
 
 def least_pairs(rows: DataFrame) -> DataFrame:
@@ -412,11 +414,30 @@ def least_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.col("m.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def other_pairs(rows: DataFrame, parts: DataFrame, crowd: int, turn: int) -> DataFrame:
-    """(a, b) of different components under hashes of more than ``crowd`` nodes: each node with the ``NEAREST`` nodes by sketch among ``PICKS`` that each hash picks in this turn; in turn 0 all under other hashes too."""
+def mixed_rows(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows under hashes that nodes of several components share, with their component as part."""
     rows = rows.join(parts, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
     mixed = rows.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("h")
-    rows = cut(rows.join(mixed, "h", "left_semi"))
+    return cut(rows.join(mixed, "h", "left_semi"))
+
+
+def rest_pairs(rows: DataFrame, parts: DataFrame, crowd: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): all pairs of different components under the hashes of more than ``crowd`` nodes whose sizes and sketches allow the similarity.
+
+    A hash's nodes are dealt into blocks of about ``block`` by their own hash, and every two blocks meet in a group of
+    their own: the work is quadratic in the nodes of a hash, but no task holds more than a few pairs of blocks.
+    """
+    full = mixed_rows(rows.filter(F.col("n") > crowd), parts)
+    n_blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
+    full = full.withColumn("k", n_blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), n_blocks))
+    met = full.select("h", "node", "size", "sketch", "part", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("long")
+    return crowd_pairs(met.select(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("h"), "node", "size", "sketch", "part", side.alias("side")))
+
+
+def other_pairs(rows: DataFrame, parts: DataFrame, crowd: int, turn: int) -> DataFrame:
+    """(a, b) of different components under hashes of more than ``crowd`` nodes: each node with the ``NEAREST`` nodes by sketch among ``PICKS`` that each hash picks in this turn; in turn 0 all under other hashes too."""
+    rows = mixed_rows(rows, parts)
     full = rows.filter(F.col("n") > crowd)
     pick = lambda k: F.min(F.struct(F.xxhash64("node", "h", F.lit(turn * PICKS + k)), F.col("node"), F.col("size"), F.col("sketch"), F.col("part")))
     picks = full.groupBy("h").agg(F.array_distinct(F.array(*map(pick, range(PICKS)))).alias("m"))
@@ -424,7 +445,7 @@ def other_pairs(rows: DataFrame, parts: DataFrame, crowd: int, turn: int) -> Dat
     near = F.transform(fit, lambda x: F.struct(F.bit_count(F.col("sketch").bitwiseXOR(x["sketch"])).alias("d"), x["node"].alias("node")))
     met = full.join(picks, "h").select("node", F.array_min(near).alias("x")).filter("x is not null").groupBy("node").agg(F.slice(F.array_sort(F.collect_set("x")), 1, NEAREST).alias("x")).select("node", F.explode("x.node").alias("m"))
     out = met.select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
-    return out if turn else out.union(crowd_pairs(rows.filter(F.col("n") <= crowd))).distinct()
+    return out if turn else out.union(crowd_pairs(rows.filter(F.col("n") <= crowd).withColumn("side", F.lit(0).cast("long")))).distinct()
 
 
 def worth_comparing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -545,6 +566,11 @@ def similar_groups(docs: DataFrame, word_prints: int = 4, hot: int = 32, broadca
         if not turn:
             rows = rows.filter(F.col("n") > crowd)
         release(docs.sparkSession)
+    # The turns join most of a crowd cheaply; what is left between its components is compared whole.
+    pairs = cut(worth_comparing(rest_pairs(rows, parts, crowd).join(first, ["a", "b"], "left_anti"), nodes))
+    if not pairs.isEmpty():
+        parts = cut(merged(parts, verified(docs, nodes, pairs, broadcast_rows)))
+    release(docs.sparkSession)
     joined = nodes.select("node", "least").join(parts, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of_root = joined.groupBy("root").agg(F.min("least.doc_id").alias("group_id"))
     named = joined.filter("root <> node").join(of_root, "root").select("node", "group_id").union(of_root.select(F.col("root").alias("node"), "group_id"))
