@@ -28,6 +28,7 @@ result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -36,7 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, split_bucket, stored, whole_text
+from ..session import checkpoint_dir
+from .common import release, remove, ship, split_bucket, stored, whole_text
 
 #: Stands for the end of a text; no word contains a line break.
 END = xxhash.xxh64_intdigest(b"\n", 0)
@@ -317,8 +319,12 @@ def train(docs: DataFrame, shard_bits: int | None = None, each: int = BITS) -> t
     return stored(count(docs, hot, shard_bits, each)), hot, shard_bits
 
 
-def score_documents(docs: DataFrame, held: int = 2, modulus: int = 7, discount: float = 0.75, common: int = 3_000_000, broadcast_bytes: int = 1 << 28, shard_bits: int | None = None, each: int = BITS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; ``each`` is the filter's bits for a stored level."""
+def score_documents(docs: DataFrame, held: int = 2, modulus: int = 7, discount: float = 0.75, common: int = 3_000_000, broadcast_bytes: int = 1 << 28, shard_bits: int | None = None, each: int = BITS, round_bytes: int = 1 << 31) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; ``each`` is the filter's bits for a stored level.
+
+    Without a broadcast, texts are scored in rounds of about ``round_bytes`` of text each (counted), dealt by a hash; a round's
+    n-grams and their shuffles are removed before the next, so the disk they need doesn't grow with the texts.
+    """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text())
@@ -393,25 +399,42 @@ def score_documents(docs: DataFrame, held: int = 2, modulus: int = 7, discount:
         ids = pa.nulls(k, pa.int64()) if doc_id is None else doc_id
         return pa.RecordBatch.from_arrays([pa.array(rid), ids, pa.array(n.astype(np.int64)), signed(h), signed(first), number(known, pa.int64()), number(base, pa.float64()), number(score, pa.float64())], names=["rid", "doc_id", "n", "h", "first", "known", "base", "score"])
 
-    # Rows of texts have no h; the others are the tokens and pairs that must meet a table.
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(run, "rid long, doc_id long, n long, h long, first long, known long, base double, score double"))
-    open_, texts = rows.filter("h is not null").select("rid", "h", "first", F.col("n").alias("times")), rows.filter("h is null").drop("h", "first")
-    found = open_.join(words.select("h", F.col("n").alias("c")), "h", "left")
-    gain = [F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("gain")]
-    if small:
-        more = found.groupBy("rid").agg(*gain, F.lit(0.0).alias("model"))
-    else:
-        more = probed(found, words, contexts, shards, hot, shard_bits, z, discount).groupBy("rid").agg(*gain, F.sum("logs").alias("model"))
-    joined = texts.join(more, "rid", "left")
-    return joined.select(
-        "doc_id",
-        (split_bucket(F.col("doc_id"), modulus) == held).alias("held_out"),
-        F.col("n").alias("n_tokens"),
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n") * F.log10(F.lit(whole))).alias("base_score"),
-        (F.col("score") + F.coalesce("model", F.lit(0.0))).alias("score"),
-    )
+    def scored(texts_: DataFrame, made: list[str]) -> DataFrame:
+        # Rows of texts have no h; the others are the tokens and pairs that must meet a table.
+        rows = stored(texts_.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(run, "rid long, doc_id long, n long, h long, first long, known long, base double, score double"), made)
+        open_, texts = rows.filter("h is not null").select("rid", "h", "first", F.col("n").alias("times")), rows.filter("h is null").drop("h", "first")
+        found = open_.join(words.select("h", F.col("n").alias("c")), "h", "left")
+        gain = [F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("gain")]
+        if small:
+            more = found.groupBy("rid").agg(*gain, F.lit(0.0).alias("model"))
+        else:
+            more = probed(found, words, contexts, shards, hot, shard_bits, z, discount, made).groupBy("rid").agg(*gain, F.sum("logs").alias("model"))
+        joined = texts.join(more, "rid", "left")
+        return joined.select(
+            "doc_id",
+            (split_bucket(F.col("doc_id"), modulus) == held).alias("held_out"),
+            F.col("n").alias("n_tokens"),
+            (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+            F.lit(n_all).cast("long").alias("train_tokens"),
+            (F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n") * F.log10(F.lit(whole))).alias("base_score"),
+            (F.col("score") + F.coalesce("model", F.lit(0.0))).alias("score"),
+        )
+
+    n_rounds = 1 if small else max(1, -(-int(docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0) // round_bytes))
+    if n_rounds == 1:
+        return scored(docs, [])
+    release(spark)  # the counting's shuffle
+    path, kind = f"{checkpoint_dir(spark)}/scores-{uuid.uuid4().hex}", None
+    for k in range(n_rounds):
+        made: list[str] = []
+        out = scored(docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_rounds)) == k), made)
+        out.write.mode("append").parquet(path)
+        kind = out.schema
+        del out
+        for used in made:
+            remove(spark, used)
+        release(spark)
+    return spark.read.schema(kind).parquet(path)
 
 
 def probed_levels(rows: DataFrame, shards: DataFrame, most: int = 63) -> DataFrame:
@@ -443,7 +466,7 @@ def probed_levels(rows: DataFrame, shards: DataFrame, most: int = 63) -> DataFra
     return dealt.mapInArrow(look, ", ".join(f"{c} {kinds[c]}" for c in names) + ", level long")
 
 
-def token_values(words: DataFrame, asked: DataFrame, contexts: DataFrame, shards: DataFrame, hot: np.ndarray, shard_bits: int) -> DataFrame:
+def token_values(words: DataFrame, asked: DataFrame, contexts: DataFrame, shards: DataFrame, hot: np.ndarray, shard_bits: int, made: list[str] | None = None) -> DataFrame:
     """(h, c, t, k) of the ``asked`` tokens, by the rule of ``Model.of_tokens``: exact for those seen three times or more, others by the filter."""
 
     def columns(make):
@@ -469,7 +492,7 @@ def token_values(words: DataFrame, asked: DataFrame, contexts: DataFrame, shards
     common = known.select("h", "n").mapInArrow(columns(named), "h long, n long, ctx long").join(contexts, "ctx", "left")
     common = common.select("h", mid(F.floor(F.log2(F.col("n").cast("double"))) + 1).alias("c"), F.col("total").cast("float").cast("double").alias("t"), F.col("pairs").cast("double").alias("k"))
     rest = asked.join(known.select("h"), "h", "left_anti")
-    level = stored(probed_levels(rest.mapInArrow(columns(single), "h long, key long, shard long"), shards))
+    level = stored(probed_levels(rest.mapInArrow(columns(single), "h long, key long, shard long"), shards), made)
     some = level.filter("level >= 2").select("h").mapInArrow(columns(twice), "h long, key long, shard long")
     two = probed_levels(some, shards, 1).select("h", F.col("level").alias("two"))
     rare = level.join(two, "h", "left")
@@ -479,7 +502,7 @@ def token_values(words: DataFrame, asked: DataFrame, contexts: DataFrame, shards
     return common.union(rare.select("h", mid(F.col("level")).alias("c"), t.alias("t"), k.alias("k")))
 
 
-def probed(rows: DataFrame, words: DataFrame, contexts: DataFrame, shards: DataFrame, hot: np.ndarray, shard_bits: int, z: float, discount: float) -> DataFrame:
+def probed(rows: DataFrame, words: DataFrame, contexts: DataFrame, shards: DataFrame, hot: np.ndarray, shard_bits: int, z: float, discount: float, made: list[str] | None = None) -> DataFrame:
     """Adds logs, times the log10 probability, to (rid, h, first, times, c) rows: pairs are probed in the task of their shard, what is known of tokens is joined."""
 
     def place(batches):
@@ -491,7 +514,7 @@ def probed(rows: DataFrame, words: DataFrame, contexts: DataFrame, shards: DataF
     pairs = rows.select("first", "h", "rid", "times", "c").mapInArrow(place, "first long, h long, rid long, times long, c long, key long, shard long")
     got = probed_levels(pairs, shards)
     # Every text ends with the end token, so the tokens that stand before others are among those asked.
-    values = stored(token_values(words, rows.select("h").distinct(), contexts, shards, hot, shard_bits))
+    values = stored(token_values(words, rows.select("h").distinct(), contexts, shards, hot, shard_bits, made), made)
     mid = lambda level: F.when(level > 0, F.pow(F.lit(2.0), level - 1) * 1.5 - 0.5).otherwise(0.0)
     got = got.join(values.select("h", F.col("c").alias("w")), "h", "left").join(values.select(F.col("h").alias("first"), "t", "k"), "first", "left")
     t = F.nullif(F.col("t"), F.lit(0.0))
