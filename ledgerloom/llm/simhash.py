@@ -23,8 +23,9 @@ smallest of both texts together is shared with probability 0.8 or more, so a pai
 missed once in (1 / 0.2) ** 12, over 10**8, pairs. Texts meet the least node under each of their smallest
 hashes first; then, where their components still differ, all others under hashes of up to ``CROWD`` texts.
 Under fuller ones they meet one more text for each hash, and again others in further turns as long as turns
-find links, ``TURNS`` at most: a linear number of candidates that joins most of a large group. Where components still
-differ under a hash after that, all pairs between them are compared, block by block, so none is left out.
+find links, ``TURNS`` at most: a linear number of candidates that joins most of a large group. Texts whose components
+still differ under a hash after that meet under ``BANDS`` keys of ``WIDTH`` min-hashes each, of which alike texts share
+one almost surely and texts with a mere passage in common hardly any; there all pairs of different components are compared.
 
 Defined cases: null and empty texts have the fingerprint zero, linked like any other; texts under three
 words have one shingle, the whole sequence; repeated rows share their doc_id's component; rows without
@@ -56,8 +57,11 @@ SPOT = 16384
 SHINGLE, SIMILAR = 5, (4, 5)
 #: Smallest shingle hashes of a text by which it is found, and texts with the same one that are all paired.
 MINS, CROWD = 12, 64
-#: Texts of a full hash that meet another such block in one group.
+#: Texts of a full key that meet another such block in one group.
 BLOCK = 512
+#: Keys of a text whose components still differ under a full hash, and min-hashes in each. At J = 0.8 a pair shares
+#: none of 56 keys of 6 once in 2 * 10**7 pairs; texts with a passage in common, at J = 0.3, share one in 25.
+BANDS, WIDTH = 56, 6
 #: Turns in which texts of full hashes meet others, at most; nodes that a hash picks for a turn, and those of
 #: all its picks that a text is compared with, the nearest by sketch.
 TURNS, PICKS, NEAREST = 3, 16, 3
@@ -70,6 +74,7 @@ APART = 25
 #: not compared. One differs with probability (1 - J) * 15 / 16, so at J = 0.8 more than 50 do once in 10**8 pairs.
 FINE, FINE_APART = 128, 50
 _SALTS = np.array([(2 * k + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF for k in range(FINE)], np.uint64)
+_BAND_SALTS = np.array([(2 * k + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF for k in range(FINE, FINE + BANDS * WIDTH)], np.uint64)
 
 
 def fingerprint(text: str | None) -> int:
@@ -421,18 +426,63 @@ def mixed_rows(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return cut(rows.join(mixed, "h", "left_semi"))
 
 
-def rest_pairs(rows: DataFrame, parts: DataFrame, crowd: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): all pairs of different components under the hashes of more than ``crowd`` nodes whose sizes and sketches allow the similarity.
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys, each of ``WIDTH`` min-hashes of the set."""
+    least = np.full(BANDS * WIDTH, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, shingles.size, 2048):
+        g = shingles[None, at : at + 2048] ^ _BAND_SALTS[:, None]
+        g *= np.uint64(0xBF58476D1CE4E5B9)
+        g ^= g >> np.uint64(32)
+        g *= np.uint64(0x94D049BB133111EB)
+        np.minimum(least, g.min(axis=1), out=least)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for k in range(WIDTH):
+        out = (out ^ least[k::WIDTH]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def band_rows(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(h, node, size, sketch, part) of the wanted (node, size, sketch, part) under each of their bands; sets are made where the texts lie."""
+    wanted = cut(wanted.join(nodes.select("node", "least"), "node").select("node", "size", "sketch", "part", F.col("least.doc_id").alias("__id"), F.col("least.rid").alias("__rid")))
+    side = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("rid").eqNullSafe(F.col("__rid"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rid_of(docs), "text").join(side, same).select("text", "node", "size", "sketch", "part")
+
+    def make():
+        done = set()
+
+        def step(cols):
+            for text, node, size, sketch, part in zip(*cols, strict=True):
+                if node in done:
+                    continue
+                s = shingle_set(text)
+                if _node(s) == node:  # else another text of the same id
+                    done.add(node)
+                    for h in bands(s).view(np.int64).tolist():
+                        yield h, node, size, sketch, part
+
+        return step
+
+    return map_rows(rows, "h long, node long, size long, sketch long, part long", make, 2000).dropDuplicates(["h", "node"])
+
+
+def rest_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): all pairs of different components under one key whose sizes and sketches allow the similarity; rows are (h, node, size, sketch, part).
 
-    A hash's nodes are dealt into blocks of about ``block`` by their own hash, and every two blocks meet in a group of
-    their own: the work is quadratic in the nodes of a hash, but no task holds more than a few pairs of blocks.
+    A key's nodes are dealt into blocks of about ``block`` by their own hash. The nodes outside its largest component
+    meet each block; are they more than a block, every two blocks meet in a group of their own. No task holds more
+    than a few pairs of blocks.
     """
-    full = mixed_rows(rows.filter(F.col("n") > crowd), parts)
-    n_blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
-    full = full.withColumn("k", n_blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), n_blocks))
-    met = full.select("h", "node", "size", "sketch", "part", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("long")
-    return crowd_pairs(met.select(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("h"), "node", "size", "sketch", "part", side.alias("side")))
+    each = rows.select("h", "part").repartition("h").groupBy("h", "part").agg(F.count("*").alias("n"))
+    keys = each.groupBy("h").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    keys = keys.select("h", F.ceil(F.col("n") / F.lit(block)).cast("long").alias("k"), F.col("most.part").alias("main"), (F.col("n") - F.col("most.n") > block).alias("crossed"))
+    full = rows.join(keys, "h").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k"))).withColumn("of_main", ~F.col("crossed") & (F.col("part") == F.col("main")))
+    to = F.when(F.col("of_main"), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
+    met = full.select("h", "node", "size", "sketch", "part", "own", "of_main", "crossed", F.explode(to).alias("other"))
+    side = F.when(F.col("of_main"), 1).when(F.col("own") == F.col("other"), 0).when(F.col("crossed") & (F.col("own") < F.col("other")), 1).otherwise(2).cast("long")
+    ends = [F.when(F.col("crossed"), end("own", "other")).otherwise(F.col("other")) for end in (F.least, F.greatest)]
+    return crowd_pairs(met.select(F.xxhash64("h", *ends).alias("h"), "node", "size", "sketch", "part", side.alias("side")))
 
 
 def other_pairs(rows: DataFrame, parts: DataFrame, crowd: int, turn: int) -> DataFrame:
@@ -566,9 +616,10 @@ def similar_groups(docs: DataFrame, word_prints: int = 4, hot: int = 32, broadca
         if not turn:
             rows = rows.filter(F.col("n") > crowd)
         release(docs.sparkSession)
-    # The turns join most of a crowd cheaply; what is left between its components is compared whole.
-    pairs = cut(worth_comparing(rest_pairs(rows, parts, crowd).join(first, ["a", "b"], "left_anti"), nodes))
-    if not pairs.isEmpty():
+    # The turns join most of a crowd cheaply; what is left between its components is found by narrower keys.
+    wanted = mixed_rows(rows.filter(F.col("n") > crowd), parts).select("node", "size", "sketch", "part").distinct()
+    pairs = None if wanted.isEmpty() else cut(worth_comparing(rest_pairs(cut(band_rows(docs, nodes, wanted, broadcast_rows))).join(first, ["a", "b"], "left_anti"), nodes))
+    if pairs is not None and not pairs.isEmpty():
         parts = cut(merged(parts, verified(docs, nodes, pairs, broadcast_rows)))
     release(docs.sparkSession)
     joined = nodes.select("node", "least").join(parts, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
