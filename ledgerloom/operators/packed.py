@@ -18,9 +18,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.helpers import let, mean, runs, scan, settled
 from ..functions.scalars import ALIASES, canonical_field, cleanup_text, fix_artifacts, merge_space_thousands, normalize_currency, normalize_date, recovery_amount, token_amounts, words
+from ..session import ship
+from . import chain
 from . import fields as rules
 from .labels import match_key
 from .recovery import COMPANY, COUNT_LINE, DATE_SHAPES, GRAND, HEADER_WORDS, INVOICE_SHAPES, NO_VENDOR, PLAIN, SECTION, SUB, clean_description, items_confidence, looks_valid, resolve_price
@@ -28,6 +31,7 @@ from .recovery import COMPANY, COUNT_LINE, DATE_SHAPES, GRAND, HEADER_WORDS, INV
 ITEM = "struct<description:string,quantity:double,unit_price:double>"
 ENTITY = f"struct<field:string,key:string,value:string,confidence:double,code:string,items:array<{ITEM}>>"
 RECORD = f"struct<field:string,value:string,confidence:double,valid:boolean,codes:array<string>,items:array<{ITEM}>,absent:boolean>"
+FIELD = f"struct<field:string,value:string,confidence:double,valid:boolean,status:string,codes:array<string>,items:array<{ITEM}>>"
 #: Lines whose tokens' heights differ by so much at most, and the bounds of a recovered field's confidence.
 TOLERANCE, LOW, HIGH, UNKNOWN = 18, 0.45, 0.75, 0.55
 
@@ -354,7 +358,21 @@ def check(rows: DataFrame, today: str, threshold: float = rules.MIN_CONFIDENCE,
 
 
 def documents(tokens: DataFrame, today: str, aliases: dict[str, str] = ALIASES, threshold: float = rules.MIN_CONFIDENCE, drop: bool = True, with_recovery: bool = True, with_constraints: bool = True, repair: bool = True, keys: tuple[str, ...] = ("doc_id",), keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keys…, fields, flags, orphans) of tokens, a row a document, with the columns ``keep`` of the stages, such as its tokens t. Tokens with a label column keep their labels; others are labelled by aliases."""
+    """(keys…, fields, flags, orphans) of tokens, a row a document, with the columns ``keep`` (its tokens t). Tokens with a label column keep their labels; others are labelled by aliases.
+
+    A document's row goes through ``chain`` in Python, which gives what ``by_stages`` gives, in a fraction of its time.
+    """
+    rows = pack(tokens, keys)
+    carried = [*keys, *keep]
+    settings = (today, aliases, threshold, drop, with_recovery, with_constraints, repair, TOLERANCE)
+    ship(tokens.sparkSession)
+    kind = StructType([rows.schema[n] for n in carried] + StructType.fromDDL(f"fields array<{FIELD}>, flags array<string>, orphans int").fields)
+    made = rows.select(*dict.fromkeys([*carried, "t"])).mapInArrow(chain.apply(lambda: chain.Chain(*settings), carried), kind)
+    return made.select(*keys, "fields", "flags", "orphans", *keep)
+
+
+def by_stages(tokens: DataFrame, today: str, aliases: dict[str, str] = ALIASES, threshold: float = rules.MIN_CONFIDENCE, drop: bool = True, with_recovery: bool = True, with_constraints: bool = True, repair: bool = True, keys: tuple[str, ...] = ("doc_id",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """``documents`` by the single stages as expressions; ``keep`` may name any column of theirs."""
     rows = pack(tokens, keys)
     own = "label" in tokens.columns
     rows = settled(rows, {"labels": F.transform("t", lambda x: x["label"])}) if own else label(rows, aliases)
