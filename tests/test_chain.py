@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import chain, packed
+from ledgerloom.operators import benchmarks, chain, packed
 
 TOKENS = "doc_id string, pos int, text string, confidence double, x0 int, y0 int, page_number int"
 WORDS = [
@@ -65,3 +65,16 @@ def test_numbers_are_written_as_by_java(spark):
     got = df.select("v", packed.number_text(F.col("v")).alias("n"), packed.amount_text(F.col("v")).alias("a"), F.to_json(F.array(F.struct(F.lit('a"\\\x1b').alias("description"), F.col("v").alias("quantity"), F.lit(None).cast("double").alias("unit_price")))).alias("j")).collect()
     for r in got:
         assert (chain.number_text(r["v"]), chain.amount_text(r["v"]), chain.items_json([('a"\\\x1b', r["v"], None)])) == (r["n"], r["a"], r["j"])
+
+
+def test_systems_equal_the_stages(spark):
+    df = spark.createDataFrame(made(150, 5), TOKENS)
+    truth = F.lit('{"date": "2024-01-05", "total_amount": 1200.5, "Invoice_number ": "INV-12"}')
+    samples = packed.pack(df).select("doc_id", F.when(F.col("doc_id") == "d3", F.slice("t", 1, 0)).otherwise(F.col("t")).alias("t"), truth.alias("truth"))
+    got = benchmarks.run(samples, "2030-01-01")
+    true = benchmarks.payloads.pairs_of(F.try_parse_json("truth"))
+    staged = benchmarks.systems(benchmarks.settled(samples, {"true": true}).drop("truth"), packed.label)
+    want = benchmarks.scores(benchmarks.outputs(staged, "2030-01-01"))
+    key = lambda r: (r["doc_id"], r["variant"])
+    rows = [sorted((r.asDict(True) for r in x.collect()), key=key) for x in (got, want)]
+    assert len(rows[0]) == 150 * 11 and rows[0] == rows[1]
